@@ -124,15 +124,25 @@ def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, k: int, mult: int = 0x9FB21C651E98DF25) -> np.ndarray:
-    """A hash of each run of k consecutive values; entry i covers i .. i+k-1."""
+    """A hash of each run of k consecutive values; entry i covers i .. i+k-1.
+
+    A polynomial in an odd number modulo 2**64, put together from runs of 1, 2, 4, ...
+    values: about 2 log2 k passes over the array.
+    """
     if len(h) < k:
         return np.zeros(0, np.uint64)
-    c, m = np.uint64(mult), len(h) - k + 1
-    out = h[:m].copy()
-    for t in range(1, k):
-        out *= c
-        out += h[t : t + m]
-    return mix(out)
+    run, size, power = h, 1, mult % 2**64  # runs of `size` values; power: mult ** size
+    out, done = None, 0
+    while True:
+        if k & size:
+            m = len(h) - done - size + 1
+            out = run if out is None else out[:m] * np.uint64(power) + run[done : done + m]
+            done += size
+        if done == k:
+            return mix(out)
+        m = len(h) - 2 * size + 1
+        run = run[:m] * np.uint64(power) + run[size : size + m]
+        size, power = 2 * size, power * power % 2**64
 
 
 def batches(it, limit: int = 8 << 20, column: str = "text"):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from flowmill.llm import bpe, mixing
+from flowmill.llm import bpe, mixing, suffixes
 
 
 def queries() -> dict:
     return {
         "op5_mixing": mixing.op5,
+        "op8_suffix_dedup": suffixes.op8,
         "op10_bpe": bpe.op10,
     }
 
