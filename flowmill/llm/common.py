@@ -43,13 +43,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowmill/{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: later steps reuse the rows,
-    and a lost executor costs only its own tasks."""
+    and a lost executor costs only its own tasks. Its shuffle files go when it is written."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._flowmill_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read any more."""
+    for df in frames:
+        spark, path = df.sparkSession, df._flowmill_path
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,3 +179,30 @@ def batches(it, limit: int = 8 << 20, column: str = "text"):
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def grouped(it, by: list[str], size: int = 0):
+    """Tables of whole groups from batches sorted by `by`: each ends with the first group
+    that brings it to `size` bytes, so only a single group larger than that exceeds it."""
+    held: list[pa.RecordBatch] = []
+    last, total = None, 0
+    for b in it:
+        if not b.num_rows:
+            continue
+        cols = [b.column(b.schema.get_field_index(c)).to_numpy() for c in by]
+        new = np.any([np.diff(c) != 0 for c in cols], axis=0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        each = b.nbytes / b.num_rows
+        begin = 0
+        for a, z in zip(cuts, cuts[1:]):
+            now = tuple(c[a] for c in cols)
+            if total >= size and (held or a > begin) and now != last:
+                if a > begin:
+                    held.append(b.slice(begin, a - begin))
+                yield pa.Table.from_batches(held)
+                held, total, begin = [], 0, a
+            total += each * (z - a)
+            last = now
+        held.append(b.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)

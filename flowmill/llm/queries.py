@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from flowmill.llm import bpe, mixing, suffixes
+from flowmill.llm import bpe, mixing, neardup, phrases, suffixes
 
 
 def queries() -> dict:
     return {
+        "op3_phrases": phrases.op3,
         "op5_mixing": mixing.op5,
         "op8_suffix_dedup": suffixes.op8,
+        "op9_minhash": neardup.op9,
         "op10_bpe": bpe.op10,
     }
 
