@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from flowmill.llm import bpe, mixing, neardup, phrases, suffixes
+from flowmill.llm import bpe, mixing, neardup, neighbours, phrases, suffixes
 
 
 def queries() -> dict:
     return {
         "op3_phrases": phrases.op3,
+        "op4_neighbours": neighbours.op4,
         "op5_mixing": mixing.op5,
         "op8_suffix_dedup": suffixes.op8,
         "op9_minhash": neardup.op9,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.OP5_SQL}
+    return {"op4_neighbours": neighbours.OP4_SQL, "op5_mixing": mixing.OP5_SQL}
