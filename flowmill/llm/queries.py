@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowmill.llm import bpe, mixing, neardup, neighbours, phrases, suffixes
+from flowmill.llm import bpe, mixing, neardup, neighbours, phrases, suffixes, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_phrases": phrases.op3,
         "op4_neighbours": neighbours.op4,
         "op5_mixing": mixing.op5,
+        "op7_warc": warc.op7,
         "op8_suffix_dedup": suffixes.op8,
         "op9_minhash": neardup.op9,
         "op10_bpe": bpe.op10,
