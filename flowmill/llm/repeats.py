@@ -41,14 +41,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import batches, flat, materialize, mix, signed, text_of, window_hashes, word_hashes, words
+from flowmill.llm.common import batches, discard, flat, grouped, materialize, mix, signed, text_of, window_hashes, word_hashes, words
 
-#: Units that are handled at once in one array; also the longest run of a long document.
-CHUNK = 1 << 21
+#: Units that are handled at once in one array, small enough for a processor's cache; also
+#: the longest run of a long document.
+CHUNK = 1 << 17
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = np.uint64(CHUNK.bit_length() + 1)
 _LOW = np.uint64((1 << int(_BITS)) - 1)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ def pieces(spec: Spec, data: np.ndarray, offs: np.ndarray):
     else:
         units = data
     n, i = len(offs) - 1, 0
-    of = (lambda x: x) if spec.unit == "word" else (lambda x: _BYTE[x])
+    of = (lambda x: x) if spec.unit == "word" else (lambda x: BYTE[x])
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + CHUNK, "right")) - 1)
         size = int(offs[j] - offs[i])
@@ -237,32 +238,8 @@ def compare_deals(spec: Spec, reps: DataFrame, engine: Callable) -> DataFrame:
         return pa.RecordBatch.from_arrays([key.take(pa.array(seg[new])), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["key", "a", "b"])
 
     def run(it):
-        held, size = [], 0
-        for b in it:
-            h = b.column(0).to_numpy()
-            # whole seeds only: cut where the seed changes
-            cut = np.flatnonzero(np.diff(h)) + 1
-            tail = int(cut[-1]) if len(cut) else 0
-            if size + b.nbytes >= spec.deal and (len(cut) or held):
-                starts = [0, *cut.tolist()]
-                step = max(1, int(b.num_rows * spec.deal / max(1, b.nbytes)))
-                begin = 0
-                if held and h[0] != held[-1].column(0)[-1].as_py():
-                    out = settle(pa.Table.from_batches(held))
-                    held, size = [], 0
-                    if out:
-                        yield out
-                for c in starts[1:]:
-                    if c - begin >= step or c == tail or held:
-                        out = settle(pa.Table.from_batches([*held, b.slice(begin, c - begin)]))
-                        held, size, begin = [], 0, c
-                        if out:
-                            yield out
-                b = b.slice(begin)
-            held.append(b)
-            size += b.nbytes
-        if held:
-            out = settle(pa.Table.from_batches(held))
+        for t in grouped(it, ["h"], spec.deal):
+            out = settle(t)
             if out:
                 yield out
 
@@ -280,7 +257,7 @@ def _hot_windows(spec: Spec, reps: DataFrame) -> DataFrame:
                 ws, we, offs = words(data, offs)
                 units = word_hashes(data, ws, we)
             else:
-                units = _BYTE[data]
+                units = BYTE[data]
             if len(units) < spec.span:
                 continue
             n = len(units)
@@ -307,8 +284,10 @@ def find(spec: Spec, base: DataFrame, engine: Callable) -> tuple[DataFrame, Data
     again = occ.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     cand = occ.join(again, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
     cand = materialize(cand, "candidates")
+    discard(t1)
     x = materialize(base.select("key", "text").dropDuplicates(["key"]) .join(cand, "key") if once is not t1 else _with_text(base, cand), "candidate-texts")
     seg = _segments(spec, x, True)
+    discard(cand)
     g = materialize(seg.groupBy("h", "s").agg(F.min(F.struct("key", "lo", "hi", "off", "seg")).alias("r"), F.count("*").alias("c")).select("h", "s", "c", "r.*"), "segments")
     several = g.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     reps = materialize(g.join(several, "h").select("h", "m", "key", "lo", "seg"), "representatives")

@@ -7,7 +7,8 @@ triples and named, names that repeat are sorted by recursion, the suffixes at pl
 follow from the letter before a named suffix, and the two orders are merged. Adjacent
 suffixes that agree in 100 bytes are then one string, and all but its earliest place are
 covered. Sorting the whole corpus as one array would move every one of its suffixes through
-several shuffles; the deals hold the only suffixes that can have an equal neighbour.
+several shuffles; the deals hold the only suffixes that can have an equal neighbour, and
+within a deal only runs of windows whose hash occurs twice are sorted.
 
 Defined cases: a null or short text has nothing to remove; matches never cross
 documents; strings are judged on the input; a string that overlaps its own repeat (as in
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.repeats import Spec, find, keyed, merged
+from flowmill.llm.common import window_hashes
+from flowmill.llm.repeats import BYTE, Spec, find, keyed, merged
 
 SPAN = 100
 SPEC = Spec("byte", SPAN, 28)
@@ -89,20 +91,45 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _alike(span: int, text: np.ndarray, begin: np.ndarray, ln: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs [a, z) of text that consist of windows whose hash another window shares.
+
+    Equal windows have equal hashes, so nothing is lost; the suffix sort decides.
+    """
+    left = np.repeat(begin + ln, ln + 1)[: len(text)] - np.arange(len(text))
+    at = np.flatnonzero(left >= span)
+    h = window_hashes(BYTE[text], span)[at]
+    s = np.sort(h)
+    twice = s[1:][s[1:] == s[:-1]]
+    if not len(twice):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = at[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h]
+    new = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+    return at[new], at[np.append(new[1:], len(at)) - 1] + span
+
+
 def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows that also start earlier, by adjacent prefixes of the suffix array."""
-    span = spec.span
+    span, none = spec.span, (np.zeros(0, np.int64), np.zeros(0, np.int64))
     ln = np.array([len(x) for x in segs], np.int64)
     begin = np.concatenate([[0], np.cumsum(ln + 1)])[:-1]
-    text = np.frombuffer(b"\0".join(segs) + b"\0" * 8, np.uint8)
-    letters = text[: len(text) - 8].astype(np.int64) + 2
-    letters[(begin + ln)[:-1]] = 1
+    whole = np.frombuffer(b"\0".join(segs), np.uint8)
+    a, z = _alike(span, whole, begin, ln)
+    if not len(a):
+        return none
+    # the runs, each with a separator after it: letter 1, which no byte uses
+    size = z - a + 1
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    source = np.arange(int(size.sum())) - np.repeat(start - a, size)
+    text = np.append(whole, np.zeros(1, np.uint8))[np.minimum(source, len(whole))]
+    letters = text.astype(np.int64) + 2
+    letters[start + size - 1] = 1
     sa = suffix_array(letters)
-    seg = np.searchsorted(begin, sa, "right") - 1
-    fits = sa - begin[seg] + span <= ln[seg]
-    sa, seg = sa[fits], seg[fits]
+    run = np.searchsorted(start, sa, "right") - 1
+    sa = sa[sa - start[run] + span < size[run]]
     if len(sa) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none
+    text = np.append(text, np.zeros(8, np.uint8))
     at8 = np.lib.stride_tricks.sliding_window_view(text, 8)
     same = np.ones(len(sa) - 1, bool)
     for k in [*range(0, span - 8, 8), span - 8] if span >= 8 else []:
@@ -112,15 +139,17 @@ def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray) -> t
         same &= text[sa[:-1] + k] == text[sa[1:] + k]
     group = np.concatenate([[0], np.cumsum(~same)])
     many = np.bincount(group)[group] > 1
-    sa, seg, group = sa[many], seg[many], group[many]
-    win = sa - begin[seg]
+    sa, group = sa[many], group[many]
+    if not len(sa):
+        return none
+    place = source[sa]
+    seg = np.searchsorted(begin, place, "right") - 1
+    win = place - begin[seg]
     o = np.lexsort((lo[seg] + win, rank[seg], group))
-    later = np.concatenate([[False], np.diff(group[o]) == 0])
-    # one place of one document may be in two segments of a seed's deal: it is not later than itself
-    r, p = rank[seg[o]], (lo[seg] + win)[o]
-    head = np.flatnonzero(~later)
-    which = np.cumsum(~later) - 1
-    later &= (r != r[head][which]) | (p != p[head][which])
+    head = np.concatenate([[True], np.diff(group[o]) != 0])
+    # one place of one document may be in two segments of a deal: it is not later than itself
+    r, p, which = rank[seg[o]], (lo[seg] + win)[o], np.cumsum(head) - 1
+    later = (r != r[head][which]) | (p != p[head][which])
     o = o[later]
     return seg[o], win[o]
 
