@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from flowmill.llm import bpe, mixing, neardup, neighbours, phrases, suffixes, warc
+from flowmill.llm import bpe, mixing, neardup, neighbours, phrases, suffixes, warc, webp
 
 
 def queries() -> dict:
     return {
+        "op1_webp": webp.op1,
         "op3_phrases": phrases.op3,
         "op4_neighbours": neighbours.op4,
         "op5_mixing": mixing.op5,
