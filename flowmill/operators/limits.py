@@ -45,15 +45,16 @@ def evicted_by_bytes(log: DataFrame, max_bytes: int) -> DataFrame:
     """Q7 by bytes: the first publish at which the bytes from this row on pass the limit.
 
     Running sums increase along a queue, so the answer is the first tag whose sum exceeds
-    this row's own prefix plus the limit. Rows and thresholds are merged into one sorted
-    sequence: the next row above a threshold is a following-frame minimum, no join of ranges.
+    this row's own prefix plus the limit. Rows and thresholds are merged into one sequence
+    sorted downwards, where the rows above a threshold stand before it: a running minimum of
+    their tags answers it, without a join of ranges.
     """
     total = F.sum("body_len").over(_up().rowsBetween(Window.unboundedPreceding, 0))
     x = log.withColumn("total", total).withColumn("need", F.col("total") - F.col("body_len") + max_bytes)
     rows = x.select("queue", F.col("total").alias("at"), F.lit(1).alias("kind"), "tag")
     asks = x.select("queue", F.col("need").alias("at"), F.lit(0).alias("kind"), "tag")
-    # at equal values rows come first: a sum that only reaches the limit does not pass it
-    w = Window.partitionBy("queue").orderBy(F.col("at"), F.col("kind").desc(), "tag").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # at equal values the threshold comes first: a sum that only reaches the limit does not pass it
+    w = Window.partitionBy("queue").orderBy(F.col("at").desc(), "kind", "tag").rowsBetween(Window.unboundedPreceding, 0)
     hit = rows.union(asks).withColumn("by", F.min(F.when(F.col("kind") == 1, F.col("tag"))).over(w)).where("kind = 0 and by is not null")
     # a queue of one ready message keeps it: an oversize row goes with the publish after it
     nxt = x.select("queue", "tag", F.lead("tag").over(_up()).alias("next"))
