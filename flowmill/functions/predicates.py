@@ -98,6 +98,11 @@ def resolve_policy(args: Column) -> Column:
 # ------------------------------------------------------------ expiry
 
 
+def epoch_ms(ts: str) -> Column:
+    """Milliseconds since 1970 of a zone-less timestamp column, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+
+
 def message_ttl(expiration: Column) -> Column:
     """A message's own TTL in ms; null if it is malformed or negative."""
     n = F.when(expiration.rlike("^[+-]?[0-9]+$"), expiration.try_cast("long"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmill.functions.predicates import deadline, effective_ttl, expired, message_ttl
+from flowmill.functions.predicates import deadline, effective_ttl, epoch_ms, expired, message_ttl
 
 
 def stamped(messages: DataFrame, queue_ttl: Column) -> DataFrame:
     """enqueue_ms only where a TTL applies; ttl_ms and deadline_ms."""
     ttl = effective_ttl(F.col("expiration"), queue_ttl)
-    at = F.when(message_ttl(F.col("expiration")).isNotNull() | queue_ttl.isNotNull(), F.unix_millis("published_at"))
+    at = F.when(message_ttl(F.col("expiration")).isNotNull() | queue_ttl.isNotNull(), epoch_ms("published_at"))
     return messages.withColumn("enqueue_ms", at).withColumn("ttl_ms", ttl).withColumn("deadline_ms", deadline(F.col("enqueue_ms"), F.col("ttl_ms")))
 
 

@@ -70,12 +70,12 @@ def auto_deleted(unbound: DataFrame, remaining: DataFrame, exchanges: DataFrame)
 
 
 def purged(messages: DataFrame, purges: DataFrame) -> DataFrame:
-    """Per purge, how many ready messages of its queue it removed: those enqueued since the
-    purge before it."""
-    w = Window.partitionBy("queue").orderBy("seq")
-    p = purges.withColumn("since", F.coalesce(F.lag("seq").over(w), F.lit(-1)))
-    hit = (p["queue"] == messages["queue"]) & (messages["seq"] < p["seq"]) & (messages["seq"] > p["since"])
-    return p.join(messages, hit, "left").groupBy(p["queue"], p["seq"]).agg(F.count(messages["seq"]).alias("removed"))
+    """Per purge, how many ready messages of its queue it removed: those since the purge
+    before it. Going back in time, the last purge met is the one that takes a message."""
+    both = messages.select("queue", "seq", F.lit(None).cast("long").alias("purge")).union(purges.select("queue", "seq", F.col("seq")))
+    w = Window.partitionBy("queue").orderBy(F.col("seq").desc(), F.col("purge").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    taken = both.withColumn("by", F.last("purge", ignorenulls=True).over(w)).where("by is not null")
+    return taken.groupBy("queue", F.col("by").alias("seq")).agg(F.count_if(F.col("purge").isNull()).alias("removed"))
 
 
 def server_name() -> Column:

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("routing", "queues")
+
+
+def _all() -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= import_module(f"flowmill.plans.{m}").QUERIES
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return {name: q[0] for name, q in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q[1] for name, q in _all().items() if q[1]}
