@@ -41,8 +41,8 @@ def settled_answers(outcomes: DataFrame) -> DataFrame:
 
 def fan_in(copies: DataFrame) -> DataFrame:
     """A publish is confirmed when its last copy is durable; any failure nacks it, the first
-    by time names the reason. copies: tag, durable, at, error."""
-    return copies.groupBy("tag").agg(F.bool_and("durable").alias("confirmed"), F.when(F.bool_and("durable"), F.max("at")).alias("confirmed_at"), F.min_by("error", F.when(~F.col("durable"), F.col("at"))).alias("error"))
+    by time (then by text) names the reason. copies: tag, durable, at, error."""
+    return copies.groupBy("tag").agg(F.bool_and("durable").alias("confirmed"), F.when(F.bool_and("durable"), F.max("at")).alias("confirmed_at"), F.min(F.when(~F.col("durable"), F.struct("at", "error")))["error"].alias("error"))
 
 
 def latched(samples: DataFrame, value: Column, sets: Column, clears: Column, by: str, order: str) -> Column:

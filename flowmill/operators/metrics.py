@@ -70,19 +70,28 @@ def losses(counts: DataFrame, confirm_mode: Column) -> DataFrame:
     return counts.withColumn("target", target).withColumn("lost", F.greatest(target - F.col("delivered"), F.lit(0)))
 
 
-def regressions(base: DataFrame, new: DataFrame, limit_pct: float = 2.0) -> DataFrame:
-    """What fails the gate. Rows: name, metric, value, significant, delta_pct (of new).
+def regressions(results: DataFrame, limit_pct: float = 2.0) -> DataFrame:
+    """What fails the gate. results: name, metric, status, significant, delta_pct.
 
-    sec/op fails above the limit, any other metric on any increase, both only if
-    significant. A benchmark missing from new fails once per name; one missing from base passes.
+    sec/op fails above the limit, any other metric on any increase, both only if significant.
+    A benchmark missing from the new run fails once by name; one missing from the baseline
+    passes.
     """
-    b = base.select("name", "metric").distinct()
-    gone = b.join(new.select("name", "metric").distinct(), ["name", "metric"], "left_anti").select("name").distinct().select("name", F.lit(None).cast("string").alias("metric"), F.lit("missing").alias("failure"))
-    worse = (F.col("metric") == "sec/op") & (F.col("delta_pct") > limit_pct) | (F.col("metric") != "sec/op") & (F.col("delta_pct") > 0)
-    slow = new.join(b, ["name", "metric"], "left_semi").where(F.col("significant") & worse).select("name", "metric", F.lit("regression").alias("failure"))
+    worse = F.col("significant") & F.when(F.col("metric") == "sec/op", F.col("delta_pct") > limit_pct).otherwise(F.col("delta_pct") > 0)
+    slow = results.where((F.col("status") == "compared") & worse).select("name", "metric", F.lit("regression").alias("failure"))
+    gone = results.where("status = 'missing-from-new'").select("name", F.lit(None).cast("string").alias("metric"), F.lit("missing").alias("failure")).distinct()
     return slow.union(gone)
 
 
+def compared(base: DataFrame, new: DataFrame) -> DataFrame:
+    """Results to gate from two runs' mean values by (name, metric): a full outer join. What is
+    significant is for the caller to say; here every difference is."""
+    b, n = base.withColumnRenamed("value", "old"), new.withColumnRenamed("value", "now")
+    x = b.join(n, ["name", "metric"], "full")
+    status = F.when(F.col("now").isNull(), "missing-from-new").when(F.col("old").isNull(), "missing-from-baseline").otherwise("compared")
+    return x.withColumn("status", status).withColumn("delta_pct", F.coalesce((F.col("now") / F.col("old") - 1) * 100, F.lit(0.0))).withColumn("significant", F.coalesce(F.col("now") != F.col("old"), F.lit(False)))
+
+
 def sizes(files: DataFrame, by: str) -> DataFrame:
     """Files and bytes by kind."""
     return files.groupBy(by).agg(F.count("*").alias("files"), F.sum("bytes").cast("long").alias("bytes"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("routing", "queues")
+MODULES = ("routing", "queues", "flows")
 
 
 def _all() -> dict:

@@ -178,10 +178,10 @@ def exchange_delete(spark, sf):
 
 
 def queue_delete(spark, sf):
-    """Deletes queues without consumers (no binding of size 50) and counts what goes with each."""
+    """Deletes queues without consumers (no binding of size 50 to an exchange below Brand#2) and counts what goes with each."""
     _, b = _topology(spark, sf)
     q = b.select(F.col("queue").alias("name")).distinct()
-    gone = D.deletable(q, b.where("size >= 50").select(F.col("queue").alias("name")))
+    gone = D.deletable(q, b.where("size >= 50 and exchange < 'Brand#2'").select(F.col("queue").alias("name")))
     ready = table(spark, sf, "part").groupBy(F.col("p_type").alias("name")).agg(F.count("*").alias("purged"))
     bindings = b.groupBy(F.col("queue").alias("name")).agg(F.count("*").alias("bindings"))
     return gone.join(ready, "name").join(bindings, "name")
@@ -293,7 +293,7 @@ f as (select name, min(seq) as s0, arg_min(durable, seq) as d0, arg_min(auto_del
 select name, s0 as declared_at, d0 as durable, a0 as auto_delete, false as exclusive, count(*) filter (durable <> d0 or auto_delete <> a0) as clashes from log join f using (name) group by all"""),
     "exchange_delete": (exchange_delete, f"with {TOPOLOGY_SQL} select exchange, count(*) as bindings from b where exchange in (select exchange from b where size >= 50) group by exchange"),
     "queue_delete": (queue_delete, f"""with {TOPOLOGY_SQL} select queue as name, (select count(*) from part where p_type = queue) as purged, count(*) as bindings
-from b group by queue having max(size) < 50"""),
+from b group by queue having count(*) filter (size >= 50 and exchange < 'Brand#2') = 0"""),
     "queue_bind": (queue_bind, f"""with {TOPOLOGY_SQL} select exchange, case when not durable then 'no exchange' when queue in (select queue from b where size >= 40) then 'bound' else 'no queue' end as outcome, count(*) as bindings
 from b join e on e.name = b.exchange group by 1, 2"""),
     "queue_unbind": (queue_unbind, f"with {TOPOLOGY_SQL} select name from e where auto_delete and name in (select exchange from b where size < 50) and name not in (select exchange from b where size >= 50)"),
