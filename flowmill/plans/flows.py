@@ -61,7 +61,7 @@ def confirm_fanin(spark, sf):
 
 FANIN_SQL = f"""{M}, {X.sql("bindings", X.TOPIC)}, h as (select distinct delivery_tag as tag, queue from (select m.*, b.queue, b.routing_key as pattern from messages m, bindings b) where {TOPIC_SQL}),
 c as (select tag, n % 19 <> 0 as durable, n % 1009 as at_ms, case when n % 19 = 0 then 'disk of ' || queue end as error from (select *, tag * 7 + length(queue) * 13 as n from h))
-select tag, bool_and(durable) as confirmed, case when bool_and(durable) then max(at_ms) end as confirmed_at, (min({'a': at_ms, 'e': error}) filter (not durable)).e as error from c group by tag"""
+select tag, bool_and(durable) as confirmed, case when bool_and(durable) then max(at_ms) end as confirmed_at, (min({{'a': at_ms, 'e': error}}) filter (not durable)).e as error from c group by tag"""
 
 
 def visibility_frontier(spark, sf):
