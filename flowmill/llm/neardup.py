@@ -13,10 +13,17 @@ with probability 1.6e-9. Links are then settled without pairing whole buckets:
 
 1. Star: each class is compared with the bucket minimum it shares most buckets with.
    Verified links are contracted to components.
-2. Rest: only in buckets that still hold several components are members of different
-   components compared, in blocks of at most `block` rows a side, by signature; pairs that
-   agree in 165 of 255 places or more (0.8 gives 204, with a deviation under 6.4) are verified.
-   So each bucket's large group costs one comparison a member, and no partner is capped.
+2. Best: in buckets that still hold several components, members of different components
+   are compared by signature, in blocks of about `block` rows a side, and each member's most
+   alike partner is verified. Repeated while that finds links, at most `rounds` times: large
+   groups grow together by about one verification a member.
+3. Rest: where several components still share a bucket, all pairs between them that can be
+   links are verified. No partner is capped.
+
+A pair can be a link if it agrees in at least 155 of 255 places (0.8 gives 204, with a
+deviation under 6.4), and if the shingles that both sets have in each of 1,024 classes of
+hashes, at most, are enough: that bound is exact, and close to the count itself unless the
+sets are large.
 
 Verification counts shared shingles of the full sets: 100 * both >= 80 * either.
 
@@ -33,11 +40,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import batches, flat, grouped, materialize, mix, signed, window_hashes, word_hashes, words
+from flowmill.llm.common import batches, discard, flat, grouped, materialize, mix, signed, window_hashes, word_hashes, words
 from flowmill.llm.components import components
 from flowmill.llm.repeats import FEW_KEYS, keyed
 
@@ -45,6 +53,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _32 = np.uint64(32)
+#: Classes of hashes (by their upper ten bits), and shingles beyond which a class may overflow.
+CLASSES, MANY = 1024, 50_000
 _HALF = np.uint64(0xFFFFFFFF)
 
 
@@ -54,8 +64,9 @@ class Spec:
     num: int = 80  # links: 100 * both >= num * either
     bands: int = 51
     rows: int = 5
-    agree: int = 165
+    agree: int = 155
     block: int = 1024
+    rounds: int = 3
 
     @property
     def m(self) -> int:
@@ -79,7 +90,7 @@ def sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def superminhash(elements: list[np.ndarray], m: int, limit: int = 150_000) -> np.ndarray:
+def superminhash(elements: list[np.ndarray], m: int, limit: int = 50_000) -> np.ndarray:
     """Signatures (documents x m, uint64: round in the upper half, fraction in the lower)."""
     sig = np.full((len(elements), m), np.uint64(0xFFFFFFFFFFFFFFFF))
     size = np.array([len(e) for e in elements])
@@ -141,7 +152,8 @@ def _later_rounds(sig: np.ndarray, h: np.ndarray, doc: np.ndarray, pick: np.ndar
 
 
 def _signed_rows(spec: Spec, base: DataFrame) -> DataFrame:
-    """key, n (shingles), same (hash of the set), bands, sig (one byte a place)."""
+    """key, n (shingles), same (hash of the set), bands, sig (one byte a place), cls (shingles
+    by class of hash)."""
 
     def run(it):
         for b in batches(it, 2 << 20):
@@ -154,6 +166,9 @@ def _signed_rows(spec: Spec, base: DataFrame) -> DataFrame:
                 key = mix(key * _STEP + band[:, :, r])
             byte = (mix(sig) & np.uint64(255)).astype(np.uint8)
             full = np.array([len(e) > 0 for e in els], bool)
+            doc = np.repeat(np.arange(len(els)), [len(e) for e in els])
+            cls = np.bincount(doc * CLASSES + (np.concatenate(els) >> np.uint64(54)).astype(np.int64), minlength=len(els) * CLASSES).reshape(-1, CLASSES)
+            cls = np.minimum(cls, 255).astype(np.uint8)
             offsets = np.concatenate([[0], np.cumsum(full * spec.bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -162,12 +177,13 @@ def _signed_rows(spec: Spec, base: DataFrame) -> DataFrame:
                     pa.array([hashlib.blake2b(e.tobytes(), digest_size=16).digest() if len(e) else None for e in els], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.ascontiguousarray(key[full]).reshape(-1)))),
                     pa.array([x.tobytes() for x in byte], pa.binary()),
+                    pa.array([x.tobytes() for x in cls], pa.binary()),
                 ],
-                names=["key", "n", "same", "bands", "sig"],
+                names=["key", "n", "same", "bands", "sig", "cls"],
             )
 
     kind = base.schema["key"].dataType
-    return base.select("key", "text").mapInArrow(run, T.StructType([T.StructField("key", kind), *T._parse_datatype_string("n long, same binary, bands array<long>, sig binary").fields]))
+    return base.select("key", "text").mapInArrow(run, T.StructType([T.StructField("key", kind), *T._parse_datatype_string("n long, same binary, bands array<long>, sig binary, cls binary").fields]))
 
 
 def _verified(spec: Spec, base: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -206,35 +222,45 @@ def _verified(spec: Spec, base: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
 
-def _rest(spec: Spec, buckets: DataFrame) -> DataFrame:
-    """buckets (b, key, comp, n, sig) with several components each -> pairs to verify."""
-    sizes = buckets.groupBy("b").agg(F.count("*").alias("size"), F.countDistinct("comp").alias("comps")).where("comps > 1")
+def _between(spec: Spec, buckets: DataFrame, best: bool) -> DataFrame:
+    """buckets (b, key, comp, n, sig, cls) -> possible pairs (u, v) of different components in a
+    bucket: all of them, or each member's most alike partner in each block."""
+    sizes = buckets.groupBy("b").agg(F.count("*").alias("size"))
     x = buckets.join(sizes, "b").withColumn("parts", F.ceil(F.col("size") / spec.block).cast("int"))
     x = x.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # slice s of a bucket meets each slice of it once, in the block (smaller, larger)
-    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("b", F.least("slice", "o").alias("i"), F.greatest("slice", "o").alias("j"), "slice", "key", "comp", "n", "sig")
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("b", F.least("slice", "o").alias("i"), F.greatest("slice", "o").alias("j"), "slice", "key", "comp", "n", "sig", "cls")
     kind = buckets.schema["key"].dataType
 
     def run(it):
         for t in grouped(it, ["b", "i", "j"]):
             key = t["key"].combine_chunks()
-            comp = np.unique(np.array(t["comp"].to_pylist(), dtype=object if pa.types.is_binary(key.type) else np.int64), return_inverse=True)[1]
+            comp = pc.rank(t["comp"].combine_chunks(), tiebreaker="dense").to_numpy()
             n = t["n"].to_numpy()
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(n), -1)
+            cls = np.frombuffer(b"".join(t["cls"].to_pylist()), np.uint8).reshape(len(n), -1)
             sl, i, j = t["slice"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
             left, right = np.flatnonzero(sl == i), np.flatnonzero(sl == j)
-            us, vs = [], []
+            us, vs, like = [], [], []
             for u in left:
                 v = right[(comp[right] != comp[u]) & (100 * np.minimum(n[right], n[u]) >= spec.num * np.maximum(n[right], n[u]))]
                 if i == j:
                     v = v[v > u]
                 if len(v):
-                    v = v[(sig[v] == sig[u]).sum(axis=1) >= spec.agree]
-                    us += [u] * len(v)
-                    vs += v.tolist()
+                    a = (sig[v] == sig[u]).sum(axis=1)
+                    at = np.flatnonzero(a >= spec.agree)
+                    both = np.minimum(cls[v[at]], cls[u]).sum(axis=1, dtype=np.int64)
+                    at = at[(100 * both >= spec.num * (n[v[at]] + n[u] - both)) | (n[u] > MANY)]
+                    us.append(np.full(len(at), u))
+                    vs.append(v[at])
+                    like.append(a[at])
             if us:
-                a, z = key.take(pa.array(us)), key.take(pa.array(vs))
-                yield pa.RecordBatch.from_arrays([a, z], names=["u", "v"])
+                us, vs, like = np.concatenate(us), np.concatenate(vs), np.concatenate(like)
+                if best and len(us):
+                    o = np.argsort(-like, kind="stable")
+                    keep = np.unique(np.concatenate([o[np.unique(us[o], return_index=True)[1]], o[np.unique(vs[o], return_index=True)[1]]]))
+                    us, vs = us[keep], vs[keep]
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(us)), key.take(pa.array(vs))], names=["u", "v"])
 
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = x.repartition(parts, "b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
@@ -252,18 +278,28 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     entry = reps.select("key", F.explode("bands").alias("b"))
     shared = entry.groupBy("b").agg(F.min("key").alias("v"), F.count("*").alias("c")).where("c > 1").select("b", "v")
     bucket = materialize(entry.join(shared, "b"), "buckets")
-    best = bucket.where("key != v").groupBy("key", "v").agg(F.count("*").alias("c")).groupBy("key").agg(F.min(F.struct(-F.col("c"), "v")).alias("x")).select(F.col("key").alias("u"), F.col("x.v").alias("v"))
-    stars = materialize(best, "stars")
+    most = bucket.where("key != v").groupBy("key", "v").agg(F.count("*").alias("c")).groupBy("key").agg(F.min(F.struct(-F.col("c"), "v")).alias("x")).select(F.col("key").alias("u"), F.col("x.v").alias("v"))
+    stars = materialize(most, "stars")
     links = materialize(_verified(spec, base, stars), "links")
     comp = components(links)
-    inside = bucket.select("b", "key").join(comp.select(F.col("u").alias("key"), "root"), "key", "left").select("b", "key", F.coalesce("root", "key").alias("comp"))
-    several = inside.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b")
-    rest = inside.join(several, "b").join(t.select("key", "n", "sig"), "key")
-    pairs = _rest(spec, materialize(rest.select("b", "key", "comp", "n", "sig"), "rest"))
-    pairs = materialize(pairs.join(stars, ["u", "v"], "left_anti"), "rest-pairs")
-    if pairs.limit(1).count():
-        links = links.unionByName(_verified(spec, base, pairs))
-        comp = components(links)
+    done, best = stars, True
+    for turn in range(spec.rounds + 1):
+        best = best and turn < spec.rounds
+        inside = bucket.join(comp.select(F.col("u").alias("key"), "root"), "key", "left").select("b", "key", F.coalesce("root", "key").alias("comp"))
+        several = inside.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b")
+        rest = materialize(inside.join(several, "b").join(t.select("key", "n", "sig", "cls"), "key").select("b", "key", "comp", "n", "sig", "cls"), "rest")
+        pairs = materialize(_between(spec, rest, best).join(done, ["u", "v"], "left_anti"), "pairs")
+        discard(rest)
+        found = 0
+        if pairs.limit(1).count():
+            new = materialize(_verified(spec, base, pairs), "links")
+            found = new.limit(1).count()
+            links, done = links.unionByName(new), done.unionByName(pairs)
+        if found:
+            comp = components(links)
+        if not best:
+            break
+        best = bool(found)  # else what remains is looked at pair by pair
     out = info.join(comp.select(F.col("u").alias("rep"), "root"), "rep", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component"))
     return base, out
 
