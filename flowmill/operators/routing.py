@@ -68,16 +68,28 @@ def longest_path(edges: list[tuple[str, str]]) -> int:
     return max((of(a) for a in after), default=0)
 
 
+def _next_exchanges(messages: DataFrame, x: DataFrame) -> DataFrame:
+    """messages at the exchanges one hop on. There are few edges, so all kinds share one join
+    on the source with their predicates side by side, and a hop reads its input once."""
+    m, key = messages, messages["routing_key"]
+    fits = F.when(F.col("_kind") == "fanout", True).when(F.col("_kind") == "direct", F.col("_pattern") == key).when(F.col("_kind") == "topic", F.regexp(topic_subject(key), F.col("_regex")))
+    if "headers" in messages.columns and "_args" in x.columns:
+        fits = fits.when(F.col("_kind") == "headers", headers_match(F.col("_args"), m["headers"]))
+    keep = [F.col("_to").alias(c) if c == "exchange" else m[c] for c in messages.columns]
+    return m.join(x, (m["exchange"] == F.col("_from")) & fits).select(*keep).dropDuplicates(["delivery_tag", "exchange"])
+
+
 def reached_exchanges(messages: DataFrame, xbindings: DataFrame, exchanges: DataFrame, hops: int) -> DataFrame:
     """Each message at every exchange it gets to, its own first; duplicate paths once.
 
     The key and headers of the message decide at every hop. hops: longest_path() of the edges.
     """
-    level = messages
-    out = messages
     x = xbindings.join(exchanges.select(F.col("name").alias("destination")), "destination", "left_semi")
+    args = [F.col("arguments").alias("_args")] if "arguments" in xbindings.columns else []
+    x = _with_kind(x, exchanges, "source").select(F.col("source").alias("_from"), F.col("destination").alias("_to"), F.col("kind").alias("_kind"), F.col("routing_key").alias("_pattern"), topic_regex(F.col("routing_key")).alias("_regex"), *args)
+    level = out = messages
     for _ in range(hops):
-        level = matched(level, x, exchanges, "source", "destination").drop("exchange").withColumnRenamed("destination", "exchange").select(messages.columns).dropDuplicates(["delivery_tag", "exchange"])
+        level = _next_exchanges(level, x)
         out = out.union(level)
     return out.dropDuplicates(["delivery_tag", "exchange"]) if hops > 1 else out
 
