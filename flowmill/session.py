@@ -20,3 +20,24 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python imports it by name."""
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_flowmill_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="flowmill-code-"), "flowmill.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    f = os.path.join(folder, n)
+                    z.write(f, os.path.join("flowmill", os.path.relpath(f, here)))
+    sc.addPyFile(path)
+    sc._flowmill_shipped = True
