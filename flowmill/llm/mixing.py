@@ -87,39 +87,37 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     deal = (
         sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
         .join(source, ["src", "src_null"])
-        .withColumn("whole", F.when(F.col("target") >= 2 * F.col("source_size"), 2).when(F.col("target") >= F.col("source_size"), 1).otherwise(0) if cap == 2 else F.floor(F.col("target") / F.col("source_size")))
+        .withColumn("whole", F.when(F.col("target") >= 2 * F.col("source_size"), 2).when(F.col("target") >= F.col("source_size"), 1).otherwise(0) if cap == 2 else F.floor(F.try_divide(F.col("target"), F.col("source_size"))))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.col("whole")).otherwise(0).cast("long"))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
         .select("src", "src_null", "bucket", "before", "source_size", "target", "whole", "rest")
     )
     inside = Window.partitionBy("src", "src_null", "bucket").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    p = F.col("rest") / F.col("source_size")
+    p = F.try_divide(F.col("rest"), F.col("source_size"))
     u = (F.col("key") + 0.5) / F.lit(float(2**BITS))
     return (
         b.join(deal, ["src", "src_null", "bucket"])
         .withColumn("prefix", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         # the document across the edge is taken if that leaves the smaller error
         .withColumn("copies", F.col("whole") + ((F.col("rest") > 0) & (F.col("prefix") + F.col("size") / 2 <= F.col("rest"))).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key", F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p))).alias("pareto"))
+        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key", F.when((p > 0) & (p < 1), F.try_divide(u / (1 - u), F.try_divide(p, 1 - p))).alias("pareto"))
     )
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed rows themselves: every column of docs, each row as often as it is taken.
 
-    Rows meet their plan by (id, words); among rows equal in both, which of them is
-    repeated makes no difference to the words taken.
+    Rows meet their plan by (id, words). Rows equal in both share their copies: the first
+    ones by a hash of the whole row get one more where they do not divide evenly.
     """
-    rows = docs.withColumn("_size", count_words(F.col("text")))
-    same = Window.partitionBy("doc_id", "_size").orderBy("_k")
-    p = plan(docs, **params).select(F.col("doc_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    counts = p.groupBy("doc_id", "_size").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_n"))
-    joined = rows.alias("r").join(counts.alias("c"), F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r._size") == F.col("c._size")))
-    cols = [F.col(f"r.`{c}`") for c in docs.columns]
-    one = joined.where("c._n = 1 and c._copies > 0").select(*cols, F.col("c._copies").alias("_copies"))
-    many = joined.where("c._n > 1 and c._copies > 0").select(*cols, F.col("c._copies").alias("_all"), F.col("c._n").alias("_n"), F.col("c._size").alias("_size"), F.xxhash64(*[F.col(f"r.`{c}`") for c in docs.columns]).alias("_k"))
-    many = many.withColumn("_i", F.row_number().over(same)).withColumn("_copies", F.floor(F.col("_all") / F.col("_n")) + (F.col("_i") <= F.col("_all") % F.col("_n")).cast("long")).select(*docs.columns, "_copies")
-    return one.unionByName(many).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).where("_copies > 0").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").alias("id"), count_words(F.col("text")).alias("words"), row.alias("row"))
+    counts = plan(docs, **params).groupBy(F.col("doc_id").alias("i"), F.col("size").alias("w")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    x = rows.join(counts, F.col("id").eqNullSafe(F.col("i")) & (F.col("words") == F.col("w"))).select("id", "words", "row", "copies", "n")
+    nth = F.row_number().over(Window.partitionBy("id", "words").orderBy(F.xxhash64("row")))
+    shared = x.where("n > 1").withColumn("nth", nth).withColumn("copies", F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.col("copies") % F.col("n")).cast("long"))
+    each = x.where("n = 1").select("row", "copies").union(shared.select("row", "copies")).where("copies > 0")
+    return each.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
