@@ -53,7 +53,7 @@ class Spec:
     suffix_odds: float = 3.0
     host_weight: float = 20.0
     suffix_weight: float = 100.0
-    least: float = 0.6
+    least: float = 0.5
     few_hosts: int = 100_000
 
 
