@@ -43,7 +43,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowmill/{name}-{uuid.uuid4().hex}"
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: drop shuffle files afterwards, and hand Python small batches, as
+#: texts may be long.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_scopes: list[list[DataFrame]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,17 +54,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs only its own tasks. Its shuffle files go when it is written."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    was = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    was = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._flowmill_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+class scratch:
+    """Tables that are materialized inside go at its end, except those kept."""
+
+    def __enter__(self) -> scratch:
+        self.kept: list[DataFrame] = []
+        _scopes.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __exit__(self, *_) -> None:
+        mine = _scopes.pop()
+        kept = [df for df in mine if any(df is k for k in self.kept)]
+        discard(*[df for df in mine if not any(df is k for k in kept)])
+        if _scopes:
+            _scopes[-1] += kept
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables of materialize() that nothing will read any more."""
     for df in frames:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import batches, discard, flat, grouped, materialize, mix, signed, window_hashes, word_hashes, words
+from flowmill.llm.common import batches, discard, flat, grouped, materialize, mix, scratch, signed, window_hashes, word_hashes, words
 from flowmill.llm.components import components
 from flowmill.llm.repeats import FEW_KEYS, keyed
 
@@ -270,6 +270,11 @@ def _between(spec: Spec, buckets: DataFrame, best: bool) -> DataFrame:
 def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(keyed rows, per key: key, n_shingles, component: the smallest key reachable)."""
     base = keyed(docs, id_col, text_col)
+    with scratch() as tables:
+        return base, tables.keep(materialize(_grouped_keys(base, spec), "near-components"))
+
+
+def _grouped_keys(base: DataFrame, spec: Spec) -> DataFrame:
     unique = isinstance(base.schema["key"].dataType, T.LongType)
     t = materialize(_signed_rows(spec, base if unique else base.select("key", "text").dropDuplicates(["key"])), "signatures")
     first = t.where("n > 0").groupBy("same").agg(F.min("key").alias("rep"), F.count("*").alias("c")).where("c > 1").select("same", "rep")
@@ -300,8 +305,7 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
         if not best:
             break
         best = bool(found)  # else what remains is looked at pair by pair
-    out = info.join(comp.select(F.col("u").alias("rep"), "root"), "rep", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component"))
-    return base, out
+    return info.join(comp.select(F.col("u").alias("rep"), "root"), "rep", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component"))
 
 
 def dedup(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowmill.llm.common import materialize, scratch
 from flowmill.llm.repeats import Spec, find, keyed, merged
 
 SPAN = 20
@@ -73,7 +74,6 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
     """One row per row of docs: id, n_words, n_removed, kept_sha256 (and kept, the remaining
     words, for documents of which a part goes)."""
     base = keyed(docs, id_col, text_col)
-    info, cut = find(spec, base, engine)
 
     def run(it):
         for b in it:
@@ -92,7 +92,10 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["key", "removed", "left", "kept"])
 
     kind = base.schema["key"].dataType
-    changed = cut.mapInArrow(run, T.StructType([T.StructField("key", kind), *T._parse_datatype_string("removed long, left string, kept string").fields]))
+    with scratch() as tables:
+        info, cut = find(spec, base, engine)
+        changed = tables.keep(materialize(cut.mapInArrow(run, T.StructType([T.StructField("key", kind), *T._parse_datatype_string("removed long, left string, kept string").fields])), "changed"))
+        tables.keep(info)
     per_key = info.join(changed, "key", "left").select(
         "key",
         F.col("n").alias("n_words"),

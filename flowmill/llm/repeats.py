@@ -224,6 +224,14 @@ def compare_deals(spec: Spec, reps: DataFrame, engine: Callable) -> DataFrame:
     """
 
     def settle(batch: pa.Table):
+        # a seed with one segment has nothing to be compared with
+        h = batch["h"].to_numpy()
+        alone = np.ones(len(h), bool)
+        alone[1:] &= h[1:] != h[:-1]
+        alone[:-1] &= h[1:] != h[:-1]
+        batch = batch.filter(pa.array(~alone)).combine_chunks()
+        if not len(batch):
+            return None
         key, lo, segs = batch["key"].combine_chunks(), batch["lo"].to_numpy(), batch["seg"].to_pylist()
         rank = pc.rank(key, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
         seg, win = engine(spec, segs, rank, lo.astype(np.int64))
@@ -289,19 +297,20 @@ def find(spec: Spec, base: DataFrame, engine: Callable) -> tuple[DataFrame, Data
     seg = _segments(spec, x, True)
     discard(cand)
     g = materialize(seg.groupBy("h", "s").agg(F.min(F.struct("key", "lo", "hi", "off", "seg")).alias("r"), F.count("*").alias("c")).select("h", "s", "c", "r.*"), "segments")
-    several = g.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    reps = materialize(g.join(several, "h").select("h", "m", "key", "lo", "seg"), "representatives")
+    # seeds with too many different segments for one deal
+    many = materialize(g.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > spec.hot).select("h"), "hot-seeds")
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = g.select("h", "key", "lo", "seg").join(many, "h", "left_anti")
+    deals = materialize(compare_deals(spec, cold.repartition(parts, "h").sortWithinPartitions("h"), engine), "deals")
+    hot = _hot_windows(spec, g.join(many, "h", "left_semi"))
+    least = hot.groupBy("w1", "w2").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("w1", "w2", F.col("f.key").alias("k0"), F.col("f.at").alias("a0"))
+    spread = hot.join(least, ["w1", "w2"]).where((F.col("key") != F.col("k0")) | (F.col("at") != F.col("a0"))).select("key", F.col("at").alias("a"), (F.col("at") + spec.span).alias("b"))
     later = (
         _segments(spec, x, False)
         .join(g.where("c > 1").select("h", "s", F.col("key").alias("k0"), F.col("lo").alias("l0")), ["h", "s"])
         .where((F.col("key") != F.col("k0")) | (F.col("lo") != F.col("l0")))
         .select("key", F.col("lo").alias("a"), (F.col("hi") + spec.span).alias("b"))
     )
-    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deals = compare_deals(spec, reps.where(F.col("m") <= spec.hot).repartition(parts, "h").sortWithinPartitions("h"), engine)
-    hot = _hot_windows(spec, reps.where(F.col("m") > spec.hot))
-    least = hot.groupBy("w1", "w2").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("w1", "w2", F.col("f.key").alias("k0"), F.col("f.at").alias("a0"))
-    spread = hot.join(least, ["w1", "w2"]).where((F.col("key") != F.col("k0")) | (F.col("at") != F.col("a0"))).select("key", F.col("at").alias("a"), (F.col("at") + spec.span).alias("b"))
     runs = later.unionByName(deals).unionByName(spread).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     return info, x.select("key", "text").join(runs, "key")
 

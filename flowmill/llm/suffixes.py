@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import window_hashes
+from flowmill.llm.common import materialize, scratch, window_hashes
 from flowmill.llm.repeats import BYTE, Spec, find, keyed, merged
 
 SPAN = 100
@@ -159,7 +159,6 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
     also kept, the remaining text, for documents of which a part goes: null where nothing
     or everything is removed. There a run shrinks to whole characters."""
     base = keyed(docs, id_col, text_col)
-    info, cut = find(spec, base, engine)
 
     def run(it):
         for b in it:
@@ -187,7 +186,10 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["key", "removed", "spans", "left", "kept"])
 
     kind = base.schema["key"].dataType
-    changed = cut.mapInArrow(run, T.StructType([T.StructField("key", kind), *T._parse_datatype_string("removed long, spans long, left string, kept string").fields]))
+    with scratch() as tables:
+        info, cut = find(spec, base, engine)
+        changed = tables.keep(materialize(cut.mapInArrow(run, T.StructType([T.StructField("key", kind), *T._parse_datatype_string("removed long, spans long, left string, kept string").fields])), "changed"))
+        tables.keep(info)
     per_key = info.join(changed, "key", "left").select(
         "key",
         F.col("n").alias("n_bytes"),
