@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from flowmill.llm import bpe, langid, mixing, neardup, suffixes
 from flowmill.llm.common import materialize
+from flowmill.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("mixing", mix), ("bpe", encode)]
+def _shipped(stage):
+    """The stage, with the package sent to the executors first."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _shipped(f)) for name, f in (("language_id", language_id), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("mixing", mix), ("bpe", encode))]
 #: SQL has no language model, signature banding or tokenizer; tests hold run() against plain Python.
 ORACLE_SQL = None
 
