@@ -277,11 +277,12 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
 def _grouped_keys(base: DataFrame, spec: Spec) -> DataFrame:
     unique = isinstance(base.schema["key"].dataType, T.LongType)
     t = materialize(_signed_rows(spec, base if unique else base.select("key", "text").dropDuplicates(["key"])), "signatures")
-    first = t.where("n > 0").groupBy("same").agg(F.min("key").alias("rep"), F.count("*").alias("c")).where("c > 1").select("same", "rep")
+    # aggregates are written before they are joined, so that hot keys of the join can be split
+    first = materialize(t.where("n > 0").groupBy("same").agg(F.min("key").alias("rep"), F.count("*").alias("c")).where("c > 1").select("same", "rep"), "equal-sets")
     info = materialize(t.select("key", "n", "same").join(first, "same", "left").select("key", "n", F.coalesce("rep", "key").alias("rep")), "classes")
     reps = t.join(info.where("key != rep").select("key"), "key", "left_anti")
     entry = reps.select("key", F.explode("bands").alias("b"))
-    shared = entry.groupBy("b").agg(F.min("key").alias("v"), F.count("*").alias("c")).where("c > 1").select("b", "v")
+    shared = materialize(entry.groupBy("b").agg(F.min("key").alias("v"), F.count("*").alias("c")).where("c > 1").select("b", "v"), "shared-buckets")
     bucket = materialize(entry.join(shared, "b"), "buckets")
     most = bucket.where("key != v").groupBy("key", "v").agg(F.count("*").alias("c")).groupBy("key").agg(F.min(F.struct(-F.col("c"), "v")).alias("x")).select(F.col("key").alias("u"), F.col("x.v").alias("v"))
     stars = materialize(most, "stars")
@@ -291,7 +292,7 @@ def _grouped_keys(base: DataFrame, spec: Spec) -> DataFrame:
     for turn in range(spec.rounds + 1):
         best = best and turn < spec.rounds
         inside = bucket.join(comp.select(F.col("u").alias("key"), "root"), "key", "left").select("b", "key", F.coalesce("root", "key").alias("comp"))
-        several = inside.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b")
+        several = materialize(inside.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b"), "open-buckets")
         rest = materialize(inside.join(several, "b").join(t.select("key", "n", "sig", "cls"), "key").select("b", "key", "comp", "n", "sig", "cls"), "rest")
         pairs = materialize(_between(spec, rest, best).join(done, ["u", "v"], "left_anti"), "pairs")
         discard(rest)
