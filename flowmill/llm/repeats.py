@@ -284,12 +284,14 @@ def find(spec: Spec, base: DataFrame, engine: Callable) -> tuple[DataFrame, Data
     something to remove and are not whole copies, (key, text, runs: covered [a, b))."""
     t1 = materialize(_seed_rows(spec, base), "seeds")
     once = t1.dropDuplicates(["key"]) if not isinstance(base.schema["key"].dataType, T.LongType) else t1
-    first = once.where(F.col("n") >= spec.span).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1")
+    # aggregates are written before they are joined: a join of two plain exchanges is one whose
+    # hot keys adaptive execution can split
+    first = materialize(once.where(F.col("n") >= spec.span).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1"), "first-copies")
     info = once.select("key", "n", "sha").join(first.select("sha", "first"), "sha", "left").select("key", "n", "sha", F.coalesce(F.col("first") != F.col("key"), F.lit(False)).alias("copy"))
     info = materialize(info, "copies")
     # a whole copy is settled; its seeds count no more
     occ = once.join(info.where("copy").select("key"), "key", "left_anti").select("key", F.explode("hs").alias("h"))
-    again = occ.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    again = materialize(occ.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated-seeds")
     cand = occ.join(again, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
     cand = materialize(cand, "candidates")
     discard(t1)
@@ -303,7 +305,7 @@ def find(spec: Spec, base: DataFrame, engine: Callable) -> tuple[DataFrame, Data
     cold = g.select("h", "key", "lo", "seg").join(many, "h", "left_anti")
     deals = materialize(compare_deals(spec, cold.repartition(parts, "h").sortWithinPartitions("h"), engine), "deals")
     hot = _hot_windows(spec, g.join(many, "h", "left_semi"))
-    least = hot.groupBy("w1", "w2").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("w1", "w2", F.col("f.key").alias("k0"), F.col("f.at").alias("a0"))
+    least = materialize(hot.groupBy("w1", "w2").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("w1", "w2", F.col("f.key").alias("k0"), F.col("f.at").alias("a0")), "hot-windows")
     spread = hot.join(least, ["w1", "w2"]).where((F.col("key") != F.col("k0")) | (F.col("at") != F.col("a0"))).select("key", F.col("at").alias("a"), (F.col("at") + spec.span).alias("b"))
     later = (
         _segments(spec, x, False)
