@@ -1,10 +1,10 @@
 """Routing: which queues a message reaches.
 
 A binding's predicate depends on its exchange's kind, so bindings are split by kind at plan
-time and each part becomes the cheapest join that fits: direct keys and topic patterns
-without wildcards are equi-joins on (exchange, key), fanout on exchange, and only wildcard
-patterns and headers add a predicate to the equi-join on exchange. Bindings are joined
-without a hint: the optimizer broadcasts them where their size allows. Message bodies never
+time into two joins: direct keys and topic patterns without wildcards are equi-joins on
+(exchange, key); fanout, wildcard patterns and headers are one equi-join on exchange with
+their predicates side by side. So the messages are read twice, not once a kind. Bindings are
+joined without a hint: the optimizer broadcasts them where their size allows. Message bodies never
 go through here.
 """
 
@@ -27,22 +27,23 @@ def matched(messages: DataFrame, bindings: DataFrame, exchanges: DataFrame, sour
 
     bindings: source, target, routing_key, and arguments where headers exchanges are used.
     """
-    b = _with_kind(bindings, exchanges, source).withColumnsRenamed({source: "_source", "routing_key": "_pattern"})
-    args = F.col("arguments") if "arguments" in bindings.columns else F.lit(None).cast("map<string,struct<t:string,v:string>>")
-    b = b.select("_source", target, "kind", "_pattern", args.alias("_args"))
-    m = messages
-    here = m["exchange"] == F.col("_source")
-    literal = b.where((F.col("kind") == "direct") | ((F.col("kind") == "topic") & ~has_wildcard(F.col("_pattern")))).select("_source", target, "_pattern")
-    parts = [m.join(literal, here & (m["routing_key"] == F.col("_pattern")))]
-    parts.append(m.join(b.where("kind = 'fanout'").select("_source", target), here))
-    wild = b.where((F.col("kind") == "topic") & has_wildcard(F.col("_pattern"))).select("_source", target, topic_regex(F.col("_pattern")).alias("_regex"))
-    parts.append(m.join(wild, here & F.regexp(topic_subject(m["routing_key"]), F.col("_regex"))))
-    if "headers" in messages.columns and "arguments" in bindings.columns:
-        parts.append(m.join(b.where("kind = 'headers'").select("_source", target, "_args"), here & headers_match(F.col("_args"), m["headers"])))
-    keep = [*messages.columns, target]
-    out = parts[0].select(keep)
-    for p in parts[1:]:
-        out = out.union(p.select(keep))
+    b = _with_kind(bindings, exchanges, source)
+    args = [F.col("arguments").alias("_args")] if "arguments" in bindings.columns else []
+    b = b.select(F.col(source).alias("_from"), F.col(target).alias("_to"), F.col("kind").alias("_kind"), F.col("routing_key").alias("_pattern"), *args)
+    here = messages["exchange"] == F.col("_from")
+    literal = (F.col("_kind") == "direct") | ((F.col("_kind") == "topic") & ~has_wildcard(F.col("_pattern")))
+    keep = [*[messages[c] for c in messages.columns], F.col("_to").alias(target)]
+    by_key = messages.join(b.where(literal).select("_from", "_to", "_pattern"), here & (messages["routing_key"] == F.col("_pattern"))).select(*keep)
+    rest = b.where(~literal).withColumn("_regex", topic_regex(F.col("_pattern")))
+    return by_key.union(messages.join(rest, here & _fits(messages, rest)).select(*keep))
+
+
+def _fits(messages: DataFrame, b: DataFrame):
+    """The predicates of all kinds side by side; an unknown kind fits nothing."""
+    key = messages["routing_key"]
+    out = F.when(F.col("_kind") == "fanout", True).when(F.col("_kind") == "direct", F.col("_pattern") == key).when(F.col("_kind") == "topic", F.regexp(topic_subject(key), F.col("_regex")))
+    if "headers" in messages.columns and "_args" in b.columns:
+        out = out.when(F.col("_kind") == "headers", headers_match(F.col("_args"), messages["headers"]))
     return out
 
 
@@ -71,12 +72,8 @@ def longest_path(edges: list[tuple[str, str]]) -> int:
 def _next_exchanges(messages: DataFrame, x: DataFrame) -> DataFrame:
     """messages at the exchanges one hop on. There are few edges, so all kinds share one join
     on the source with their predicates side by side, and a hop reads its input once."""
-    m, key = messages, messages["routing_key"]
-    fits = F.when(F.col("_kind") == "fanout", True).when(F.col("_kind") == "direct", F.col("_pattern") == key).when(F.col("_kind") == "topic", F.regexp(topic_subject(key), F.col("_regex")))
-    if "headers" in messages.columns and "_args" in x.columns:
-        fits = fits.when(F.col("_kind") == "headers", headers_match(F.col("_args"), m["headers"]))
-    keep = [F.col("_to").alias(c) if c == "exchange" else m[c] for c in messages.columns]
-    return m.join(x, (m["exchange"] == F.col("_from")) & fits).select(*keep).dropDuplicates(["delivery_tag", "exchange"])
+    keep = [F.col("_to").alias(c) if c == "exchange" else messages[c] for c in messages.columns]
+    return messages.join(x, (messages["exchange"] == F.col("_from")) & _fits(messages, x)).select(*keep).dropDuplicates(["delivery_tag", "exchange"])
 
 
 def reached_exchanges(messages: DataFrame, xbindings: DataFrame, exchanges: DataFrame, hops: int) -> DataFrame:

@@ -314,7 +314,7 @@ select channel, strftime(published_at, '%Y-%m-%d %H') as hour, round(sum(case wh
 
 
 def depth_by_queue(spark, sf):
-    """Ready and unacked by queue from the log: the reference's panels without data."""
+    """Ready and unacked by queue, from the log."""
     m = messages(spark, sf)
     return m.groupBy(F.col("event_type").alias("queue")).agg(F.count_if(F.col("k") % 3 == 0).alias("ready"), F.count_if(F.col("k") % 3 == 1).alias("unacked"))
 
