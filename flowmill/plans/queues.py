@@ -164,7 +164,7 @@ def drop_head_eviction_point(spark, sf):
 
 
 def drop_head_eviction_point_bytes(spark, sf):
-    return Q.evicted_by_bytes(queued(spark, sf).where("k < 40"), 90_000)
+    return Q.evicted_by_bytes(queued(spark, sf), 90_000)
 
 
 def reject_publish_count(spark, sf):
