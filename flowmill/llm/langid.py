@@ -10,8 +10,9 @@ For each document the log posterior of a language adds up
 - the host: a prior smoothed towards that of its suffix, itself smoothed towards that of
   all documents; the counts behind all three are grouped aggregations over all documents.
 
-Trigram counts are fitted on at most `max_rows` rows with a declared language, chosen by a
-hash of the id. Everything on the driver is bounded: languages by `max_langs`, trigram
+Trigram counts are fitted on about `max_rows` rows with a declared language, dealt to the
+languages evenly: all rows of a small language, and of a larger one those that a salted hash
+of id and text picks. A language needs `least_rows` fitted rows with a trigram. Everything on the driver is bounded: languages by `max_langs`, trigram
 classes by 2**16, declared values by the languages and "other". Host priors hold one row
 per host; they are broadcast up to `few_hosts` hosts and joined by shuffle beyond.
 
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from flowmill.llm.common import batches, flat, materialize, text_of
 
 CLASSES = 1 << 16
+#: Of the hash that picks fitted rows: its range and its salt.
+SPREAD, SALT = 1 << 40, "langid"
 # Languages of country suffixes.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pl": "pl", "pt": "pt", "br": "pt", "ru": "ru", "jp": "ja", "cn": "zh", "kr": "ko", "se": "sv", "tr": "tr", "cz": "cs"}
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -88,12 +91,12 @@ class Text:
         return out
 
 
-def evidence(docs: DataFrame, text: str | Column = "text", declared: str | Column = "lang", host: str | Column = "source", suffix: Column | None = None) -> DataFrame:
-    """Columns _text, _declared, _host, _suffix beside those of docs."""
+def evidence(docs: DataFrame, text: str | Column = "text", declared: str | Column = "lang", host: str | Column = "source", suffix: Column | None = None, key: str = "doc_id") -> DataFrame:
+    """Columns _key, _text, _declared, _host, _suffix beside those of docs."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
     host = F.lower(c(host))
     suffix = F.regexp_extract(host, r"\.([a-z]+)$", 1) if suffix is None else suffix
-    return docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), text_of(c(text)).alias("_text"), F.lower(F.regexp_extract(c(declared), "^([A-Za-z]+)", 1)).alias("_declared"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(suffix, F.lit("")).alias("_suffix"))
+    return docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), F.col(key).alias("_key"), text_of(c(text)).alias("_text"), F.lower(F.regexp_extract(c(declared), "^([A-Za-z]+)", 1)).alias("_declared"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(suffix, F.lit("")).alias("_suffix"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -101,32 +104,50 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     site = F.regexp_replace(host, r"^(www|m|blog)\.", "")
-    return evidence(pages, body, F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1), site)
+    return evidence(pages, body, F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1), site, key="page_id")
+
+
+def shares(sizes: dict[str, int], max_rows: int) -> dict[str, float]:
+    """The part of each language's rows to fit: max_rows dealt evenly, and what small languages
+    leave over dealt to the others."""
+    out, left = {}, float(max_rows)
+    for i, (x, n) in enumerate(sorted(sizes.items(), key=lambda s: (s[1], s[0]))):
+        out[x] = min(1.0, left / (len(sizes) - i) / n)
+        left -= out[x] * n
+    return out
 
 
 def learn_text(ev: DataFrame, spec: Spec = Spec()) -> Text:
-    said = ev.where((F.col("_declared") != "") & (F.length("_text") > 0))
+    said = ev.where((F.col("_declared") != "") & (F.octet_length("_text") > 2))
     sizes = said.groupBy("_declared").agg(F.count("*").alias("n")).where(F.col("n") >= spec.least_rows).orderBy(F.desc("n"), "_declared").limit(spec.max_langs).collect()
     langs = sorted(r["_declared"] for r in sizes)
     if not langs:
         return Text([], np.zeros((CLASSES + 1, 0), np.float32))
-    part = min(1.0, spec.max_rows / sum(r.n for r in sizes))
-    rows = said.where(F.col("_declared").isin(langs) & (F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1))
+    part = shares({r["_declared"]: r.n for r in sizes}, spec.max_rows)
+    limit = F.lit(SPREAD)
+    for x in langs:
+        if part[x] < 1:
+            limit = F.when(F.col("_declared") == x, F.lit(int(part[x] * SPREAD))).otherwise(limit)
+    rows = said.where(F.col("_declared").isin(langs) & (F.pmod(F.xxhash64(F.lit(SALT), "_key", "_text"), F.lit(SPREAD)) < limit))
     of = {x: i for i, x in enumerate(langs)}
+    width = CLASSES + 2  # the last counts rows
 
     def run(it):
-        total = np.zeros(len(langs) * (CLASSES + 1), np.int64)
+        total = np.zeros(len(langs) * width, np.int64)
         for b in batches(it, 4 << 20, "_text"):
             data, offs = flat(b.column(0))
             lang = np.array([of[x] for x in b.column(1).to_pylist()])
-            total += np.bincount(np.repeat(lang, np.diff(offs)) * (CLASSES + 1) + trigrams(data, offs), minlength=len(total))
+            total += np.bincount(np.repeat(lang, np.diff(offs)) * width + trigrams(data, offs), minlength=len(total))
+            total += np.bincount(lang * width + CLASSES + 1, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
     got = rows.select("_text", "_declared").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(langs) * (CLASSES + 1))
+    counts = np.zeros(len(langs) * width)
     counts[got["at"].to_numpy()] = got["n"].to_numpy()
-    counts = counts.reshape(len(langs), -1)[:, :CLASSES] + 0.05
+    counts = counts.reshape(len(langs), -1)
+    fitted = counts[:, CLASSES + 1] >= spec.least_rows
+    langs, counts = [x for x, f in zip(langs, fitted) if f], counts[fitted, :CLASSES] + 0.05
     table = np.log(counts / counts.sum(axis=1, keepdims=True)).T
     return Text(langs, np.vstack([table, np.zeros((1, len(langs)))]).astype(np.float32))
 

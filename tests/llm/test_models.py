@@ -341,3 +341,20 @@ def test_no_language_at_all(spark):
 def test_pages(spark):
     rows = langid.pages(spark, SF).collect()
     assert rows and sum(r.lang_id == r.declared for r in rows) / len(rows) > 0.9
+
+
+def test_rare_languages_are_fitted(spark):
+    """However many rows the others have, a language that is counted is also fitted."""
+    r = random.Random(5)
+    of = {"en": "the house of king and queen with their old garden near river", "cs": "dum krale zahrada stara kralovna blizko reky jejich ktery neni", "es": "casa del rey jardin viejo reina cerca rio donde siempre estaba"}
+    rows = [(i, " ".join(r.choices(of[x].split(), k=30)), x, None) for i, x in enumerate(["en"] * 3000 + ["cs"] * 6 + ["es"] * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = langid.identify(df, langid.Spec(max_rows=60)).where("doc_id >= 2990").collect()
+    assert len(got) == 22 and all(x.text_lang == x.lang_id == x.declared for x in got)
+    # too few fitted rows: no language, instead of a flat one
+    assert langid.learn_text(langid.evidence(df), langid.Spec(max_rows=6)).langs == []
+
+
+def test_language_shares():
+    assert langid.shares({"a": 10, "b": 1000, "c": 3000}, 110) == {"a": 1.0, "b": 0.05, "c": 50 / 3000}
+    assert langid.shares({"a": 10, "b": 20}, 100) == {"a": 1.0, "b": 1.0}
