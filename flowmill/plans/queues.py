@@ -101,7 +101,7 @@ EXPIRES_MS = 3_600_000
 
 
 def queue_idle_expiry(spark, sf):
-    t = messages(spark, sf).where("k < 25").select(F.concat_ws("-", "event_type", F.col("channel").cast("string")).alias("queue"), P.epoch_ms("published_at").alias("at_ms"))
+    t = messages(spark, sf).select(F.concat_ws("-", "event_type", F.col("channel").cast("string")).alias("queue"), P.epoch_ms("published_at").alias("at_ms"))
     return T.lives(t, F.lit(EXPIRES_MS)).select("queue", "from_ms", "last_ms", "touches", "ends_ms")
 
 

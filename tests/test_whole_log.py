@@ -30,3 +30,16 @@ def test_eviction_points_by_bytes_of_the_whole_log(spark, log):
         while sum(b for _, b in q) > 90_000 and len(q) > 1:
             want.append((queue, q.pop(0)[0], tag))
     assert want and result(spark, "drop_head_eviction_point_bytes", "queue", "tag", "evicted_by") == sorted(want)
+
+
+def test_idle_expiry_counts_every_touch(spark, log):
+    lives: dict = {}
+    for _, event, _, user, _, at in sorted(log, key=lambda m: m[5]):
+        own = lives.setdefault(f"{event}-{user % 4}", [])
+        if own and at - own[-1][1] < 3_600_000:
+            own[-1][1:] = [at, own[-1][2] + 1]
+        else:
+            own.append([at, at, 1])
+    want = sorted((q, a, b, n, b + 3_600_000) for q, own in lives.items() for a, b, n in own)
+    assert sum(x[3] for x in want) == len(log)
+    assert result(spark, "queue_idle_expiry", "queue", "from_ms", "last_ms", "touches", "ends_ms") == want
