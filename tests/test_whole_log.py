@@ -1,11 +1,13 @@
 """Queries whose result must cover every message, against plain simulations of the whole log."""
 
 import json
+import re
 
 import pyarrow.parquet as pq
 import pytest
 
-from flowmill.plans import registry
+from flowmill.operators.authz import OPERATIONS
+from flowmill.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +45,15 @@ def test_idle_expiry_counts_every_touch(spark, log):
     want = sorted((q, a, b, n, b + 3_600_000) for q, own in lives.items() for a, b, n in own)
     assert sum(x[3] for x in want) == len(log)
     assert result(spark, "queue_idle_expiry", "queue", "from_ms", "last_ms", "touches", "ends_ms") == want
+
+
+def test_every_request_is_decided(spark, log):
+    operations = list(dict.fromkeys(o for o, _, _ in OPERATIONS))
+    granted = {u: {"configure": c, "write": w, "read": r} for u, vhost, c, w, r in fixtures.PERMISSIONS[1] if vhost == "/"}
+    want = []
+    for tag, _, k, user, _, _ in log:
+        username, operation = f"u{user % 7}", operations[k % 12]
+        name = {"exchange": ("amq.default", "amq.topic", "click.x", "u5-x")[k % 4], "queue": ("q.1", "view.all", "u5-q")[k % 3], "destination": "amq.fanout"}
+        patterns = [(granted.get(username, {}).get(p), name[part]) for o, p, part in OPERATIONS if o == operation]
+        want.append((tag, username, operation, all(bool(p and re.search(p, n)) for p, n in patterns)))
+    assert result(spark, "authz_decisions", "id", "username", "operation", "allowed") == want
