@@ -229,7 +229,7 @@ def declare_ok_counts(spark, sf):
 
 
 def exclusive_owner(spark, sf):
-    m = messages(spark, sf).where("k < 5").select(F.concat_ws("-", "event_type", F.col("k").cast("string")).alias("queue"), F.col("delivery_tag").alias("seq"), (F.col("user_id") % 7).alias("connection"))
+    m = messages(spark, sf).select(F.concat_ws("-", "event_type", F.col("k").cast("string")).alias("queue"), F.col("delivery_tag").alias("seq"), (F.col("user_id") % 7).alias("connection"))
     return D.exclusive_owner(m)
 
 
@@ -239,7 +239,7 @@ def durable_bindings(spark, sf):
 
 
 def exclusive_consumers(spark, sf):
-    m = messages(spark, sf).where("k < 20").select(F.concat_ws("-", "event_type", F.col("k").cast("string")).alias("queue"), F.col("user_id").alias("consumer"), F.col("delivery_tag").alias("seq"), (F.col("user_id") % 4 == 0).alias("exclusive"))
+    m = messages(spark, sf).select(F.concat_ws("-", "event_type", F.col("k").cast("string")).alias("queue"), F.col("user_id").alias("consumer"), F.col("delivery_tag").alias("seq"), (F.col("user_id") % 4 == 0).alias("exclusive"))
     return D.exclusive_consumers(m).groupBy("queue").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"))
 
 

@@ -57,3 +57,25 @@ def test_every_request_is_decided(spark, log):
         patterns = [(granted.get(username, {}).get(p), name[part]) for o, p, part in OPERATIONS if o == operation]
         want.append((tag, username, operation, all(bool(p and re.search(p, n)) for p, n in patterns)))
     assert result(spark, "authz_decisions", "id", "username", "operation", "allowed") == want
+
+
+def test_exclusive_queues_of_every_key(spark, log):
+    owner: dict = {}
+    want = []
+    for tag, event, k, user, _, _ in log:
+        own = owner.setdefault(f"{event}-{k}", user % 7)
+        want.append((tag, f"{event}-{k}", user % 7, own, 405 if user % 7 != own else None))
+    assert result(spark, "exclusive_owner", "seq", "queue", "connection", "owner", "reply_code") == want
+
+
+def test_exclusive_consumers_of_every_key(spark, log):
+    there: dict = {}
+    for _, event, k, user, _, _ in log:
+        q = there.setdefault(f"{event}-{k}", {"accepted": [], "refused": 0})
+        exclusive = user % 4 == 0
+        if q["accepted"] and (exclusive or any(q["accepted"])):
+            q["refused"] += 1
+        else:
+            q["accepted"].append(exclusive)
+    want = sorted((name, len(q["accepted"]), q["refused"]) for name, q in there.items())
+    assert result(spark, "exclusive_consumers", "queue", "accepted", "refused") == want
