@@ -5,22 +5,31 @@ there are, by weight, and none gets more than `cap` times its own words; what a
 off is shared again by weight among the rest. The level at which that settles has a
 closed form over the sources sorted by cap / weight, so it needs no iteration.
 
-A source with target t and s words takes each document floor(t / s) whole times for
-certain. The rest, t - s * floor(t / s) words, is an order sample: each document has the
-inclusion probability p = rest / s and a fixed random number U from its id, documents
-rank by Pareto's ratio (U / (1-U)) / (p / (1-p)), and the lowest are taken until their
-words reach the rest. p is one number within a source and differs between sources, so
-inside a source the ratio orders documents as U does, and the integer behind U serves as
-the key: no rounding, and reruns agree on any engine.
-
-Running sums over a source that holds a third of all rows never meet in one task: the
-key's leading bits deal each source out over `buckets` buckets, words are added up by
-(source, bucket) with partial aggregation, the bucket totals are summed in order (at most
-`buckets` rows a source), and only documents of one bucket are ordered together.
-
-Defined cases: a null text has no words; a null source is one source, last in order; a
-null doc_id takes part with the key of the word "null"; rows with equal ids tie in the key and go by
-size, so equal rows are interchangeable; an empty table gives an empty result.
+Within a source longer documents, which hold more connected text, are drawn with better
+odds. Documents of b + 1 binary digits of words form a class of pull 2**(b/4), and the class
+is to be taken m = min(cap, c * pull) times on average, c being such that the source's words
+times m add up to its target: the same sharing, once more. Then
+
+1. each document is allocated floor(m) whole copies for certain;
+2. what is left of m is its inclusion probability p, which differs between classes. The
+   source's remaining words are the size of an order sample: each document has a fixed random
+   number U from its id and text, documents rank by Pareto's ratio
+   (U / (1-U)) / (p / (1-p)), random odds over inclusion odds, and the lowest are taken until
+   their words reach that size. A sample is of fixed size in words, as the targets are.
+
+No source is ever sorted. Words are added up by (source, bucket of ratio / (1 + ratio)), a
+partial aggregation; the running sums of at most `buckets` rows a source tell the bucket in
+which the sample ends. Only that bucket's documents are ordered. As the words to take are the
+sum of p times words, the sample ends near a ratio of 1, where a bucket holds about
+4 p (1 - p) / `buckets` of a class: never more than an even share. Every document is then
+judged by itself against its source's last ratio, so texts do not move.
+
+Defined cases: a null text has no words; a document without words counts as one of the
+first class, takes no words and may have copies; a null source is one source, last in order;
+a null doc_id takes part as the word "null"; rows equal in id and text have one ratio and are
+taken or left together, by which comes nearer; a source without words has no copies; an empty
+table gives an empty result; very long texts are counted by a scan that keeps no list of
+words; other columns pass through mix() whatever their names.
 The window over the source table itself holds one row per source.
 """
 
@@ -43,9 +52,10 @@ def count_words(text: Column) -> Column:
     return (F.length(marked) - F.length(F.replace(marked, F.lit("W"), F.lit("")))).cast("long")
 
 
-def key_of(doc_id: Column) -> Column:
-    """The top 48 bits of md5 of the id as text: uniform, and the same in any engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, BITS // 4), 16, 10).cast("long")
+def key_of(doc_id: Column, text: Column) -> Column:
+    """The top 48 bits of md5 of id and text: uniform, and the same in any engine."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(both), 1, BITS // 4), 16, 10).cast("long")
 
 
 def _weight(rank0: Column, weights) -> Column:
@@ -55,68 +65,93 @@ def _weight(rank0: Column, weights) -> Column:
     return out.cast("long")
 
 
+def _shared(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """Each group's `total` shared among its rows by w, none above its `limit`: adds got.
+
+    order sorts by limit / w. The level, were all rows before this one at their limit and none
+    from it on, rises up to the true one and falls after it; so the true level is the largest
+    that leaves its own row below the limit.
+    """
+    everything = Window.partitionBy(*by)
+    ordered = everything.orderBy(*order)
+    before, on = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(0, Window.unboundedFollowing)
+    level = F.try_divide(F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0)), F.sum("w").over(on))
+    x = df.withColumn("level", level)
+    x = x.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.col("level"))).over(everything))
+    most = F.col("level").isNull() | (F.col("level") * F.col("w") > F.col("limit"))
+    return x.withColumn("got", F.when(most, F.col("limit").cast("double")).otherwise(F.col("level") * F.col("w")))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """sizes: one row per source (src, src_null, source_size). Adds target."""
-    by_name = Window.orderBy("src_null", "src")
-    by_level = Window.orderBy(F.col("capped") / F.col("w"), "src_null", "src")
-    everything = Window.partitionBy()
-    w = (
-        sizes.withColumn("w", _weight(F.row_number().over(by_name) - 1, weights))
-        .withColumn("capped", (F.col("source_size") * cap).cast("long"))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("w_all", F.sum("w").over(everything))
-        .withColumn("cap_before", F.coalesce(F.sum("capped").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("w_before", F.coalesce(F.sum("w").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        # the level, were all before this source capped and none from it on; it rises up to the true
-        # one and falls after it, so the true level is the largest that leaves its source uncapped
-        .withColumn("level", (F.col("total") * F.lit(share) - F.col("cap_before")) / (F.col("w_all") - F.col("w_before")))
-        .withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("capped"), F.col("level"))).over(everything))
-    )
-    return w.select("src", "src_null", "source_size", F.when(F.col("level").isNull() | (F.col("level") * F.col("w") > F.col("capped")), F.col("capped").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
+    named = sizes.withColumn("w", _weight(F.row_number().over(Window.orderBy("src_null", "src")) - 1, weights)).withColumn("limit", (F.col("source_size") * cap).cast("long"))
+    named = named.withColumn("total", F.sum("source_size").over(Window.partitionBy()) * F.lit(share))
+    return _shared(named, [], [F.col("limit") / F.col("w"), "src_null", "src"]).select("src", "src_null", "source_size", F.col("got").alias("target"))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken, key, pareto."""
-    b = materialize(
-        docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").isNull().alias("src_null"), count_words(F.col("text")).alias("size"), key_of(F.col("doc_id")).alias("key")).withColumn("bucket", F.floor(F.col("key") / F.lit(float(2**BITS // buckets))).cast("int")),
-        "mix-sizes",
-    )
-    sums = materialize(b.groupBy("src", "src_null", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
-    source = targets(sums.groupBy("src", "src_null").agg(F.sum("words").alias("source_size")), weights, share, cap)
-    before = Window.partitionBy("src", "src_null").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    deal = (
-        sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        .join(source, ["src", "src_null"])
-        .withColumn("whole", F.when(F.col("target") >= 2 * F.col("source_size"), 2).when(F.col("target") >= F.col("source_size"), 1).otherwise(0) if cap == 2 else F.floor(F.try_divide(F.col("target"), F.col("source_size"))))
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.col("whole")).otherwise(0).cast("long"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .select("src", "src_null", "bucket", "before", "source_size", "target", "whole", "rest")
-    )
-    inside = Window.partitionBy("src", "src_null", "bucket").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    p = F.try_divide(F.col("rest"), F.col("source_size"))
+def _sized(docs: DataFrame) -> DataFrame:
+    """src, src_null, size, key and class of each row, which is kept whole as `row`."""
+    size = count_words(F.col("text"))
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").isNull().alias("src_null"), size.alias("size"), key_of(F.col("doc_id"), F.col("text")).alias("key"))
+    return x.withColumn("cls", F.length(F.bin(F.greatest("size", F.lit(1)))) - 1)
+
+
+def _ratio() -> Column:
+    """Pareto's ratio; null for documents that are not drawn."""
     u = (F.col("key") + 0.5) / F.lit(float(2**BITS))
-    return (
-        b.join(deal, ["src", "src_null", "bucket"])
-        .withColumn("prefix", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        # the document across the edge is taken if that leaves the smaller error
-        .withColumn("copies", F.col("whole") + ((F.col("rest") > 0) & (F.col("prefix") + F.col("size") / 2 <= F.col("rest"))).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key", F.when((p > 0) & (p < 1), F.try_divide(u / (1 - u), F.try_divide(p, 1 - p))).alias("pareto"))
-    )
+    return F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.least(F.floor(F.col("pareto") / (1 + F.col("pareto")) * buckets), F.lit(buckets - 1)).cast("int")
+
+
+def _deal(b: DataFrame, weights, share: float, cap: int, buckets: int) -> DataFrame:
+    """b: id, src, src_null, size, key, cls. One row per source and class: whole, p, and where
+    the sample ends: bucket `edge`, and in it the tuple `last`."""
+    by = ["src", "src_null"]
+    sums = materialize(b.groupBy(*by, "cls").agg(F.sum("size").alias("words")), "mix-classes")
+    source = targets(sums.groupBy(*by).agg(F.sum("words").alias("source_size")), weights, share, cap)
+    pull = F.sqrt(F.sqrt(F.pow(F.lit(2.0), F.col("cls").cast("double"))))
+    classes = sums.join(source, by).withColumn("w", pull * F.col("words")).withColumn("limit", F.col("words") * cap).withColumn("total", F.col("target"))
+    # by limit / w, which falls with the class
+    classes = _shared(classes, by, [F.desc("cls")])
+    often = F.when(F.col("source_size") == 0, 0.0).when(F.col("target") >= F.col("source_size") * cap, float(cap))
+    often = often.otherwise(F.when(F.col("level").isNull() | (F.col("level") * pull > cap), float(cap)).otherwise(F.col("level") * pull))
+    classes = classes.withColumn("often", often).withColumn("whole", F.floor("often")).withColumn("p", F.col("often") - F.col("whole"))
+    classes = materialize(classes.select(*by, "cls", "words", "source_size", "target", "whole", "p"), "mix-odds")
+    rest = classes.groupBy(*by).agg(F.sum(F.col("p") * F.col("words")).alias("rest"))
+    drawn = b.join(classes.select(*by, "cls", "p"), [*by, "cls"]).withColumn("pareto", _ratio()).where("pareto is not null").withColumn("bucket", _bucket(buckets))
+    filled = materialize(drawn.groupBy(*by, "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = filled.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(rest, by).where("before <= rest")
+    edge = materialize(edge.groupBy(*by).agg(F.max("bucket").alias("edge"), F.max("before").alias("before"), F.first("rest").alias("rest")), "mix-edges")
+    at = drawn.join(edge, by).where("bucket = edge").groupBy(*by, "pareto", "size", "id").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    inside = Window.partitionBy(*by).orderBy("pareto", "size", F.asc_nulls_first("id")).rowsBetween(Window.unboundedPreceding, -1)
+    # the document across the edge is taken if that leaves the smaller error
+    taken = at.withColumn("prefix", F.col("before") + F.coalesce(F.sum("words").over(inside), F.lit(0))).where(F.col("prefix") + F.col("words") / 2 <= F.col("rest"))
+    last = taken.groupBy(*by).agg(F.max(F.struct("pareto", "size", "id")).alias("last"))
+    return materialize(classes.drop("words").join(edge.select(*by, "edge"), by, "left").join(last, by, "left"), "mix-deal")
+
+
+def _judged(x: DataFrame, deal: DataFrame, buckets: int) -> DataFrame:
+    """Adds to each row whole, p, pareto, source_size, target and copies."""
+    x = x.join(deal, ["src", "src_null", "cls"]).withColumn("pareto", _ratio()).withColumn("bucket", _bucket(buckets))
+    drawn = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.struct("pareto", "size", "id") <= F.col("last")))
+    return x.withColumn("copies", F.col("whole") + F.coalesce(drawn, F.lit(False)).cast("long"))
 
 
-def mix(docs: DataFrame, **params) -> DataFrame:
-    """The mixed rows themselves: every column of docs, each row as often as it is taken.
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies, taken, whole, p, pareto."""
+    b = materialize(_sized(docs).drop("row"), "mix-sizes")
+    out = _judged(b, _deal(b, weights, share, cap, buckets), buckets)
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "whole", "p", "pareto")
 
-    Rows meet their plan by (id, words). Rows equal in both share their copies: the first
-    ones by a hash of the whole row get one more where they do not divide evenly.
-    """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.col("doc_id").alias("id"), count_words(F.col("text")).alias("words"), row.alias("row"))
-    counts = plan(docs, **params).groupBy(F.col("doc_id").alias("i"), F.col("size").alias("w")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
-    x = rows.join(counts, F.col("id").eqNullSafe(F.col("i")) & (F.col("words") == F.col("w"))).select("id", "words", "row", "copies", "n")
-    nth = F.row_number().over(Window.partitionBy("id", "words").orderBy(F.xxhash64("row")))
-    shared = x.where("n > 1").withColumn("nth", nth).withColumn("copies", F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.col("copies") % F.col("n")).cast("long"))
-    each = x.where("n = 1").select("row", "copies").union(shared.select("row", "copies")).where("copies > 0")
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
+    """The mixed rows themselves: every column of docs, each row as often as it is taken."""
+    x = _sized(docs)
+    each = _judged(x, _deal(materialize(x.drop("row"), "mix-sizes"), weights, share, cap, buckets), buckets).where("copies > 0")
     return each.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
@@ -129,8 +164,9 @@ OP5_SQL = r"""
 with b as (
   select doc_id, coalesce(source, '') as src, source is null as src_null,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 12))::bigint as key
+         ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::bigint as key
   from documents),
+d as (select *, (key + 0.5::double) / 281474976710656::double as u, length(bin(greatest(size, 1))) - 1 as cls from b),
 s as (select src, src_null, sum(size)::bigint as source_size from b group by all),
 w as (
   select *, source_size * 2 as capped,
@@ -145,15 +181,31 @@ t as (
   select src, src_null, source_size,
          case when lv is null or lv * w > capped then capped::double else lv * w end as target
   from m),
+c as (
+  select d.src, d.src_null, cls, sqrt(sqrt((1::bigint << cls)::double)) as pull, sum(size)::double as words,
+         any_value(source_size) as source_size, any_value(target) as target
+  from d join t on d.src = t.src and d.src_null = t.src_null group by 1, 2, 3, 4),
+cl as (
+  select *, (target - coalesce(sum(words * 2) over (partition by src, src_null order by cls desc rows between unbounded preceding and 1 preceding), 0))
+            / nullif(sum(pull * words) over (partition by src, src_null order by cls desc rows between current row and unbounded following), 0) as level
+  from c),
+cm as (select *, max(case when level * (pull * words) <= words * 2 then level end) over (partition by src, src_null) as lv from cl),
+co as (
+  select *, case when source_size = 0 then 0.0 when target >= source_size * 2 then 2.0
+                 when lv is null or lv * pull > 2 then 2.0 else lv * pull end as often from cm),
+cr as (
+  select *, floor(often) as whole, often - floor(often) as p,
+         sum((often - floor(often)) * words) over (partition by src, src_null) as rest from co),
 r as (
-  select *, case when source_size = 0 then 0 when target >= 2 * source_size then 2
-                 when target >= source_size then 1 else 0 end as whole from t),
+  select d.doc_id, d.src, d.src_null, d.size, source_size, target, whole::bigint as whole, rest,
+         case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as pareto
+  from d join cr on d.src = cr.src and d.src_null = cr.src_null and d.cls = cr.cls),
 x as (
-  select b.doc_id, b.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size as rest,
-         coalesce(sum(b.size) over (partition by b.src, b.src_null order by b.key, b.size, b.doc_id
-                                    rows between unbounded preceding and 1 preceding), 0)::bigint as prefix
-  from b join r on b.src = r.src and b.src_null = r.src_null)
-select doc_id, size, source_size, target,
-       (size * (whole + case when rest > 0 and prefix + size / 2 <= rest then 1 else 0 end))::bigint as taken
-from x
+  select *, sum(size) over (partition by src, src_null, pareto, doc_id) as words,
+         coalesce(sum(size) over (partition by src, src_null order by pareto, size, doc_id nulls first
+                                  range between unbounded preceding and current row exclude group), 0) as prefix
+  from r where pareto is not null)
+select doc_id, size, source_size, target, (size * (whole + case when prefix + words / 2 <= rest then 1 else 0 end))::bigint as taken from x
+union all
+select doc_id, size, source_size, target, size * whole from r where pareto is null
 """

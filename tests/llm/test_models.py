@@ -234,6 +234,47 @@ def test_mixing(spark):
     assert sorted(map(tuple, p.collect())) == sorted(map(tuple, mixing.plan(df.repartition(5)).collect()))
 
 
+def test_pareto_ranks_by_unequal_odds(spark):
+    """Whole copies, odds by size, and the lowest ratios of random to inclusion odds."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: (r.source, r.text or "") for r in df.collect()}
+    by: dict = {}
+    for r in mixing.plan(df).collect():
+        by.setdefault(text[r.doc_id][0], []).append(r)
+    differs = 0
+    for rows in by.values():
+        assert sum((r.whole + r.p) * r.size for r in rows) == pytest.approx(rows[0].target)
+        drawn = [r for r in rows if r.p > 0]
+        ranked = []
+        for r in drawn:
+            inner = hashlib.md5(text[r.doc_id][1].encode()).hexdigest()
+            u = (int(hashlib.md5(f"{r.doc_id}:{inner}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            assert r.pareto == pytest.approx((u / (1 - u)) / (r.p / (1 - r.p)))
+            ranked.append((r.pareto, u, r))
+        if not drawn:
+            continue
+        longer, shorter = max(drawn, key=lambda r: r.size), min(drawn, key=lambda r: r.size)
+        assert longer.whole + longer.p > shorter.whole + shorter.p
+        ranked.sort(key=lambda x: x[0])
+        rest, sofar, want = sum(r.p * r.size for r in drawn), 0, set()
+        for _, _, r in ranked:
+            if sofar + r.size / 2 <= rest:
+                want.add(r.doc_id)
+            sofar += r.size
+        got = {r.doc_id for r in drawn if r.copies > r.whole}
+        assert got == want
+        differs += got != {r.doc_id for _, _, r in sorted(ranked, key=lambda x: x[1])[: len(got)]}
+    assert differs  # the random number alone would take others
+
+
+def test_repeated_rows_are_mixed_together(spark):
+    rows = [(None, "s", "a b c d")] * 40 + [(i, "s", "e f " * (i + 1)) for i in range(9)] + [(i, "t", "g " * 500) for i in range(100, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    copies = {r.copies for r in mixing.plan(df).collect() if r.doc_id is None}
+    assert len(copies) == 1
+    assert sum(r.doc_id is None for r in mixing.mix(df).collect()) == 40 * copies.pop()
+
+
 def test_mixing_odd(spark):
     docs = [(1, None, "a b c"), (2, "", "d e"), (3, "s", None), (4, "s", ""), (5, "z", "w " * 1000), (6, "é", "q r"), (7, "Z", "one"), (8, None, "x y z w")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
@@ -249,9 +290,8 @@ def test_mixed_rows_follow_the_plan(spark):
     got = Counter(r.doc_id for r in mixed.collect())
     want: Counter = Counter()
     for r in mixing.plan(df).collect():
-        if r.size:
-            want[r.doc_id] += r.taken // r.size
-    assert {k: v for k, v in got.items() if k in want} == {k: v for k, v in want.items() if v}
+        want[r.doc_id] += r.copies
+    assert got == {k: v for k, v in want.items() if v}
 
 
 # ------------------------------------------------------------ toxicity
