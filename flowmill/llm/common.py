@@ -45,7 +45,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 #: While a table is written: drop shuffle files afterwards, and hand Python small batches, as
 #: texts may be long.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 _scopes: list[list[DataFrame]] = []
 
 

@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from flowmill.llm.common import batches, discard, flat, grouped, materialize, mix, scratch, signed, window_hashes, word_hashes, words
 from flowmill.llm.components import components
-from flowmill.llm.repeats import FEW_KEYS, keyed
+from flowmill.llm.repeats import few, keyed
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -191,7 +191,7 @@ def _verified(spec: Spec, base: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = materialize(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "involved")
     docs = base.select("key", "text")
     kind = base.schema["key"].dataType
-    texts = docs.join(F.broadcast(ids) if ids.count() <= FEW_KEYS else ids, "key", "left_semi")
+    texts = docs.join(few(ids), "key", "left_semi")
 
     def make(it):
         for b in batches(it, 4 << 20):
@@ -324,8 +324,7 @@ def kept_rows(docs: DataFrame, spec: Spec = Spec(k=5), id_col: str = "doc_id", t
     base, out = near_duplicates(docs, spec, id_col, text_col)
     gone = materialize(out.where("key != component").select("key"), "dropped")
     rows = base if isinstance(base.schema["key"].dataType, T.LongType) else base.dropDuplicates(["key"])
-    n = gone.count()
-    return rows.join(F.broadcast(gone) if n <= FEW_KEYS else gone, "key", "left_anti").select("row.*")
+    return rows.join(few(gone), "key", "left_anti").select("row.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,29 @@
 """Repeated-phrase automata: words of 20-word windows that also start earlier are removed.
 
-Candidate passages come from repeats with words as units. In each deal the windows that
-recur are confirmed by their words, compiled into Aho-Corasick automata with pyahocorasick
-(one per shard of at most `SHARD` windows), and the deal's passages stream through them to
-locate every occurrence; the earliest of each window stays, the others are covered. A
-document without a repeated seed cannot hold a recurring window, so every document that can
-is streamed, and each only through the automata of its own seeds.
-
-Defined cases: a null or short text loses nothing; words are maximal runs of anything but
-bytes 0x20 and 0x09-0x0D and are compared as they are; kept words are joined by one space;
-windows never cross documents and are judged on the input; a window that overlaps its own
-repeat counts; rows equal in id and text are one document, and each gets its result.
+1. Candidates come from repeats, with words as units: segments of words around seeds that
+   occur more than once.
+2. Recurring passages are confirmed by their words. A segment that occurs again as a whole is
+   one passage; where segments of one seed differ, each window that several of them hold is
+   one. A passage comes with its earliest place.
+3. Passages are sent to the blocks of documents in which their segments lie, a block being
+   about `BLOCK` bytes of text, and there compiled with pyahocorasick into automata: one per
+   shard of at most `SHARD` words of passages. The alphabet is words, each standing as one
+   character, and any other word as a character that no passage has. So a match is whole words.
+4. Each document streams, whole, through all automata of its block. What they locate later than
+   a passage's earliest place is covered. Nothing else removes a word. A document without a
+   repeated seed cannot hold a recurring window; none is sent to it, and it keeps all words.
+
+A passage sent to a block is compiled once however many documents hold it there, and a hot one
+goes to each block once. A task handles its blocks one after another and holds the texts of
+one block and one automaton.
+
+Defined cases: a null, empty or short text loses nothing; words are maximal runs of anything
+but bytes 0x20 and 0x09-0x0D and are compared as they are, those of more than 64 bytes by
+their SHA-256; kept words are joined by one space; windows never cross documents and are
+judged on the input; a window that overlaps its own repeat counts; of equal windows the one
+of the smallest doc_id stays, a null doc_id being smallest; rows equal in id and text are one
+document, and each gets its result; a very long text is cut into overlapping runs for its
+seeds and streamed whole; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,95 +31,214 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
-import numpy as np
+import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import materialize, scratch
-from flowmill.llm.repeats import Spec, find, keyed, merged
+from flowmill.llm.common import grouped, materialize, scratch
+from flowmill.llm.repeats import Found, Spec, _schema, find, keyed, merged, tokens
 
 SPAN = 20
 SPEC = Spec("word", SPAN, 7)
-#: Recurring windows in one automaton: bounds its memory (about 130 nodes each).
-SHARD = 20_000
-EMPTY = hashlib.sha256(b"").hexdigest()
+#: Words, and bytes, of passages in one automaton (a word is at most one node); bytes of text in a
+#: block; tasks at most, each of which then takes several blocks.
+SHARD, SHARD_BYTES, BLOCK, TASKS = 400_000, 8 << 20, 8 << 20, 20_000
+#: Bytes of a text that are turned into letters at once.
+STEP = 1 << 20
+OTHER = "\x01"
 
 
-def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that also start earlier, located by automata over the recurring windows."""
-    import ahocorasick
-
-    span = spec.span
-    texts, starts, count = [], [], Counter()
+def recurring(spec: Spec, segs: list[bytes]) -> dict[bytes, list[tuple[int, int]]]:
+    """Windows that several of the segments hold, or one holds twice: (segment, window) of each."""
+    cut = []
     for raw in segs:
-        # one space before and after each word: a match of " w1 ... w20 " is 20 whole words
-        t = f" {raw.decode()} "
-        texts.append(t)
-        cuts = [i for i, c in enumerate(t) if c == " "]
-        starts.append(cuts)
-        count.update([t[a : z + 1] for a, z in zip(cuts, cuts[span:])])
-    again = [w for w, c in count.items() if c > 1]
-    seg: list[int] = []
-    win: list[int] = []
-    for at in range(0, len(again), SHARD):
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, w in enumerate(again[at : at + SHARD]):
-            machine.add_word(w, i)
-        machine.make_automaton()
-        found: list[tuple[int, int, int, int, int]] = []
-        for j, t in enumerate(texts):
-            last = {z: i - span for i, z in enumerate(starts[j])}
-            found += [(w, int(rank[j]), int(lo[j]) + last[end], j, last[end]) for end, w in machine.iter(t)]
-        found.sort()
-        first = None
-        for w, r, p, j, i in found:
-            if first is None or first[0] != w:
-                first = (w, r, p)
-            elif first != (w, r, p):
-                seg.append(j)
-                win.append(i)
-    return np.array(seg, np.int64), np.array(win, np.int64)
+        at = [-1, *(i for i, c in enumerate(raw) if c == 32), len(raw)]
+        cut.append([raw[a + 1 : z] for a, z in zip(at, at[spec.span :])])
+    count = Counter(w for ws in cut for w in ws)
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    for i, ws in enumerate(cut):
+        for j, w in enumerate(ws):
+            if count[w] > 1:
+                out.setdefault(w, []).append((i, j))
+    return out
 
 
-def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per row of docs: id, n_words, n_removed, kept_sha256 (and kept, the remaining
-    words, for documents of which a part goes)."""
-    base = keyed(docs, id_col, text_col)
+def _confirmed(spec: Spec, segs: DataFrame) -> DataFrame:
+    """segs, all of a seed in one partition -> h, s, key, lo, seg: windows of different segments."""
 
     def run(it):
-        for b in it:
-            out: list = [[], [], []]
-            for text, runs in zip(b.column(1), b.column(2)):
-                ws = text.as_py().encode().split()
+        for t in grouped(it, ["h"], spec.deal):
+            t = t.combine_chunks()
+            h, s, key, lo, text = (t[c].to_pylist() for c in ("h", "s", "key", "lo", "seg"))
+            out: list = [[], [], [], [], []]
+            a = 0
+            for z in range(1, len(h) + 1):
+                if z < len(h) and h[z] == h[a]:
+                    continue
+                if z - a > 1:
+                    for w, at in recurring(spec, text[a:z]).items():
+                        k, p = min((key[a + i], lo[a + i] + j) for i, j in at)
+                        for i in {i for i, _ in at}:
+                            for col, v in zip(out, (h[a], s[a + i], k, p, w)):
+                                col.append(v)
+                a = z
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], t.schema.field("key").type), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["h", "s", "key", "lo", "seg"])
+
+    return segs.select("h", "s", "key", "lo", "seg").mapInArrow(run, _schema(segs, "h long, s long", "lo int, seg binary"))
+
+
+def passages(spec: Spec, found: Found) -> DataFrame:
+    """h, s (the segment in which it lies), seg (its words), key and lo (its earliest place)."""
+    g = found.segs
+    several = materialize(g.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "seeds-in-several")
+    parts = int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deals = g.join(several, "h", "left_semi").select("h", "s", "key", "lo", "seg").repartition(parts, "h").sortWithinPartitions("h")
+    whole = g.where("c > 1").select("h", "s", "key", "lo", "seg")
+    return materialize(whole.unionByName(_confirmed(spec, deals)), "passages")
+
+
+class Letters(dict):
+    """A character for each word that is asked for; words of passages only."""
+
+    def __missing__(self, w: bytes) -> str:
+        i = len(self) + 256
+        c = self[w] = chr(i if i < 0xD800 else i + 0x800)
+        return c
+
+
+def machine(shard: dict[bytes, tuple]) -> tuple:
+    """The automaton of passages (words joined by spaces -> first place), and its letters."""
+    letters = Letters()
+    m = ahocorasick.Automaton()
+    for p, first in shard.items():
+        word = "".join([letters[w] for w in p.split(b" ")])
+        m.add_word(word, (len(word) - 1, first))
+    m.make_automaton()
+    return m, letters
+
+
+def spelled(raw: bytes, letters: dict) -> str:
+    """The words of raw as letters, in steps cut between words."""
+    out, at = [], 0
+    while at < len(raw):
+        z = at + STEP
+        while z < len(raw) and raw[z] not in b" \t\n\x0b\x0c\r":
+            z += 1
+        out.append("".join([letters.get(w, OTHER) for w in tokens(raw[at:z])]))
+        at = z
+    return "".join(out)
+
+
+def locate(shard: dict[bytes, tuple], docs: list[tuple], runs: list[list]) -> None:
+    """Stream docs (key, bytes) through the shard's automaton; add what is later to runs."""
+    m, letters = machine(shard)
+    for (key, raw), mine in zip(docs, runs):
+        for end, (back, first) in m.iter(spelled(raw, letters)):
+            if (key, end - back) > first:
+                if mine and mine[-1][0] <= end - back <= mine[-1][1]:
+                    mine[-1] = (mine[-1][0], max(mine[-1][1], end + 1))
+                else:
+                    mine.append((end - back, end + 1))
+
+
+def _streamed(spec: Spec, rows: DataFrame, keep_text: bool) -> DataFrame:
+    """rows: block, kind (0: document, 1: passage), key, lo, text, sorted by block and kind."""
+
+    def settle(docs, runs):
+        out: list = [[], [], [], []]
+        for (key, raw), mine in zip(docs, runs):
+            if mine:
+                ws = raw.split()
                 at, kept = 0, []
-                for a, z in merged(runs.as_py(), len(ws)):
+                for a, z in merged(mine, len(ws)):
                     kept += ws[at:a]
                     at = z
                 kept += ws[at:]
                 left = b" ".join(kept)
-                out[0].append(len(ws) - len(kept))
-                out[1].append(hashlib.sha256(left).hexdigest())
-                out[2].append(left.decode() if keep_text else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["key", "removed", "left", "kept"])
+                for col, v in zip(out, (key, len(ws) - len(kept), hashlib.sha256(left).hexdigest(), left.decode() if keep_text else None)):
+                    col.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["key", "removed", "left", "kept"])
+
+    kind = pa.int64() if isinstance(rows.schema["key"].dataType, T.LongType) else pa.binary()
+
+    def run(it):
+        block, docs, runs, shard, nodes, size = None, [], [], {}, 0, 0
+        for b in it:
+            n = pc.add(pc.count_substring(b.column(4), b" "), 1).to_pylist()
+            for bl, k, key, lo, text, ws in zip(*(b.column(i).to_pylist() for i in range(5)), n):
+                if bl != block or k == 0 and shard:
+                    if shard:
+                        locate(shard, docs, runs)
+                    if docs:
+                        yield settle(docs, runs)
+                    block, docs, runs, shard, nodes, size = bl, [], [], {}, 0, 0
+                if k == 0:
+                    docs.append((key, text))
+                    runs.append([])
+                    continue
+                if text in shard:
+                    shard[text] = min(shard[text], (key, lo))
+                    continue
+                shard[text] = (key, lo)
+                nodes, size = nodes + ws, size + len(text)
+                if nodes >= SHARD or size >= SHARD_BYTES:
+                    locate(shard, docs, runs)
+                    shard, nodes, size = {}, 0, 0
+        if shard:
+            locate(shard, docs, runs)
+        if docs:
+            yield settle(docs, runs)
+
+    return rows.mapInArrow(run, _schema(rows, "", "removed long, left string, kept string"))
+
 
+def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_words, n_removed, kept_sha256 (and kept, the remaining
+    words, for documents of which a part goes)."""
+    base = keyed(docs, id_col, text_col)
     kind = base.schema["key"].dataType
     with scratch() as tables:
-        info, cut = find(spec, base, engine)
-        changed = tables.keep(materialize(cut.mapInArrow(run, T.StructType([T.StructField("key", kind), *T._parse_datatype_string("removed long, left string, kept string").fields])), "changed"))
-        tables.keep(info)
+        found = find(spec, base)
+        blocks = max(1, -(-(found.texts.agg(F.sum("size")).first()[0] or 0) // BLOCK))
+        block = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(blocks)).cast("int")
+        known = passages(spec, found)
+        sent = found.places.select("h", "s", block.alias("block")).distinct().join(known, ["h", "s"]).select("block", F.lit(1).alias("kind"), "key", "lo", F.col("seg").alias("text"))
+        rows = found.texts.select(block.alias("block"), F.lit(0).alias("kind"), "key", F.lit(0).alias("lo"), F.col("text").cast("binary").alias("text")).unionByName(sent)
+        parts = min(blocks, TASKS)
+        rows = rows.repartitionById(parts, F.pmod("block", F.lit(parts))).sortWithinPartitions("block", "kind")
+        changed = tables.keep(materialize(_streamed(spec, rows, keep_text), "changed"))
+        info = tables.keep(found.info)
     per_key = info.join(changed, "key", "left").select(
         "key",
         F.col("n").alias("n_words"),
-        F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.when(F.col("copy"), F.lit(EMPTY)).otherwise(F.coalesce("left", "sha")).alias("kept_sha256"),
+        F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("left", "sha").alias("kept_sha256"),
         *(["kept"] if keep_text else []),
     )
     if isinstance(kind, T.LongType) and not keep_text:
         return per_key.withColumnRenamed("key", id_col)
-    return base.select("key", "row" if keep_text else F.col(f"row.{id_col}").alias(id_col)).join(per_key, "key").drop("key")
+    return base.select("key", "row" if keep_text else F.col(f"row.`{id_col}`").alias(id_col)).join(per_key, "key").drop("key")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The contract's result in plain SQL, for small tables.
+OP3_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(1, len(w) - 18)) as pos, w from d),
+x as (select doc_id, pos, md5(array_to_string(w[pos:pos + 19], ' ')) as h from p),
+f as (select h, min((doc_id, pos)) as first from x group by h having count(*) > 1),
+c as (select x.doc_id, unnest(range(x.pos, x.pos + 20)) as pos from x join f on x.h = f.h and (x.doc_id, x.pos) <> f.first),
+g as (select doc_id, list(distinct pos) as gone from c group by doc_id),
+k as (
+  select d.doc_id, w, coalesce(gone, []) as gone,
+         case when gone is null then w else list_filter(w, lambda v, i: not list_contains(gone, i::bigint)) end as kept
+  from d left join g on d.doc_id = g.doc_id)
+select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
+"""

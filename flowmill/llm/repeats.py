@@ -3,7 +3,8 @@
 A unit is a byte or a word. A window is `span` consecutive units of one document; the
 task is to know, for each window, whether an equal one starts earlier (smaller document,
 or earlier in the same one). Comparing all windows would move the corpus many times over,
-so windows are first reduced to seeds, without losing any pair:
+so this module narrows down where to look, without losing any pair; what is removed is
+decided by the caller's engine alone, on the text itself.
 
 1. Each window picks the smallest hash among the runs of `k` units in it (the leftmost,
    if several). Equal windows pick equal seeds at equal places, and neighbouring windows
@@ -12,27 +13,26 @@ so windows are first reduced to seeds, without losing any pair:
 2. Seeds that occur once cannot be part of a repeat. Counting them is one aggregation
    over hashes, and joining the repeated ones back leaves the documents with candidates.
 3. Only those documents' texts are moved. All windows of one seed form a segment. Equal
-   segments are counted by hash, with the earliest place of each: every later copy
-   of a segment is covered whole.
-4. What is left are the first copies of different segments around an equal seed. They
-   are dealt out by seed, and an engine given by the caller compares the windows of each
-   deal exactly. A seed with more than `hot` different segments would make one deal too
-   large; its windows are instead spread out as hashes and settled by aggregation.
+   segments are aggregated by their text, before they are shuffled, to one row with its
+   count and earliest place. Segments are referred to by two 64-bit hashes; should two texts
+   ever share both, that is seen here, and everything begins anew with another salt.
+4. A seed with more than `hot` different segments would make one deal too large. Each of its
+   windows becomes a seed of its own, if its hash occurs twice, and its place a segment of one
+   window. These go on like any others.
 
-Steps 2 and 4 pre-aggregate before they shuffle, joins on hot seeds are plain
-joins that adaptive execution can split, and no step gathers a group of documents.
+Counts are aggregated before they are shuffled, joins on hot seeds are plain joins that
+adaptive execution can split, and no step gathers a group of documents.
 
 Documents are told apart by `key`: the id itself where ids are unique and not null, else
 16 sortable bytes made of id and a hash of the text. So a null id is smallest, rows of
 equal id and different text are different documents, and rows equal in both are one
-document whose result each of them gets.
+document whose result each of them gets. Columns of the input may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import batches, discard, flat, grouped, materialize, mix, signed, text_of, window_hashes, word_hashes, words
+from flowmill.llm.common import batches, discard, flat, materialize, mix, signed, text_of, window_hashes, word_hashes, words
 
 #: Units that are handled at once in one array, small enough for a processor's cache; also
 #: the longest run of a long document.
 CHUNK = 1 << 17
+#: Longer words are compared by SHA-256.
+LONG = 64
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = np.uint64(CHUNK.bit_length() + 1)
 _LOW = np.uint64((1 << int(_BITS)) - 1)
@@ -56,13 +58,14 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 class Spec:
     """unit: "byte" or "word"; span: units of a window; k: units of a seed (k <= span);
     hot: segments of one seed that one task may compare; deal: bytes of segments an
-    engine gets at once, more only if a single seed has more."""
+    engine gets at once, more only if a single seed has more; salt: of segment hashes."""
 
     unit: str
     span: int
     k: int
     hot: int = 2000
     deal: int = 1 << 20
+    salt: int = 0
 
 
 @dataclass
@@ -146,7 +149,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _seed_rows(spec: Spec, df: DataFrame) -> DataFrame:
-    """key, n (units), n_bytes, sha (of the whole text's kept form), hs (seed hashes)."""
+    """key, n (units), size (bytes), sha (of the whole text's kept form), hs (seed hashes)."""
 
     def run(it):
         for b in batches(it):
@@ -166,9 +169,21 @@ def _seed_rows(spec: Spec, df: DataFrame) -> DataFrame:
                 sha = [hashlib.sha256(data[offs[i] : offs[i + 1]]).hexdigest() for i in range(n)]
             h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
             d = np.concatenate(doc) if doc else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(sha, pa.string()), _list(signed(h), d, n, pa.int64())], names=["key", "n", "sha", "hs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(np.diff(offs), pa.int64()), pa.array(sha, pa.string()), _list(signed(h), d, n, pa.int64())], names=["key", "n", "size", "sha", "hs"])
 
-    return df.select("key", "text").mapInArrow(run, T.StructType([T.StructField("key", df.schema["key"].dataType), *T._parse_datatype_string("n long, sha string, hs array<long>").fields]))
+    return df.select("key", "text").mapInArrow(run, T.StructType([T.StructField("key", df.schema["key"].dataType), *T._parse_datatype_string("n long, size long, sha string, hs array<long>").fields]))
+
+
+def tokens(raw: bytes) -> list[bytes]:
+    """The words of raw, those of more than LONG bytes as digests: no other word is as long."""
+    ws = raw.split()
+    if len(raw) > LONG and max(map(len, ws), default=0) > LONG:
+        ws = [w if len(w) <= LONG else b"#" + hashlib.sha256(w).hexdigest().encode() for w in ws]
+    return ws
+
+
+def _hashes(spec: Spec, units: np.ndarray) -> np.ndarray:
+    return window_hashes(units, spec.span, 0xA0761D6478BD642F + 2 * spec.salt)
 
 
 def _segment_hash(a: np.ndarray, b: np.ndarray, off: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -177,8 +192,8 @@ def _segment_hash(a: np.ndarray, b: np.ndarray, off: np.ndarray, width: np.ndarr
     return mix(a * c + b + (off.astype(np.uint64) * c + width.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _segments(spec: Spec, x: DataFrame, with_text: bool) -> DataFrame:
-    """A row for each occurrence of a repeated seed: h, s, key, lo, hi, off and, if asked, seg."""
+def _segments(spec: Spec, x: DataFrame) -> DataFrame:
+    """A row for each occurrence of a repeated seed: h, s, key, lo, seg."""
 
     def run(it):
         for b in batches(it):
@@ -197,66 +212,27 @@ def _segments(spec: Spec, x: DataFrame, with_text: bool) -> DataFrame:
                 s = {k: v[pairs[at] == mine] for k, v in s.items()}
                 if not len(s["h"]):
                     continue
-                full = window_hashes(p.units, spec.span, 0xA0761D6478BD642F)
+                full = _hashes(spec, p.units)
                 sh = _segment_hash(full[s["at"]], full[s["at"] + s["hi"] - s["lo"]], s["off"], s["hi"] - s["lo"])
-                cols = [pa.array(signed(s["h"])), pa.array(signed(sh)), b.column(0).take(pa.array(s["doc"])), pa.array(s["lo"], pa.int32()), pa.array(s["hi"], pa.int32()), pa.array(s["off"], pa.int32())]
-                if with_text:
-                    if spec.unit == "word":
-                        first, last = wo[s["doc"]] + s["lo"], wo[s["doc"]] + s["hi"] + spec.span - 1
-                        segs = [b" ".join(data[a:z].tobytes().split()) for a, z in zip(ws[first], we[last])]
-                    else:
-                        a, z = offs[s["doc"]] + s["lo"], offs[s["doc"]] + s["hi"] + spec.span
-                        segs = [data[i:j].tobytes() for i, j in zip(a, z)]
-                    cols.append(pa.array(segs, pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "s", "key", "lo", "hi", "off", "seg"][: len(cols)])
-
-    kind = x.schema["key"].dataType
-    fields = [("h", T.LongType()), ("s", T.LongType()), ("key", kind), ("lo", T.IntegerType()), ("hi", T.IntegerType()), ("off", T.IntegerType())] + [("seg", T.BinaryType())] * with_text
-    return x.select("key", "text", "hs").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
-
-
-def compare_deals(spec: Spec, reps: DataFrame, engine: Callable) -> DataFrame:
-    """reps, all segments of a seed in one partition -> key, a, b: covered units.
-
-    engine(spec, segs, rank, lo) gets segments and, for each, its document's rank and its
-    first window; it returns (segment index, window index) of windows that also start
-    earlier among them.
-    """
-
-    def settle(batch: pa.Table):
-        # a seed with one segment has nothing to be compared with
-        h = batch["h"].to_numpy()
-        alone = np.ones(len(h), bool)
-        alone[1:] &= h[1:] != h[:-1]
-        alone[:-1] &= h[1:] != h[:-1]
-        batch = batch.filter(pa.array(~alone)).combine_chunks()
-        if not len(batch):
-            return None
-        key, lo, segs = batch["key"].combine_chunks(), batch["lo"].to_numpy(), batch["seg"].to_pylist()
-        rank = pc.rank(key, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-        seg, win = engine(spec, segs, rank, lo.astype(np.int64))
-        if not len(seg):
-            return None
-        # windows that follow one another become one covered run
-        o = np.lexsort((win, seg))
-        seg, win = seg[o], win[o]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(seg) != 0) | (np.diff(win) > spec.span)]))
-        last = np.append(new[1:], len(seg)) - 1
-        a, z = lo[seg[new]] + win[new], lo[seg[last]] + win[last] + spec.span
-        return pa.RecordBatch.from_arrays([key.take(pa.array(seg[new])), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["key", "a", "b"])
+                if spec.unit == "word":
+                    first, last = wo[s["doc"]] + s["lo"], wo[s["doc"]] + s["hi"] + spec.span - 1
+                    segs = [b" ".join(tokens(data[a:z].tobytes())) for a, z in zip(ws[first], we[last])]
+                else:
+                    a, z = offs[s["doc"]] + s["lo"], offs[s["doc"]] + s["hi"] + spec.span
+                    segs = [data[i:j].tobytes() for i, j in zip(a, z)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s["h"])), pa.array(signed(sh)), b.column(0).take(pa.array(s["doc"])), pa.array(s["lo"], pa.int32()), pa.array(segs, pa.binary())], names=["h", "s", "key", "lo", "seg"])
 
-    def run(it):
-        for t in grouped(it, ["h"], spec.deal):
-            out = settle(t)
-            if out:
-                yield out
+    return x.select("key", "text", "hs").mapInArrow(run, _schema(x, "h long, s long", "lo int, seg binary"))
 
-    kind = reps.schema["key"].dataType
-    return reps.select("h", "key", "lo", "seg").mapInArrow(run, T.StructType([T.StructField("key", kind), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
 
+def _schema(df: DataFrame, before: str, after: str) -> T.StructType:
+    """before, the key of df, after."""
+    f = lambda d: T._parse_datatype_string(d).fields
+    return T.StructType([*f(before), T.StructField("key", df.schema["key"].dataType), *f(after)])
 
-def _hot_windows(spec: Spec, reps: DataFrame) -> DataFrame:
-    """Every window of the given segments: w1, w2 (hashes), key, at."""
+
+def _windows(spec: Spec, segs: DataFrame) -> DataFrame:
+    """Each window of the given segments as a segment of its own: h, s (two hashes), key, lo, c, seg."""
 
     def run(it):
         for b in batches(it, 1 << 18, "seg"):
@@ -268,72 +244,91 @@ def _hot_windows(spec: Spec, reps: DataFrame) -> DataFrame:
                 units = BYTE[data]
             if len(units) < spec.span:
                 continue
-            n = len(units)
-            left = np.repeat(offs[1:], np.diff(offs)) - np.arange(n)
+            left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(units))
             at = np.flatnonzero(left >= spec.span)
             seg = np.searchsorted(offs, at, "right") - 1
             place = b.column(1).to_numpy()[seg] + at - offs[seg]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(window_hashes(units, spec.span)[at])), pa.array(signed(window_hashes(units, spec.span, 0xA0761D6478BD642F)[at])), b.column(0).take(pa.array(seg)), pa.array(place, pa.int32())], names=["w1", "w2", "key", "at"])
+            a, z = (ws[at], we[at + spec.span - 1]) if spec.unit == "word" else (at, at + spec.span)
+            own = [data[i:j].tobytes() for i, j in zip(a, z)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(window_hashes(units, spec.span)[at])), pa.array(signed(_hashes(spec, units)[at])), b.column(0).take(pa.array(seg)), pa.array(place, pa.int32()), b.column(3).take(pa.array(seg)), pa.array(own, pa.binary())], names=["h", "s", "key", "lo", "c", "seg"])
+
+    return segs.select("key", "lo", "seg", "c").mapInArrow(run, _schema(segs, "h long, s long", "lo int, c long, seg binary"))
 
-    kind = reps.schema["key"].dataType
-    return reps.select("key", "lo", "seg").mapInArrow(run, T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("key", kind), T.StructField("at", T.IntegerType())]))
 
+@dataclass
+class Found:
+    """info: key, n, sha of every document; texts: key, size, text of those with repeated seeds;
+    segs: h, s, seg, c (occurrences), key and lo (the earliest), each different segment once;
+    places: h, s, key, lo of every occurrence."""
+
+    info: DataFrame
+    texts: DataFrame
+    segs: DataFrame
+    places: DataFrame
 
-def find(spec: Spec, base: DataFrame, engine: Callable) -> tuple[DataFrame, DataFrame]:
-    """base: keyed(). Returns per key (key, n, sha, copy) and, for the documents that have
-    something to remove and are not whole copies, (key, text, runs: covered [a, b))."""
+
+def find(spec: Spec, base: DataFrame) -> Found:
+    """base: keyed(). Where equal windows can be; see above."""
     t1 = materialize(_seed_rows(spec, base), "seeds")
     once = t1.dropDuplicates(["key"]) if not isinstance(base.schema["key"].dataType, T.LongType) else t1
+    info = materialize(once.select("key", "n", "sha"), "lengths")
     # aggregates are written before they are joined: a join of two plain exchanges is one whose
     # hot keys adaptive execution can split
-    first = materialize(once.where(F.col("n") >= spec.span).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1"), "first-copies")
-    info = once.select("key", "n", "sha").join(first.select("sha", "first"), "sha", "left").select("key", "n", "sha", F.coalesce(F.col("first") != F.col("key"), F.lit(False)).alias("copy"))
-    info = materialize(info, "copies")
-    # a whole copy is settled; its seeds count no more
-    occ = once.join(info.where("copy").select("key"), "key", "left_anti").select("key", F.explode("hs").alias("h"))
+    occ = once.select("key", "size", F.explode("hs").alias("h"))
     again = materialize(occ.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated-seeds")
-    cand = occ.join(again, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
-    cand = materialize(cand, "candidates")
-    discard(t1)
-    x = materialize(base.select("key", "text").dropDuplicates(["key"]) .join(cand, "key") if once is not t1 else _with_text(base, cand), "candidate-texts")
-    seg = _segments(spec, x, True)
+    cand = materialize(occ.join(again, "h").groupBy("key").agg(F.first("size").alias("size"), F.collect_set("h").alias("hs")), "candidates")
+    discard(t1, again)
+    x = materialize(_with_text(base, cand), "candidate-texts")
     discard(cand)
-    g = materialize(seg.groupBy("h", "s").agg(F.min(F.struct("key", "lo", "hi", "off", "seg")).alias("r"), F.count("*").alias("c")).select("h", "s", "c", "r.*"), "segments")
-    # seeds with too many different segments for one deal
-    many = materialize(g.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > spec.hot).select("h"), "hot-seeds")
-    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = g.select("h", "key", "lo", "seg").join(many, "h", "left_anti")
-    deals = materialize(compare_deals(spec, cold.repartition(parts, "h").sortWithinPartitions("h"), engine), "deals")
-    hot = _hot_windows(spec, g.join(many, "h", "left_semi"))
-    least = materialize(hot.groupBy("w1", "w2").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("w1", "w2", F.col("f.key").alias("k0"), F.col("f.at").alias("a0")), "hot-windows")
-    spread = hot.join(least, ["w1", "w2"]).where((F.col("key") != F.col("k0")) | (F.col("at") != F.col("a0"))).select("key", F.col("at").alias("a"), (F.col("at") + spec.span).alias("b"))
-    later = (
-        _segments(spec, x, False)
-        .join(g.where("c > 1").select("h", "s", F.col("key").alias("k0"), F.col("lo").alias("l0")), ["h", "s"])
-        .where((F.col("key") != F.col("k0")) | (F.col("lo") != F.col("l0")))
-        .select("key", F.col("lo").alias("a"), (F.col("hi") + spec.span).alias("b"))
-    )
-    runs = later.unionByName(deals).unionByName(spread).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    return info, x.select("key", "text").join(runs, "key")
-
-
-#: Keys of candidate documents that may be sent to every executor; more are joined by shuffle.
-FEW_KEYS = 2_000_000
+    while True:
+        seg = materialize(_segments(spec, x), "occurrences")
+        g = materialize(_once_each(seg.withColumn("c", F.lit(1))), "segments")
+        # seeds with too many different segments for one deal
+        many = materialize(g.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > spec.hot).select("h"), "hot-seeds")
+        places = seg.select("h", "s", "key", "lo")
+        if many.limit(1).count():
+            hot = _windows(spec, g.join(many, "h", "left_semi"))
+            rec = materialize(hot.groupBy("h", "s").agg(F.sum("c").alias("c")).where("c > 1").select("h", "s"), "hot-windows")
+            fine = _once_each(hot.join(rec, ["h", "s"], "left_semi"))
+            at = _windows(spec, seg.join(many, "h", "left_semi").withColumn("c", F.lit(1).cast("long"))).drop("c", "seg").join(rec, ["h", "s"], "left_semi")
+            places = materialize(places.join(many, "h", "left_anti").unionByName(at), "places")
+            g = materialize(g.join(many, "h", "left_anti").unionByName(fine), "segments")
+        clash = g.groupBy("h", "s").agg(F.count("*").alias("m")).where("m > 1").limit(1).count()
+        if not clash:
+            return Found(info, x.select("key", "size", "text"), g, places)
+        spec = replace(spec, salt=spec.salt + 1)
+
+
+def _once_each(seg: DataFrame) -> DataFrame:
+    """Equal segments as one row: by their text, and not only by its hashes."""
+    return seg.groupBy("h", "s", "seg").agg(F.min(F.struct("key", "lo")).alias("f"), F.sum("c").cast("long").alias("c")).select("h", "s", "seg", "c", "f.*")
+
+
+#: Bytes of candidates' keys that may be sent to every executor; more are joined by shuffle. A key in
+#: a hash table takes about 64.
+FEW_BYTES, KEY_BYTES = 32 << 20, 64
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """The keys, marked for broadcast if they are known to be small."""
+    return F.broadcast(keys) if keys.count() * KEY_BYTES <= FEW_BYTES else keys
 
 
 def _with_text(base: DataFrame, cand: DataFrame) -> DataFrame:
     """Candidates' texts. Where the keys are few, other texts are dropped before the shuffle."""
-    n = cand.count()
     docs = base.select("key", "text")
-    if n <= FEW_KEYS:
-        docs = docs.join(F.broadcast(cand.select("key")), "key", "left_semi")
-    return docs.join(F.broadcast(cand) if n <= 1000 else cand, "key")
+    keys = few(cand.select("key"))
+    if not isinstance(base.schema["key"].dataType, T.LongType):
+        docs = docs.join(keys, "key", "left_semi").dropDuplicates(["key"])
+    else:
+        docs = docs.join(keys, "key", "left_semi")
+    return docs.join(cand, "key")
 
 
-def merged(runs: list, n: int) -> list[tuple[int, int]]:
+def merged(runs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """Maximal covered runs: overlapping and touching ones become one."""
     out: list[list[int]] = []
-    for a, b in sorted((r["a"], r["b"]) for r in runs):
+    for a, b in sorted(runs):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:

@@ -6,14 +6,24 @@ difference-cover algorithm: the suffixes at places 1 and 2 modulo 3 are sorted b
 triples and named, names that repeat are sorted by recursion, the suffixes at places 0
 follow from the letter before a named suffix, and the two orders are merged. Adjacent
 suffixes that agree in 100 bytes are then one string, and all but its earliest place are
-covered. Sorting the whole corpus as one array would move every one of its suffixes through
-several shuffles; the deals hold the only suffixes that can have an equal neighbour, and
-within a deal only runs of windows whose hash occurs twice are sorted.
+covered. Nothing else removes a byte.
 
-Defined cases: a null or short text has nothing to remove; matches never cross
+A deal holds every different segment once, with the number of its occurrences: that many
+equal suffixes stand side by side in the order, and the aggregation that counted them
+compared whole texts. A string is repeated if its places, so counted, are more than one. In
+the earliest occurrence of a segment those strings are covered that start earlier elsewhere;
+in its later ones all. Only runs of strings that can be repeated are sorted: of segments
+that occur again, and those whose hash occurs twice in the deal.
+
+Sorting the whole corpus as one array would move every one of its suffixes through several
+shuffles; the deals hold the only suffixes that can have an equal neighbour.
+
+Defined cases: a null, empty or short text has nothing to remove; matches never cross
 documents; strings are judged on the input; a string that overlaps its own repeat (as in
 a run of one byte) counts; of equal texts of 100 bytes or more all but the first are
-removed whole; rows equal in id and text are one document, and each gets its result.
+removed whole, a null doc_id being smallest; rows equal in id and text are one document, and
+each gets its result; a very long text is cut into runs that overlap by 99 bytes; an empty
+table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,16 +32,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import materialize, scratch, window_hashes
-from flowmill.llm.repeats import BYTE, Spec, find, keyed, merged
+from flowmill.llm.common import grouped, materialize, scratch, window_hashes
+from flowmill.llm.repeats import BYTE, Spec, _schema, find, keyed, merged
 
 SPAN = 100
 SPEC = Spec("byte", SPAN, 28)
-EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def _named(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +101,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _alike(span: int, text: np.ndarray, begin: np.ndarray, ln: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs [a, z) of text that consist of windows whose hash another window shares.
+def _alike(span: int, text: np.ndarray, begin: np.ndarray, ln: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs [a, z) of text that consist of windows that can be repeated: their segment occurs
+    more than once, or another window shares their hash.
 
     Equal windows have equal hashes, so nothing is lost; the suffix sort decides.
     """
@@ -101,20 +112,25 @@ def _alike(span: int, text: np.ndarray, begin: np.ndarray, ln: np.ndarray) -> tu
     h = window_hashes(BYTE[text], span)[at]
     s = np.sort(h)
     twice = s[1:][s[1:] == s[:-1]]
-    if not len(twice):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = at[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h]
+    keep = np.repeat(c > 1, ln + 1)[at]
+    if len(twice):
+        keep |= twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+    at = at[keep]
+    if not len(at):
+        return at, at
     new = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
     return at[new], at[np.append(new[1:], len(at)) - 1] + span
 
 
-def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that also start earlier, by adjacent prefixes of the suffix array."""
-    span, none = spec.span, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """segs: different segments, with the rank of their first document, their place in it and
+    how often they occur. Repeated windows (segment, window, whether that one starts earlier
+    elsewhere too), by adjacent prefixes of the suffix array."""
+    span, none = spec.span, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     ln = np.array([len(x) for x in segs], np.int64)
     begin = np.concatenate([[0], np.cumsum(ln + 1)])[:-1]
     whole = np.frombuffer(b"\0".join(segs), np.uint8)
-    a, z = _alike(span, whole, begin, ln)
+    a, z = _alike(span, whole, begin, ln, c)
     if not len(a):
         return none
     # the runs, each with a separator after it: letter 1, which no byte uses
@@ -127,8 +143,6 @@ def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray) -> t
     sa = suffix_array(letters)
     run = np.searchsorted(start, sa, "right") - 1
     sa = sa[sa - start[run] + span < size[run]]
-    if len(sa) < 2:
-        return none
     text = np.append(text, np.zeros(8, np.uint8))
     at8 = np.lib.stride_tricks.sliding_window_view(text, 8)
     same = np.ones(len(sa) - 1, bool)
@@ -138,20 +152,64 @@ def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray) -> t
     for k in range(span) if span < 8 else []:
         same &= text[sa[:-1] + k] == text[sa[1:] + k]
     group = np.concatenate([[0], np.cumsum(~same)])
-    many = np.bincount(group)[group] > 1
-    sa, group = sa[many], group[many]
-    if not len(sa):
-        return none
     place = source[sa]
     seg = np.searchsorted(begin, place, "right") - 1
+    # how often a group's string occurs: each of its places as often as the segment
+    many = np.bincount(group, weights=c[seg])[group] > 1
+    place, group, seg = place[many], group[many], seg[many]
+    if not len(seg):
+        return none
     win = place - begin[seg]
     o = np.lexsort((lo[seg] + win, rank[seg], group))
+    seg, win = seg[o], win[o]
     head = np.concatenate([[True], np.diff(group[o]) != 0])
     # one place of one document may be in two segments of a deal: it is not later than itself
-    r, p, which = rank[seg[o]], (lo[seg] + win)[o], np.cumsum(head) - 1
-    later = (r != r[head][which]) | (p != p[head][which])
-    o = o[later]
-    return seg[o], win[o]
+    r, p, which = rank[seg], lo[seg] + win, np.cumsum(head) - 1
+    return seg, win, (r != r[head][which]) | (p != p[head][which])
+
+
+def _runs(span: int, seg: np.ndarray, win: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that follow or overlap one another as runs [a, z) of a segment."""
+    o = np.lexsort((win, seg))
+    seg, win = seg[o], win[o]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(seg) != 0) | (np.diff(win) > span)])) if len(seg) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(seg))[: len(new)] - 1
+    return seg[new], win[new], win[last] + span
+
+
+def compare_deals(spec: Spec, segs: DataFrame) -> DataFrame:
+    """segs, all of a seed in one partition -> h, s, key, lo, later, a, b: units of a segment that
+    are covered, in its earliest place (key, lo) or else (later) in all its other ones."""
+
+    def settle(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        c, lo = t["c"].to_numpy(), t["lo"].to_numpy().astype(np.int64)
+        rank = pc.rank(t["key"].combine_chunks(), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+        seg, win, earlier = engine(spec, t["seg"].to_pylist(), rank, lo, c)
+        first, again = _runs(spec.span, seg[earlier], win[earlier]), _runs(spec.span, seg[c[seg] > 1], win[c[seg] > 1])
+        of, a, b = (np.concatenate(x) for x in zip(first, again))
+        later = np.arange(len(of)) >= len(first[0])
+        own = t.take(pa.array(of))
+        return pa.RecordBatch.from_arrays([own[x].combine_chunks() for x in ("h", "s", "key", "lo")] + [pa.array(later), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["h", "s", "key", "lo", "later", "a", "b"])
+
+    def run(it):
+        for t in grouped(it, ["h"], spec.deal):
+            yield settle(t)
+
+    return segs.select("h", "s", "key", "lo", "seg", "c").mapInArrow(run, _schema(segs, "h long, s long", "lo int, later boolean, a int, b int"))
+
+
+def covered(spec: Spec, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n, sha) of every document, and of those with something to remove (key, text, runs)."""
+    found = find(spec, base)
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cover = materialize(compare_deals(spec, found.segs.repartition(parts, "h").sortWithinPartitions("h")), "covered")
+    first = cover.where("not later").select("key", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
+    other = cover.where("later").select("h", "s", F.col("key").alias("k0"), F.col("lo").alias("l0"), "a", "b")
+    again = found.places.join(other, ["h", "s"]).where((F.col("key") != F.col("k0")) | (F.col("lo") != F.col("l0")))
+    again = again.select("key", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
+    runs = first.unionByName(again).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    return found.info, found.texts.select("key", "text").join(runs, "key")
 
 
 def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -165,7 +223,7 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
             out: list = [[], [], [], []]
             for text, runs in zip(b.column(1), b.column(2)):
                 raw = text.as_py().encode()
-                spans = merged(runs.as_py(), len(raw))
+                spans = merged([(r["a"], r["b"]) for r in runs.as_py()], len(raw))
                 kept, at, whole, upto = [], 0, [], 0
                 for a, z in spans:
                     kept.append(raw[at:a])
@@ -187,23 +245,44 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
 
     kind = base.schema["key"].dataType
     with scratch() as tables:
-        info, cut = find(spec, base, engine)
+        info, cut = covered(spec, base)
         changed = tables.keep(materialize(cut.mapInArrow(run, T.StructType([T.StructField("key", kind), *T._parse_datatype_string("removed long, spans long, left string, kept string").fields])), "changed"))
         tables.keep(info)
     per_key = info.join(changed, "key", "left").select(
         "key",
         F.col("n").alias("n_bytes"),
-        F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.when(F.col("copy"), 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("copy"), F.lit(EMPTY)).otherwise(F.coalesce("left", "sha")).alias("kept_sha256"),
+        F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("left", "sha").alias("kept_sha256"),
         *(["kept"] if keep_text else []),
     )
     if isinstance(kind, T.LongType) and not keep_text:
         return per_key.withColumnRenamed("key", id_col)
-    rows = base.select("key", "row" if keep_text else F.col(f"row.{id_col}").alias(id_col))
-    out = rows.join(per_key, "key")
-    return out.drop("key")
+    rows = base.select("key", "row" if keep_text else F.col(f"row.`{id_col}`").alias(id_col))
+    return rows.join(per_key, "key").drop("key")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The contract's result in plain SQL, for small tables: two hexadecimal digits stand for a byte.
+OP8_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+p as (select doc_id, unnest(range(0, len(x) // 2 - 99)) as pos, x from d),
+w as (select doc_id, pos, md5(substr(x, 2 * pos + 1, 200)) as h from p),
+f as (select h, min((doc_id, pos)) as first from w group by h having count(*) > 1),
+t as (select w.doc_id, w.pos from w join f on w.h = f.h and (w.doc_id, w.pos) <> f.first),
+o as (select doc_id, pos, max(pos) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) as was from t),
+g as (select doc_id, pos, sum(case when was is null or pos > was + 100 then 1 else 0 end) over (partition by doc_id order by pos) as span from o),
+r as (select doc_id, span, min(pos) as a, max(pos) + 100 as b from g group by doc_id, span),
+n as (select doc_id, a, b, lead(a) over (partition by doc_id order by a) as next from r),
+k as (
+  select doc_id, count(*) as spans, sum(b - a) as gone, min(a) as first,
+         list(b order by a) as b, list(next order by a) as next
+  from n group by doc_id)
+select d.doc_id, (len(x) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+       sha256(unhex(case when gone is null then x else
+         substr(x, 1, 2 * first) || array_to_string(list_transform(range(1, len(b) + 1), lambda i: substr(x, 2 * b[i] + 1, 2 * (coalesce(next[i], len(x) // 2) - b[i]))), '') end)) as kept_sha256
+from d left join k on d.doc_id = k.doc_id
+"""

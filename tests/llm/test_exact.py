@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowmill.llm import neardup, neighbours, phrases, repeats, suffixes, warc
 
@@ -158,6 +159,83 @@ def test_words_odd(spark, hot):
     assert got == brute_words(ODD, 20)
 
 
+def test_nothing_goes_without_the_engines(spark, documents, monkeypatch):
+    """Candidate search removes nothing by itself: every removal is the automata's or the arrays'."""
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(suffixes, "suffix_array", lambda s: none)
+    monkeypatch.setattr(suffixes, "engine", lambda *a: (none, none, np.zeros(0, bool)))
+    monkeypatch.setattr(phrases, "locate", lambda *a: None)
+    assert suffixes.remove(documents[0]).where("n_removed > 0").count() == 0
+    assert phrases.remove(documents[0]).where("n_removed > 0").count() == 0
+
+
+def test_automata_in_shards_and_blocks(spark, documents, monkeypatch):
+    """Few words to an automaton, few documents to a block, several blocks to a task."""
+    for name, v in {"SHARD": 300, "BLOCK": 20_000, "TASKS": 3, "STEP": 100}.items():
+        monkeypatch.setattr(phrases, name, v)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.remove(documents[0]).collect()}
+    assert got == brute_words(documents[1], 20)
+
+
+def test_long_words(spark):
+    """Words longer than a digest, in and around repeats; some differ in their last letter only."""
+    big = ["x" * n + c for n in (63, 64, 65, 70_000) for c in "ab"]
+    line = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join([*line[: i % 7 + 5], big[i % 8], *line, big[(i * 3) % 8], *line[: i % 5 + 2]])) for i in range(24)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.remove(odd(spark, docs)).collect()}
+    assert got == brute_words(docs, 20)
+
+
+def test_clashing_segment_hashes_start_anew(spark, documents, monkeypatch):
+    """Two texts under one pair of hashes are noticed, and another salt is tried."""
+    real, seen = repeats.replace, []
+    monkeypatch.setattr(repeats, "replace", lambda spec, **k: (seen.append(k["salt"]), real(spec, **k))[1])
+    monkeypatch.setattr(repeats, "_once_each", lambda seg, own=repeats._once_each: own(seg if seen else seg.withColumn("s", F.lit(1).cast("long"))))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove(documents[0]).collect()}
+    assert seen == [1] and got == brute_bytes(documents[1], 100)
+
+
+CLASH = [(None, "p q r s t " * 9), (None, "p q r s t " * 9), (None, "other words of a null id"), (7, "p q r s t " * 9), (7, "p q r s t " * 8), (8, None), (8, ""), (9, "p q r s t " * 9)]
+
+
+def clashing(spark):
+    """Null and repeated ids, repeated rows, and columns named like those used inside."""
+    df = spark.createDataFrame(CLASH, "doc_id long, text string")
+    for c in ("key", "row", "h", "s", "n", "n_words", "kept", "block", "c", "component", "u", "size"):
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+def told_apart():
+    """The rows of CLASH as documents in their order: null first; equal rows are one document."""
+    return sorted({(d, t or "") for d, t in CLASH}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
+def test_null_and_repeated_ids(spark):
+    """Against brute force, for each order in which documents of equal id may stand."""
+    from itertools import permutations, product
+
+    docs = told_apart()
+    groups = [[x for x in docs if x[0] == d] for d in (None, 7, 8, 9)]
+    ways = [[x for g in way for x in g] for way in product(*[list(permutations(g)) for g in groups])]
+    for brute, run in ((lambda x: brute_words(x, 20), lambda df: phrases.remove(df)), (lambda x: brute_bytes(x, 30), lambda df: suffixes.remove(df, repeats.Spec("byte", 30, 9)))):
+        rows = run(clashing(spark)).collect()
+        got = Counter((r[0], *r[1:]) for r in rows)
+        assert len(rows) == len(CLASH)
+        wants = []
+        for way in ways:
+            want = brute(list(enumerate(t for _, t in way)))
+            of = {(d, t): want[i] for i, (d, t) in enumerate(way)}
+            wants.append(Counter((d, *of[d, t or ""]) for d, t in CLASH))
+        assert got in wants
+
+
+def test_empty_tables(spark):
+    none = clashing(spark).limit(0)
+    for f in (phrases.remove, suffixes.remove, neardup.dedup, neardup.kept_rows):
+        assert f(none).collect() == []
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_links(spark, documents, k):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.dedup(documents[0], neardup.Spec(k=k)).collect()}
