@@ -3,7 +3,11 @@
 Each partition first contracts its edges with union-find, so what is shuffled is a forest.
 Then large-star and small-star steps alternate until the edges no longer change; they end
 as one star per component around its smallest node. Both steps are an aggregation and a
-join by node; the node with most neighbours is an ordinary skewed join key.
+join by node. The aggregates are written before they are joined: then both sides of the join
+are plain exchanges, and adaptive execution splits the node with most neighbours.
+
+Defined cases: no edges give no rows; edges may repeat and run in both directions; an edge
+from a node to itself adds nothing; nodes are of any type that sorts, and not null.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import materialize
+from flowmill.llm.common import discard, materialize
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -58,11 +62,12 @@ def components(edges: DataFrame) -> DataFrame:
     was = _state(e)
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large-star")
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         e = materialize(small, "edges")
+        discard(least, large, down)
         now = _state(e)
         if now == was:
             break

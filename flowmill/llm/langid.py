@@ -6,22 +6,28 @@ For each document the log posterior of a language adds up
   `temper`, as overlapping trigrams are not independent;
 - the declared markup language: how often documents whose text speaks for a language declare
   each value, counted over all documents and smoothed towards a share of right ones;
-- the address suffix: a country's suffix is `suffix_odds` times likelier for its language;
-- the host: a prior smoothed towards that of its suffix, itself smoothed towards that of
-  all documents; the counts behind all three are grouped aggregations over all documents.
+- the address suffix: how often documents whose text speaks for a language stand under each
+  suffix, counted over all documents and smoothed towards the suffix's share of all;
+- the host: a prior smoothed towards that of its domain (its last two labels), itself smoothed
+  towards that of all documents; the counts behind these are grouped aggregations over all
+  documents.
 
 Trigram counts are fitted on about `max_rows` rows with a declared language, dealt to the
 languages evenly: all rows of a small language, and of a larger one those that a salted hash
-of id and text picks. A language needs `least_rows` fitted rows with a trigram. Everything on the driver is bounded: languages by `max_langs`, trigram
-classes by 2**16, declared values by the languages and "other". Host priors hold one row
-per host; they are broadcast up to `few_hosts` hosts and joined by shuffle beyond.
+of id and text picks. Every declared value that gets a row is a language. Tables on the driver
+are bounded by that sample: at most `max_rows` languages, each with 2**16 classes. Hosts and
+suffixes stay tables; they are broadcast if they take less than `broadcast` bytes and joined by
+shuffle beyond.
 
 A document is rejected if its text has no letters, or if no language reaches `least`.
 
 Defined cases: a null or empty text is rejected, and its best guess comes from the other
-evidence; a null declaration, host or suffix says nothing; rows with equal or null ids are
-judged one by one; with no usable language at all, everything is rejected with a null
-language.
+evidence; a null declaration or host, or a host without a dot, says nothing about language or
+suffix; a host that no vote was counted for has its domain's prior, or that of all documents;
+rows with equal or null ids are judged one by one; equal posteriors go to the alphabetically
+first language; a very long text is scored whole; with no usable language at all, everything
+is rejected with a null language; an empty table gives no rows; other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +45,6 @@ from flowmill.llm.common import batches, flat, materialize, text_of
 CLASSES = 1 << 16
 #: Of the hash that picks fitted rows: its range and its salt.
 SPREAD, SALT = 1 << 40, "langid"
-# Languages of country suffixes.
-SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pl": "pl", "pt": "pt", "br": "pt", "ru": "ru", "jp": "ja", "cn": "zh", "kr": "ko", "se": "sv", "tr": "tr", "cz": "cs"}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -49,15 +54,13 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 @dataclass(frozen=True)
 class Spec:
     max_rows: int = 20_000
-    max_langs: int = 64
-    least_rows: int = 5
     temper: float = 1 / 3
     right: float = 0.9
-    suffix_odds: float = 3.0
+    suffix_weight: float = 20.0
     host_weight: float = 20.0
-    suffix_weight: float = 100.0
+    domain_weight: float = 100.0
     least: float = 0.5
-    few_hosts: int = 100_000
+    broadcast: int = 16 << 20
 
 
 def trigrams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -119,35 +122,29 @@ def shares(sizes: dict[str, int], max_rows: int) -> dict[str, float]:
 
 def learn_text(ev: DataFrame, spec: Spec = Spec()) -> Text:
     said = ev.where((F.col("_declared") != "") & (F.octet_length("_text") > 2))
-    sizes = said.groupBy("_declared").agg(F.count("*").alias("n")).where(F.col("n") >= spec.least_rows).orderBy(F.desc("n"), "_declared").limit(spec.max_langs).collect()
-    langs = sorted(r["_declared"] for r in sizes)
-    if not langs:
-        return Text([], np.zeros((CLASSES + 1, 0), np.float32))
-    part = shares({r["_declared"]: r.n for r in sizes}, spec.max_rows)
-    limit = F.lit(SPREAD)
-    for x in langs:
+    sizes = {r["_declared"]: r.n for r in said.groupBy("_declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_declared").limit(spec.max_rows).collect()}
+    part, limit = shares(sizes, spec.max_rows), F.lit(SPREAD)
+    for x in sorted(sizes):
         if part[x] < 1:
             limit = F.when(F.col("_declared") == x, F.lit(int(part[x] * SPREAD))).otherwise(limit)
-    rows = said.where(F.col("_declared").isin(langs) & (F.pmod(F.xxhash64(F.lit(SALT), "_key", "_text"), F.lit(SPREAD)) < limit))
-    of = {x: i for i, x in enumerate(langs)}
-    width = CLASSES + 2  # the last counts rows
+    rows = said.where(F.col("_declared").isin(list(sizes)) & (F.pmod(F.xxhash64(F.lit(SALT), "_key", "_text"), F.lit(SPREAD)) < limit))
+    none = Text([], np.zeros((CLASSES + 1, 0), np.float32))
 
     def run(it):
-        total = np.zeros(len(langs) * width, np.int64)
         for b in batches(it, 4 << 20, "_text"):
             data, offs = flat(b.column(0))
-            lang = np.array([of[x] for x in b.column(1).to_pylist()])
-            total += np.bincount(np.repeat(lang, np.diff(offs)) * width + trigrams(data, offs), minlength=len(total))
-            total += np.bincount(lang * width + CLASSES + 1, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    got = rows.select("_text", "_declared").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(langs) * width)
-    counts[got["at"].to_numpy()] = got["n"].to_numpy()
-    counts = counts.reshape(len(langs), -1)
-    fitted = counts[:, CLASSES + 1] >= spec.least_rows
-    langs, counts = [x for x, f in zip(langs, fitted) if f], counts[fitted, :CLASSES] + 0.05
+            lang = pc.dictionary_encode(b.column(1))
+            of = np.repeat(lang.indices.to_numpy().astype(np.int64), np.diff(offs))
+            at, n = np.unique(of * (CLASSES + 1) + trigrams(data, offs), return_counts=True)
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(at // (CLASSES + 1))), pa.array(at % (CLASSES + 1)), pa.array(n)], names=["lang", "at", "n"])
+
+    got = rows.select("_text", "_declared").mapInArrow(run, "lang string, at long, n long").where(F.col("at") < CLASSES).groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow() if sizes else None
+    if got is None or not got.num_rows:
+        return none
+    langs = sorted(set(got["lang"].to_pylist()))
+    counts = np.zeros((len(langs), CLASSES))
+    counts[np.searchsorted(np.array(langs, object), got["lang"].to_numpy(zero_copy_only=False)), got["at"].to_numpy()] = got["n"].to_numpy()
+    counts += 0.05
     table = np.log(counts / counts.sum(axis=1, keepdims=True)).T
     return Text(langs, np.vstack([table, np.zeros((1, len(langs)))]).astype(np.float32))
 
@@ -159,18 +156,21 @@ class Model:
     other: np.ndarray
     world: np.ndarray
     hosts: DataFrame | None
+    suffixes: DataFrame | None
     spec: Spec
 
 
-def _suffix_evidence(langs: list[str], suffix: str, odds: float) -> np.ndarray:
-    return np.log(np.array([odds if SUFFIXES.get(suffix) == x else 1.0 for x in langs]))
+def _domain(host: Column) -> Column:
+    """The last two labels of a host, or all of a shorter one."""
+    two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    return F.when(two != "", two).otherwise(host)
 
 
 def learn(ev: DataFrame, spec: Spec = Spec()) -> Model:
     text = learn_text(ev, spec)
     langs, n = text.langs, len(text.langs)
     if not n:
-        return Model(text, {}, np.zeros(0), np.zeros(0), None, spec)
+        return Model(text, {}, np.zeros(0), np.zeros(0), None, None, spec)
 
     def best(it):
         for b in batches(it, 4 << 20, "_text"):
@@ -182,9 +182,9 @@ def learn(ev: DataFrame, spec: Spec = Spec()) -> Model:
     votes = votes.withColumn("declared", F.when(F.col("declared").isin(*langs, ""), F.col("declared")).otherwise("?"))
     votes = materialize(votes.groupBy("declared", "host", "suffix", "best").agg(F.count("*").alias("n")), "language-votes")
     # declared values, given the language
-    table = np.zeros((n + 1, n))
+    table, of = np.zeros((n + 1, n)), {x: i for i, x in enumerate(langs)}
     for r in votes.where("declared != ''").groupBy("declared", "best").agg(F.sum("n").alias("n")).collect():
-        table[langs.index(r.declared) if r.declared in langs else n, r.best] += r.n
+        table[of.get(r.declared, n), r.best] += r.n
     prior = np.full((n + 1, n), (1 - spec.right) / n)
     prior[np.arange(n), np.arange(n)] = spec.right
     p = (table + 10 * prior) / (table.sum(axis=0) + 10)
@@ -193,11 +193,28 @@ def learn(ev: DataFrame, spec: Spec = Spec()) -> Model:
     for r in votes.groupBy("best").agg(F.sum("n").alias("n")).collect():
         world[r.best] += r.n
     world /= world.sum()
-    counts = [F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double") for i in range(n)]
+    counts = F.array(*[F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double") for i in range(n)])
+    array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    # suffixes, given the language
+    under = materialize(votes.where("suffix != ''").groupBy("suffix").agg(counts.alias("c"), F.sum("n").alias("n")), "suffix-votes")
+    kinds, all_, *each = under.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.sum(F.col("c")[i]), F.lit(0.0)) for i in range(n)]).first()
+    w = spec.suffix_weight
+    share = (F.col("n") + 1) / F.lit(float(all_ + kinds))
+    like = F.transform(F.arrays_zip(F.col("c"), array(each).alias("e")), lambda z: F.log((z["c"] + w * share) / (z["e"] + w)))
+    suffixes = materialize(under.select(F.col("suffix").alias("_suffix"), like.alias("_like")), "suffix-likelihoods")
+    # the languages of hosts, by domain
     smoothed = lambda c, parent, w: F.transform(F.arrays_zip(c.alias("c"), parent.alias("p")), lambda z: (z["c"] + w * z["p"]) / (F.aggregate(c, F.lit(0.0), lambda a, x: a + x) + w))
-    suffixes = votes.groupBy("suffix").agg(F.array(*counts).alias("c")).select("suffix", smoothed(F.col("c"), F.array(*[F.lit(float(x)) for x in world]), spec.suffix_weight).alias("sp"))
-    hosts = votes.groupBy("host", "suffix").agg(F.array(*counts).alias("c")).join(suffixes, "suffix").select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), smoothed(F.col("c"), F.col("sp"), spec.host_weight).alias("_prior"))
-    return Model(text, declared, np.log(p[n]), world, materialize(hosts, "host-priors"), spec)
+    own = votes.groupBy("host").agg(counts.alias("c")).withColumn("domain", _domain(F.col("host")))
+    sums = F.array(*[F.sum(F.col("c")[i]) for i in range(n)])
+    domains = materialize(own.groupBy("domain").agg(sums.alias("c")).select("domain", smoothed(F.col("c"), array(world), spec.domain_weight).alias("dp")), "domain-priors")
+    hosts = materialize(own.join(domains, "domain").select(F.col("host").alias("_host"), smoothed(F.col("c"), F.col("dp"), spec.host_weight).alias("_prior")), "host-priors")
+    return Model(text, declared, np.log(p[n]), world, hosts, suffixes, spec)
+
+
+def _beside(ev: DataFrame, table: DataFrame, key: str, m: Model) -> DataFrame:
+    """ev with the columns of table, sent along if it is known to be small."""
+    small = table.count() * (8 * len(m.text.langs) + 64) <= m.spec.broadcast
+    return ev.join(F.broadcast(table) if small else table, key, "left")
 
 
 def judged(ev: DataFrame, m: Model) -> DataFrame:
@@ -206,12 +223,10 @@ def judged(ev: DataFrame, m: Model) -> DataFrame:
     kind = ev.schema["_row"].dataType
     if m.hosts is None:
         return ev.select("_row.*", F.lit(None).cast("string").alias("lang_id"), F.lit(None).cast("string").alias("text_lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
-    few = m.hosts.count() <= spec.few_hosts
-    x = ev.join(F.broadcast(m.hosts) if few else m.hosts, ["_host", "_suffix"], "left").select("_text", "_declared", "_suffix", "_prior", "_row")
+    x = _beside(_beside(ev, m.hosts, "_host", m), m.suffixes, "_suffix", m).select("_text", "_declared", "_like", "_prior", "_row")
     world = np.log(m.world)
 
     def run(it):
-        ends = {}
         for b in batches(it, 4 << 20, "_text"):
             data, offs = flat(b.column(0))
             ll = text.scores(data, offs)
@@ -219,10 +234,8 @@ def judged(ev: DataFrame, m: Model) -> DataFrame:
             for i, (d, s, h) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
                 if d:
                     post[i] += declared.get(d, other)
-                if s:
-                    if s not in ends:
-                        ends[s] = _suffix_evidence(langs, s, spec.suffix_odds)
-                    post[i] += ends[s]
+                if s is not None:
+                    post[i] += s
                 post[i] += np.log(h) if h is not None else world
             top = post.argmax(axis=1)
             p = np.exp(post - post.max(axis=1, keepdims=True))

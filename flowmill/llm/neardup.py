@@ -13,24 +13,30 @@ with probability 1.6e-9. Links are then settled without pairing whole buckets:
 
 1. Star: each class is compared with the bucket minimum it shares most buckets with.
    Verified links are contracted to components.
-2. Best: in buckets that still hold several components, members of different components
-   are compared by signature, in blocks of about `block` rows a side, and each member's most
-   alike partner is verified. Repeated while that finds links, at most `rounds` times: large
-   groups grow together by about one verification a member.
+2. Best: in buckets that still hold several components, the members outside the bucket's
+   largest component are compared with all members of other components by signature, in blocks
+   of about `block` rows a side, and each member's most alike partner is verified. Repeated
+   while that finds links, at most `rounds` times: large groups grow together by about one
+   verification a member. A bucket of a million members of which ten are late costs a million
+   rows, not their square.
 3. Rest: where several components still share a bucket, all pairs between them that can be
    links are verified. No partner is capped.
 
-A pair can be a link if it agrees in at least 155 of 255 places (0.8 gives 204, with a
-deviation under 6.4), and if the shingles that both sets have in each of 1,024 classes of
-hashes, at most, are enough: that bound is exact, and close to the count itself unless the
-sets are large.
+A pair can be a link if it agrees in at least `agree` of 255 places (0.8 gives 204, with a
+deviation under 6.4; 140 is ten deviations below, rarer than a clash of 64-bit hashes), and if
+the shingles that both sets have in each of 1,024 classes of hashes, at most, are enough: that
+bound is exact, and close to the count itself unless the sets are large.
 
 Verification counts shared shingles of the full sets: 100 * both >= 80 * either.
 
 Defined cases: words are lower-cased in A-Z only; a text of fewer than k words is one
 shingle, its word sequence; no words or a null text: an empty set, linked with nothing;
-a null doc_id counts as the smallest; rows of equal id and different text are different
-documents; rows equal in both are one document, and each gets its result.
+a component is named by its smallest id, a null doc_id counting as the smallest, and a row of
+null id is kept if its own document names its component; rows of equal id and different text
+are different documents; rows equal in both are one document, and each gets its result;
+partners that are equally alike are taken in order of their place in the block; very long
+texts are hashed as a whole, in steps of bounded size; an empty table gives no rows; other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -64,8 +70,8 @@ class Spec:
     num: int = 80  # links: 100 * both >= num * either
     bands: int = 51
     rows: int = 5
-    agree: int = 155
-    block: int = 1024
+    agree: int = 140
+    block: int = 512
     rounds: int = 3
 
     @property
@@ -222,15 +228,27 @@ def _verified(spec: Spec, base: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
 
-def _between(spec: Spec, buckets: DataFrame, best: bool) -> DataFrame:
-    """buckets (b, key, comp, n, sig, cls) -> possible pairs (u, v) of different components in a
+def _dealt(spec: Spec, inside: DataFrame) -> DataFrame:
+    """inside: b, key, comp (members of buckets). Members of buckets with several components, dealt
+    into blocks b, i, j: slice i (side 0) of the members outside the largest component and slice
+    j (side 1) of all members, each part of either meeting each of the other once."""
+    counts = materialize(inside.groupBy("b", "comp").agg(F.count("*").alias("c")), "bucket-components")
+    open_ = counts.groupBy("b").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("m")).where("m > 1")
+    parts = lambda n: F.ceil(n / spec.block).cast("int")
+    open_ = materialize(open_.select("b", F.col("most.comp").alias("most"), parts(F.col("size") - F.col("most.c")).alias("few"), parts(F.col("size")).alias("all")), "open-buckets")
+    x = inside.join(open_, "b")
+    slice_ = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = x.where("comp != most").select("b", slice_("few", 1).alias("i"), each("all").alias("j"), F.lit(0).alias("side"), "key", "comp")
+    all_ = x.select("b", each("few").alias("i"), slice_("all", 2).alias("j"), F.lit(1).alias("side"), "key", "comp")
+    return materialize(ask.unionByName(all_), "blocks")
+
+
+def _between(spec: Spec, blocks: DataFrame, t: DataFrame, best: bool) -> DataFrame:
+    """blocks: _dealt(); t: key, n, sig, cls -> possible pairs (u, v) of different components in a
     bucket: all of them, or each member's most alike partner in each block."""
-    sizes = buckets.groupBy("b").agg(F.count("*").alias("size"))
-    x = buckets.join(sizes, "b").withColumn("parts", F.ceil(F.col("size") / spec.block).cast("int"))
-    x = x.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    # slice s of a bucket meets each slice of it once, in the block (smaller, larger)
-    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("b", F.least("slice", "o").alias("i"), F.greatest("slice", "o").alias("j"), "slice", "key", "comp", "n", "sig", "cls")
-    kind = buckets.schema["key"].dataType
+    kind = blocks.schema["key"].dataType
+    x = blocks.join(t.select("key", "n", "sig", "cls"), "key")
 
     def run(it):
         for t in grouped(it, ["b", "i", "j"]):
@@ -239,13 +257,11 @@ def _between(spec: Spec, buckets: DataFrame, best: bool) -> DataFrame:
             n = t["n"].to_numpy()
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(n), -1)
             cls = np.frombuffer(b"".join(t["cls"].to_pylist()), np.uint8).reshape(len(n), -1)
-            sl, i, j = t["slice"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
-            left, right = np.flatnonzero(sl == i), np.flatnonzero(sl == j)
+            side = t["side"].to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             us, vs, like = [], [], []
             for u in left:
                 v = right[(comp[right] != comp[u]) & (100 * np.minimum(n[right], n[u]) >= spec.num * np.maximum(n[right], n[u]))]
-                if i == j:
-                    v = v[v > u]
                 if len(v):
                     a = (sig[v] == sig[u]).sum(axis=1)
                     at = np.flatnonzero(a >= spec.agree)
@@ -262,7 +278,7 @@ def _between(spec: Spec, buckets: DataFrame, best: bool) -> DataFrame:
                     us, vs = us[keep], vs[keep]
                 yield pa.RecordBatch.from_arrays([key.take(pa.array(us)), key.take(pa.array(vs))], names=["u", "v"])
 
-    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = x.repartition(parts, "b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
     return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -292,10 +308,9 @@ def _grouped_keys(base: DataFrame, spec: Spec) -> DataFrame:
     for turn in range(spec.rounds + 1):
         best = best and turn < spec.rounds
         inside = bucket.join(comp.select(F.col("u").alias("key"), "root"), "key", "left").select("b", "key", F.coalesce("root", "key").alias("comp"))
-        several = materialize(inside.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b"), "open-buckets")
-        rest = materialize(inside.join(several, "b").join(t.select("key", "n", "sig", "cls"), "key").select("b", "key", "comp", "n", "sig", "cls"), "rest")
-        pairs = materialize(_between(spec, rest, best).join(done, ["u", "v"], "left_anti"), "pairs")
-        discard(rest)
+        blocks = _dealt(spec, inside)
+        pairs = materialize(_between(spec, blocks, t, best).join(done, ["u", "v"], "left_anti"), "pairs")
+        discard(blocks)
         found = 0
         if pairs.limit(1).count():
             new = materialize(_verified(spec, base, pairs), "links")
@@ -329,3 +344,23 @@ def kept_rows(docs: DataFrame, spec: Spec = Spec(k=5), id_col: str = "doc_id", t
 
 def op9(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The contract's result in plain SQL, for small tables.
+OP9_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, md5(array_to_string(w[i:i + 3], ' ')) as h
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as shared from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select u, v from l union all select v, u from l),
+r as (select u as doc_id, v as other from e union select r.doc_id, e.v from r join e on r.other = e.u),
+c as (select doc_id, min(other) as least from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) as component_id,
+       c.least is null or d.doc_id <= c.least as kept
+from d left join n on d.doc_id = n.doc_id left join c on d.doc_id = c.doc_id
+"""

@@ -1,26 +1,28 @@
 """Approximate nearest neighbours as a block matrix join, with exact results.
 
-Vectors are scaled to int8, each by its own largest component, with the length of the
-rounding error kept beside it. Queries and candidates are dealt into blocks by a hash of
-their id, and every (query block, candidate block) tile is one bounded task: the product of
-the two int8 matrices approximates all inner products of the tile, and with
-q = s u + e and x = t v + f
+Every vector is scaled to int8 once, by its own largest component, with the length of the
+rounding error kept beside it. Query blocks meet runs of candidates: a task holds the int8
+rows of one query block and takes its candidates tile by tile, so that what it holds does not
+depend on the size of the table, and there are at most about `TASKS` tasks. The product of two
+int8 matrices approximates all inner products of a tile, and with q = s u + e and x = t v + f
 
     |q.x - s t u.v| <= |e| |x| + |q| |f| + |e| |f|
 
-bounds how wrong each can be. Pairs whose upper bound is below the k-th best lower bound
-of their query cannot be among its k best in the tile; the others are computed in double
-precision, and each query keeps the k best of the tile on a heap. The heaps of all tiles are
-merged per query in a second step, a group of at most k times the number of candidate
-blocks. So nothing is lost to quantisation: recall is 1.
+bounds how wrong each can be. A query keeps the k best lower bounds it has met; pairs whose
+upper bound is below the least of these cannot be among its k best. What survives the tiles of
+one task is pruned once more by the bounds of all, and only the survivors, about k a query,
+fetch the original vectors: their inner products are computed in double precision, and heaps
+of k merge them. So nothing is lost to quantisation: recall is 1.
 
 The tile product is taken in single precision on int8 values: products and sums stay below
 2**24 for up to 1,040 components, so it is exact integer arithmetic (and beyond that, double).
 
-Defined cases: vectors that are null, of another length than most, all zero, or with a null
-or non-finite component take no part; a query does not meet rows of its own id; fewer than
-k candidates give fewer rows; ties go to the smaller id; rows of equal id and vector are
-one row; several vectors of one id are searched and found together, each on its own.
+Defined cases: vectors that are null, empty, all zero, or with a null or non-finite component
+take no part; nor do rows without an id; vectors meet those of equal length, as no other
+inner product exists; a query meets every row but its own, so repeated rows meet one another,
+and each row of an id that is searched has its own list; fewer than k candidates give fewer
+rows; ties go to the smaller id; an empty table gives no rows; other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -29,15 +31,18 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.llm.common import grouped, materialize
 
 K, EVERY = 20, 20
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
-#: Candidate blocks at least, so that small tables use the whole cluster too.
-LEAST_BLOCKS = 32
+#: Queries of a block, candidates of a tile, and tasks: at least, so that small tables use the whole
+#: cluster too, and at most, about.
+QUERY_BLOCK, TILE, LEAST_TASKS, TASKS = 32_768, 16_384, 32, 20_000
+#: Queries whose products with a tile are held at once, and survivors before they are pruned.
+STEP, HELD = 256, 4_000_000
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,75 +55,188 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed from the first component to the last."""
+    """Inner products row by row in double precision, summed from the first component to the last."""
     return np.add.accumulate(q * x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
 
 
-def tile(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, candidate, score) of each query's k best candidates of the tile."""
-    qu, qs, qe, qn = quantised(q)
-    xu, xs, xe, xn = quantised(x)
-    kind = np.float32 if q.shape[1] <= 1040 else np.float64
-    xt, out = xu.T.astype(kind), []
-    for at in range(0, len(q), 256):
-        s = slice(at, at + 256)
-        near = (qu[s].astype(kind) @ xt).astype(np.float64) * qs[s, None] * xs
-        # the last term covers rounding in the bound and in the recomputed sum
-        wide = qe[s, None] * xn + (qn[s, None] + qe[s, None]) * xe + qn[s, None] * xn * 1e-12
-        own = qid[s, None] == xid
-        low = np.where(own, -np.inf, near - wide)
-        best = np.partition(low, -k, axis=1)[:, -k] if len(x) > k else np.full(len(low), -np.inf)
-        alive = (near + wide >= best[:, None]) & ~own
-        for i in range(len(low)):
-            c = np.flatnonzero(alive[i])
-            scores = dots(q[at + i], x[c])
-            top = heapq.nsmallest(k, zip((-scores).tolist(), xid[c].tolist()))
-            out += [(int(qid[at + i]), v, -d + 0.0) for d, v in top]
-    return out
+class Block:
+    """The queries of one block, and what survives of the candidates they have met."""
+
+    def __init__(self, row: np.ndarray, u: np.ndarray, scale: np.ndarray, error: np.ndarray, norm: np.ndarray, k: int) -> None:
+        self.row, self.scale, self.error, self.norm, self.k = row, scale, error, norm, k
+        self.kind = np.float32 if u.shape[1] <= 1040 else np.float64
+        self.u = u.astype(self.kind)
+        self.best = np.full((len(row), k), -np.inf)  # lower bounds, the least in front
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.count = 0
+
+    def meet(self, row: np.ndarray, u: np.ndarray, scale: np.ndarray, error: np.ndarray, norm: np.ndarray) -> None:
+        """One tile."""
+        xt = u.T.astype(self.kind)
+        for at in range(0, len(self.row), STEP):
+            s = slice(at, at + STEP)
+            with np.errstate(invalid="ignore", over="ignore"):
+                near = (self.u[s] @ xt).astype(np.float64) * self.scale[s, None] * scale
+                # the last term covers rounding in the bound and in the recomputed sum
+                wide = self.error[s, None] * norm + (self.norm[s, None] + self.error[s, None]) * error + self.norm[s, None] * norm * 1e-12
+                low, high = near - wide, near + wide
+            own = self.row[s, None] == row
+            low[own | np.isnan(low)] = -np.inf
+            high[np.isnan(high)] = np.inf  # beyond doubles: nothing is known
+            both = np.concatenate([self.best[s], low], axis=1)
+            self.best[s] = np.partition(both, -self.k, axis=1)[:, -self.k :]
+            q, x = np.nonzero((high >= self.best[s, :1]) & ~own)
+            self.found.append((q + at, row[x], low[q, x], high[q, x]))
+            self.count += len(q)
+        if self.count > HELD:
+            self.found = [self.survivors()]
+            self.count = len(self.found[0][0])
+
+    def survivors(self) -> tuple[np.ndarray, ...]:
+        """query (place in the block), candidate row, lower and upper bound."""
+        q, x, low, high = (np.concatenate(c) for c in zip(*self.found))
+        keep = high >= self.best[q, 0]
+        return q[keep], x[keep], low[keep], high[keep]
 
 
 def prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, vec (array<double>): the vectors that take part."""
+    """row (a number of its own), id, vec (array<double>), d: the vectors that take part."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
     v = v.where(F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", good) & F.exists("vec", lambda c: c != 0))
-    return v.distinct()
+    return v.select(F.monotonically_increasing_id().alias("row"), "id", "vec", F.size("vec").alias("d"))
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each id divisible by `every`, its k nearest."""
-    v = materialize(prepared(vectors, id_col, vec_col).withColumn("d", F.size("vec")), "vectors")
-    dims = v.groupBy("d").agg(F.count("*").alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not dims:
-        return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    v = v.where(F.col("d") == dims[0].d)
-    nq, nx = -(-dims[0].q // QUERY_BLOCK) or 1, max(LEAST_BLOCKS, -(-dims[0].n // CANDIDATE_BLOCK))
-    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    x = v.select(block(nx, 1).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), F.lit(1).alias("side"), "id", "vec")
-    q = v.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("j"), block(nq, 2).alias("i"), F.lit(0).alias("side"), "id", "vec").select(*x.columns)
-
-    def tiles(it):
-        for t in grouped(it, ["i", "j"]):
-            side = t["side"].to_numpy()
-            ids = t["id"].to_numpy()
-            m = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            a, b = side == 0, side == 1
-            if a.any() and b.any():
-                rows = tile(ids[a], m[a], ids[b], m[b], k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["query_id", "vec_id", "score"]) if rows else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = q.unionByName(x).repartition(nq * nx, "i", "j").sortWithinPartitions("i", "j", "side", "id").mapInArrow(tiles, "query_id long, vec_id long, score double")
+def _small(v: DataFrame) -> DataFrame:
+    """row, id, d, u (the int8 components), scale, error, norm."""
+
+    def run(it):
+        for b in it:
+            d = b.column(3).to_numpy()
+            vec = b.column(2)
+            for size in np.unique(d):
+                at = np.flatnonzero(d == size)
+                x = vec.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
+                u, scale, error, norm = quantised(x)
+                own = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(3), pa.array([r.tobytes() for r in u], pa.binary()), pa.array(scale), pa.array(error), pa.array(norm)], names=["row", "id", "d", "u", "scale", "error", "norm"])
+
+    return v.select("row", "id", "vec", "d").mapInArrow(run, "row long, id long, d int, u binary, scale double, error double, norm double")
+
+
+def _tiles(rows: DataFrame, k: int) -> DataFrame:
+    """rows: d, i, r (query block and run of candidates), side (0: query), row, u, scale, error,
+    norm, sorted by the first four -> q, x (rows), low, high: possible neighbours."""
+
+    def run(it):
+        block, now, held, queries = None, None, [], []
+
+        def parts(batches):
+            t = pa.Table.from_batches(batches)
+            d = t["d"][0].as_py()
+            u = np.frombuffer(b"".join(t["u"].to_pylist()), np.int8).reshape(-1, d)
+            return t["row"].to_numpy(), u, *(t[c].to_numpy() for c in ("scale", "error", "norm"))
+
+        def flush():
+            nonlocal block, held, queries
+            if queries:
+                block, queries = Block(*parts(queries), k), []
+            if held and block is not None:
+                block.meet(*parts(held))
+            held = []
+
+        def result():
+            nonlocal block
+            if block is not None and block.found:
+                q, x, low, high = block.survivors()
+                for at in range(0, len(q), 1 << 16):
+                    s = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(block.row[q[s]]), pa.array(x[s]), pa.array(low[s]), pa.array(high[s])], names=["q", "x", "low", "high"])
+            block = None
+
+        size = 0
+        for b in it:
+            key = np.stack([b.column(c).to_numpy() for c in range(4)])
+            cuts = [0, *(np.flatnonzero(np.any(np.diff(key) != 0, axis=0)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                at = tuple(key[:3, a].tolist())
+                if at != now:
+                    flush()
+                    yield from result()
+                    now, size = at, 0
+                if key[3, a] == 0:
+                    queries.append(b.slice(a, z - a))
+                    continue
+                while a < z:
+                    n = min(z - a, TILE - size)
+                    held.append(b.slice(a, n))
+                    a, size = a + n, size + n
+                    if size == TILE:
+                        flush()
+                        size = 0
+        flush()
+        yield from result()
+
+    return rows.mapInArrow(run, "q long, x long, low double, high double")
+
+
+def _pruned(found: DataFrame, k: int) -> DataFrame:
+    """q, x: of what the tasks found, the pairs that can be among the k best of their query."""
+
+    def run(it):
+        for t in grouped(it, ["q"], 1 << 20):
+            q, x, low, high = (t[c].to_numpy() for c in ("q", "x", "low", "high"))
+            begin = np.concatenate([[0], np.flatnonzero(np.diff(q)) + 1, [len(q)]])
+            least = np.array([np.partition(low[a:z], -k)[-k] if z - a >= k else -np.inf for a, z in zip(begin, begin[1:])])
+            keep = high >= np.repeat(least, np.diff(begin))
+            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(x[keep])], names=["q", "x"])
+
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(run, "q long, x long")
+
+
+def _merged(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs: q, query_id, vec_id, qvec, vec -> query_id, rank, vec_id, score."""
+
+    def score(it):
+        for b in it:
+            d = pc.list_value_length(b.column(3)).to_numpy()
+            for size in np.unique(d):
+                own = b.take(pa.array(np.flatnonzero(d == size)))
+                q, x = (own.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for c in (3, 4))
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(dots(q, x) + 0.0)], names=["q", "query_id", "vec_id", "score"])
 
     def merge(it):
-        for t in grouped(it, ["query_id"], 1 << 16):
-            qs: dict[int, list] = {}
-            for a, b, c in zip(t["query_id"].to_pylist(), t["vec_id"].to_pylist(), t["score"].to_pylist()):
-                qs.setdefault(a, []).append((-c, b))
-            rows = [(a, i, b, -c) for a, heap in qs.items() for i, (c, b) in enumerate(heapq.nsmallest(k, heap), 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] + 0.0 for r in rows], pa.float64())], names=["query_id", "rank", "vec_id", "score"])
+        for t in grouped(it, ["q"], 1 << 16):
+            heaps: dict[tuple[int, int], list] = {}
+            for q, i, v, s in zip(*(t[c].to_pylist() for c in ("q", "query_id", "vec_id", "score"))):
+                heaps.setdefault((q, i), []).append((-s, v))
+            rows = [(i, n, v, -s + 0.0) for (_, i), heap in heaps.items() for n, (s, v) in enumerate(heapq.nsmallest(k, heap), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
 
-    parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(parts, "query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = pairs.select("q", "query_id", "vec_id", "qvec", "vec").mapInArrow(score, "q long, query_id long, vec_id long, score double")
+    return scored.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest."""
+    v = materialize(prepared(vectors, id_col, vec_col), "vectors")
+    small = materialize(_small(v), "int8-vectors")
+    asks = F.col("id") % every == 0
+    n, q = small.agg(F.count("*"), F.count_if(asks)).first()
+    blocks = max(1, -(-q // QUERY_BLOCK))
+    runs = max(-(-LEAST_TASKS // blocks), min(-(-n // TILE), TASKS // blocks))
+    deal = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rest = ["row", "u", "scale", "error", "norm"]
+    x = small.select("d", every_one(blocks).alias("i"), deal(runs, 1).alias("r"), F.lit(1).alias("side"), *rest)
+    a = small.where(asks).select("d", deal(blocks, 2).alias("i"), every_one(runs).alias("r"), F.lit(0).alias("side"), *rest)
+    rows = a.unionByName(x).repartitionById(blocks * runs, F.col("i") * runs + F.col("r")).sortWithinPartitions("d", "i", "r", "side", "row")
+    found = materialize(_tiles(rows, k), "tile-survivors")
+    pairs = materialize(_pruned(found, k), "survivors")
+    full = pairs.join(v.select(F.col("row").alias("x"), F.col("id").alias("vec_id"), "vec"), "x").join(v.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("vec").alias("qvec")), "q")
+    return _merged(full, k)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -127,14 +245,14 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 with v as (
-  select distinct vec_id, embedding::double[] as e from embeddings
+  select row_number() over () as row, vec_id, embedding::double[] as e from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
     and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p as (
-  select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e) as score
-  from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0),
+  select q.row, q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e) as score
+  from v q join v on q.row <> v.row and len(q.e) = len(v.e) where q.vec_id % 20 = 0),
 r as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from p)
+  select *, row_number() over (partition by row order by score desc, vec_id)::integer as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 20
 """

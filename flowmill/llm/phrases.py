@@ -3,8 +3,8 @@
 1. Candidates come from repeats, with words as units: segments of words around seeds that
    occur more than once.
 2. Recurring passages are confirmed by their words. A segment that occurs again as a whole is
-   one passage; where segments of one seed differ, each window that several of them hold is
-   one. A passage comes with its earliest place.
+   one passage; where segments of one seed differ, the windows that several of them hold make
+   passages, as long as they follow one another in all of these. A passage comes with its earliest place.
 3. Passages are sent to the blocks of documents in which their segments lie, a block being
    about `BLOCK` bytes of text, and there compiled with pyahocorasick into automata: one per
    shard of at most `SHARD` words of passages. The alphabet is words, each standing as one
@@ -12,6 +12,8 @@
 4. Each document streams, whole, through all automata of its block. What they locate later than
    a passage's earliest place is covered. Nothing else removes a word. A document without a
    repeated seed cannot hold a recurring window; none is sent to it, and it keeps all words.
+   Documents of equal words stream once: in all but the first, everything located is covered, as
+   it starts earlier in the first.
 
 A passage sent to a block is compiled once however many documents hold it there, and a hot one
 goes to each block once. A task handles its blocks one after another and holds the texts of
@@ -29,7 +31,7 @@ seeds and streamed whole; an empty table gives no rows; other columns may have a
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import re
 
 import ahocorasick
 import pyarrow as pa
@@ -45,24 +47,35 @@ SPAN = 20
 SPEC = Spec("word", SPAN, 7)
 #: Words, and bytes, of passages in one automaton (a word is at most one node); bytes of text in a
 #: block; tasks at most, each of which then takes several blocks.
-SHARD, SHARD_BYTES, BLOCK, TASKS = 400_000, 8 << 20, 8 << 20, 20_000
+SHARD, SHARD_BYTES, BLOCK, TASKS = 1_000_000, 16 << 20, 2 << 20, 20_000
 #: Bytes of a text that are turned into letters at once.
 STEP = 1 << 20
 OTHER = "\x01"
-
-
-def recurring(spec: Spec, segs: list[bytes]) -> dict[bytes, list[tuple[int, int]]]:
-    """Windows that several of the segments hold, or one holds twice: (segment, window) of each."""
-    cut = []
-    for raw in segs:
-        at = [-1, *(i for i, c in enumerate(raw) if c == 32), len(raw)]
-        cut.append([raw[a + 1 : z] for a, z in zip(at, at[spec.span :])])
-    count = Counter(w for ws in cut for w in ws)
-    out: dict[bytes, list[tuple[int, int]]] = {}
-    for i, ws in enumerate(cut):
-        for j, w in enumerate(ws):
-            if count[w] > 1:
-                out.setdefault(w, []).append((i, j))
+_SPACE = re.compile(b" ")
+
+
+def recurring(spec: Spec, segs: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """Passages that several of the segments hold, or one holds twice: (words, where: segment and
+    first word). Windows that follow one another wherever they stand are one passage."""
+    cut, at = [], {}
+    for i, raw in enumerate(segs):
+        ends = [-1, *[m.start() for m in _SPACE.finditer(raw)], len(raw)]
+        cut.append(ends)
+        for j, (a, z) in enumerate(zip(ends, ends[spec.span :])):
+            at.setdefault(raw[a + 1 : z], []).append((i, j))
+    out = []
+    where = sorted(x for x in at.values() if len(x) > 1)
+    begun = {x[0]: n for n, x in enumerate(where)}
+    done = [False] * len(where)
+    for n, x in enumerate(where):
+        if done[n]:
+            continue
+        last = x
+        while (m := begun.get((last[0][0], last[0][1] + 1))) is not None and where[m] == [(i, j + 1) for i, j in last]:
+            last = where[m]
+            done[m] = True
+        (i, a), (_, z) = x[0], last[0]
+        out.append((segs[i][cut[i][a] + 1 : cut[i][z + spec.span]], x))
     return out
 
 
@@ -79,7 +92,7 @@ def _confirmed(spec: Spec, segs: DataFrame) -> DataFrame:
                 if z < len(h) and h[z] == h[a]:
                     continue
                 if z - a > 1:
-                    for w, at in recurring(spec, text[a:z]).items():
+                    for w, at in recurring(spec, text[a:z]):
                         k, p = min((key[a + i], lo[a + i] + j) for i, j in at)
                         for i in {i for i, _ in at}:
                             for col, v in zip(out, (h[a], s[a + i], k, p, w)):
@@ -133,52 +146,60 @@ def spelled(raw: bytes, letters: dict) -> str:
     return "".join(out)
 
 
-def locate(shard: dict[bytes, tuple], docs: list[tuple], runs: list[list]) -> None:
-    """Stream docs (key, bytes) through the shard's automaton; add what is later to runs."""
+def locate(shard: dict[bytes, tuple], docs: list[tuple], runs: list[tuple[list, list]]) -> None:
+    """Stream docs (key, words, equal texts) through the shard's automaton; add what is later than
+    a passage's first place to the first list of runs, all to the second if there are copies."""
     m, letters = machine(shard)
-    for (key, raw), mine in zip(docs, runs):
+    for (key, raw, copies), (own, every) in zip(docs, runs):
         for end, (back, first) in m.iter(spelled(raw, letters)):
             if (key, end - back) > first:
-                if mine and mine[-1][0] <= end - back <= mine[-1][1]:
-                    mine[-1] = (mine[-1][0], max(mine[-1][1], end + 1))
-                else:
-                    mine.append((end - back, end + 1))
+                _extend(own, end - back, end + 1)
+            if copies > 1:
+                _extend(every, end - back, end + 1)
 
 
-def _streamed(spec: Spec, rows: DataFrame, keep_text: bool) -> DataFrame:
-    """rows: block, kind (0: document, 1: passage), key, lo, text, sorted by block and kind."""
+def _extend(runs: list, a: int, z: int) -> None:
+    if runs and runs[-1][0] <= a <= runs[-1][1]:
+        runs[-1] = (runs[-1][0], max(runs[-1][1], z))
+    else:
+        runs.append((a, z))
 
-    def settle(docs, runs):
-        out: list = [[], [], [], []]
-        for (key, raw), mine in zip(docs, runs):
-            if mine:
-                ws = raw.split()
-                at, kept = 0, []
-                for a, z in merged(mine, len(ws)):
-                    kept += ws[at:a]
-                    at = z
-                kept += ws[at:]
-                left = b" ".join(kept)
-                for col, v in zip(out, (key, len(ws) - len(kept), hashlib.sha256(left).hexdigest(), left.decode() if keep_text else None)):
-                    col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["key", "removed", "left", "kept"])
 
+def _streamed(spec: Spec, rows: DataFrame, keep_text: bool) -> DataFrame:
+    """rows: block, kind (0: document, 1: passage), key, lo (of a passage) or the number of equal
+    texts, text, sorted by block and kind -> rep, copy, removed, left, kept."""
     kind = pa.int64() if isinstance(rows.schema["key"].dataType, T.LongType) else pa.binary()
 
+    def settle(docs, runs):
+        out: list = [[], [], [], [], []]
+        for (key, raw, _), both in zip(docs, runs):
+            for copy, mine in enumerate(both):
+                if mine:
+                    ws = raw.split()
+                    at, kept = 0, []
+                    for a, z in merged(mine, len(ws)):
+                        kept += ws[at:a]
+                        at = z
+                    kept += ws[at:]
+                    left = b" ".join(kept)
+                    for col, v in zip(out, (key, bool(copy), len(ws) - len(kept), hashlib.sha256(left).hexdigest(), left.decode() if keep_text else None)):
+                        col.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["rep", "copy", "removed", "left", "kept"])
+
     def run(it):
         block, docs, runs, shard, nodes, size = None, [], [], {}, 0, 0
         for b in it:
             n = pc.add(pc.count_substring(b.column(4), b" "), 1).to_pylist()
             for bl, k, key, lo, text, ws in zip(*(b.column(i).to_pylist() for i in range(5)), n):
-                if bl != block or k == 0 and shard:
+                if bl != block:
                     if shard:
                         locate(shard, docs, runs)
                     if docs:
                         yield settle(docs, runs)
                     block, docs, runs, shard, nodes, size = bl, [], [], {}, 0, 0
                 if k == 0:
-                    docs.append((key, text))
-                    runs.append([])
+                    docs.append((key, text, lo))
+                    runs.append(([], []))
                     continue
                 if text in shard:
                     shard[text] = min(shard[text], (key, lo))
@@ -193,7 +214,7 @@ def _streamed(spec: Spec, rows: DataFrame, keep_text: bool) -> DataFrame:
         if docs:
             yield settle(docs, runs)
 
-    return rows.mapInArrow(run, _schema(rows, "", "removed long, left string, kept string"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("rep", rows.schema["key"].dataType), *T._parse_datatype_string("copy boolean, removed long, left string, kept string").fields]))
 
 
 def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -207,12 +228,12 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
         block = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(blocks)).cast("int")
         known = passages(spec, found)
         sent = found.places.select("h", "s", block.alias("block")).distinct().join(known, ["h", "s"]).select("block", F.lit(1).alias("kind"), "key", "lo", F.col("seg").alias("text"))
-        rows = found.texts.select(block.alias("block"), F.lit(0).alias("kind"), "key", F.lit(0).alias("lo"), F.col("text").cast("binary").alias("text")).unionByName(sent)
-        parts = min(blocks, TASKS)
+        rows = found.texts.select(block.alias("block"), F.lit(0).alias("kind"), "key", F.least("c", F.lit(2)).cast("int").alias("lo"), F.col("text").cast("binary").alias("text")).unionByName(sent)
+        parts = min(max(blocks // 8, min(blocks, 64)), TASKS)
         rows = rows.repartitionById(parts, F.pmod("block", F.lit(parts))).sortWithinPartitions("block", "kind")
         changed = tables.keep(materialize(_streamed(spec, rows, keep_text), "changed"))
         info = tables.keep(found.info)
-    per_key = info.join(changed, "key", "left").select(
+    per_key = info.withColumn("copy", F.col("key") != F.col("rep")).join(changed, ["rep", "copy"], "left").select(
         "key",
         F.col("n").alias("n_words"),
         F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),

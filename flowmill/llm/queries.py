@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_phrases": phrases.OP3_SQL, "op4_neighbours": neighbours.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op8_suffix_dedup": suffixes.OP8_SQL}
+    return {"op3_phrases": phrases.OP3_SQL, "op4_neighbours": neighbours.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op7_warc": warc.OP7_SQL, "op8_suffix_dedup": suffixes.OP8_SQL, "op9_minhash": neardup.OP9_SQL}

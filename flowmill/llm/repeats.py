@@ -10,8 +10,11 @@ decided by the caller's engine alone, on the text itself.
    if several). Equal windows pick equal seeds at equal places, and neighbouring windows
    mostly share theirs: one seed stands for about (span - k) / 2 windows. A document
    becomes an array of seed hashes.
-2. Seeds that occur once cannot be part of a repeat. Counting them is one aggregation
-   over hashes, and joining the repeated ones back leaves the documents with candidates.
+2. Documents with equal texts are aggregated to their first one, with the number of them;
+   what is found counts that often, and the engine's result for "any further copy" of the first
+   is that of the others. Seeds that occur once cannot be part of a repeat. Counting them is one
+   aggregation over hashes, and joining the repeated ones back leaves the documents with
+   candidates.
 3. Only those documents' texts are moved. All windows of one seed form a segment. Equal
    segments are aggregated by their text, before they are shuffled, to one row with its
    count and earliest place. Segments are referred to by two 64-bit hashes; should two texts
@@ -193,7 +196,7 @@ def _segment_hash(a: np.ndarray, b: np.ndarray, off: np.ndarray, width: np.ndarr
 
 
 def _segments(spec: Spec, x: DataFrame) -> DataFrame:
-    """A row for each occurrence of a repeated seed: h, s, key, lo, seg."""
+    """A row for each occurrence of a repeated seed: h, s, key, lo, c (equal texts), seg."""
 
     def run(it):
         for b in batches(it):
@@ -220,9 +223,9 @@ def _segments(spec: Spec, x: DataFrame) -> DataFrame:
                 else:
                     a, z = offs[s["doc"]] + s["lo"], offs[s["doc"]] + s["hi"] + spec.span
                     segs = [data[i:j].tobytes() for i, j in zip(a, z)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s["h"])), pa.array(signed(sh)), b.column(0).take(pa.array(s["doc"])), pa.array(s["lo"], pa.int32()), pa.array(segs, pa.binary())], names=["h", "s", "key", "lo", "seg"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s["h"])), pa.array(signed(sh)), b.column(0).take(pa.array(s["doc"])), pa.array(s["lo"], pa.int32()), b.column(3).take(pa.array(s["doc"])), pa.array(segs, pa.binary())], names=["h", "s", "key", "lo", "c", "seg"])
 
-    return x.select("key", "text", "hs").mapInArrow(run, _schema(x, "h long, s long", "lo int, seg binary"))
+    return x.select("key", "text", "hs", "c").mapInArrow(run, _schema(x, "h long, s long", "lo int, c long, seg binary"))
 
 
 def _schema(df: DataFrame, before: str, after: str) -> T.StructType:
@@ -257,9 +260,10 @@ def _windows(spec: Spec, segs: DataFrame) -> DataFrame:
 
 @dataclass
 class Found:
-    """info: key, n, sha of every document; texts: key, size, text of those with repeated seeds;
+    """info: key, n, sha of every document, and rep, the first document of equal text;
+    texts: key, size, c (equal texts), text of first documents with repeated seeds;
     segs: h, s, seg, c (occurrences), key and lo (the earliest), each different segment once;
-    places: h, s, key, lo of every occurrence."""
+    places: h, s, key, lo, c of every occurrence in texts."""
 
     info: DataFrame
     texts: DataFrame
@@ -271,31 +275,36 @@ def find(spec: Spec, base: DataFrame) -> Found:
     """base: keyed(). Where equal windows can be; see above."""
     t1 = materialize(_seed_rows(spec, base), "seeds")
     once = t1.dropDuplicates(["key"]) if not isinstance(base.schema["key"].dataType, T.LongType) else t1
-    info = materialize(once.select("key", "n", "sha"), "lengths")
     # aggregates are written before they are joined: a join of two plain exchanges is one whose
     # hot keys adaptive execution can split
-    occ = once.select("key", "size", F.explode("hs").alias("h"))
-    again = materialize(occ.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated-seeds")
-    cand = materialize(occ.join(again, "h").groupBy("key").agg(F.first("size").alias("size"), F.collect_set("h").alias("hs")), "candidates")
-    discard(t1, again)
+    equal = materialize(once.where(F.col("n") >= spec.span).groupBy("sha").agg(F.min("key").alias("rep"), F.count("*").alias("c")).where("c > 1"), "equal-texts")
+    info = materialize(once.select("key", "n", "sha").join(equal, "sha", "left").select("key", "n", "sha", F.coalesce("rep", "key").alias("rep"), F.coalesce("c", F.lit(1)).alias("c")), "lengths")
+    marks = materialize(info.where("c > 1").select("key", "c", (F.col("key") == F.col("rep")).alias("own")), "marks")
+    occ = once.join(few(marks), "key", "left").where("own is null or own").select("key", "size", F.coalesce("c", F.lit(1).cast("long")).alias("c"), F.explode("hs").alias("h"))
+    again = materialize(occ.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "repeated-seeds")
+    cand = materialize(occ.join(again, "h").groupBy("key").agg(F.first("size").alias("size"), F.first("c").alias("c"), F.collect_set("h").alias("hs")), "candidates")
+    discard(t1, again, equal, marks)
     x = materialize(_with_text(base, cand), "candidate-texts")
     discard(cand)
+    texts = x.select("key", "size", "c", "text")
     while True:
         seg = materialize(_segments(spec, x), "occurrences")
-        g = materialize(_once_each(seg.withColumn("c", F.lit(1))), "segments")
+        g = materialize(_once_each(seg), "segments")
         # seeds with too many different segments for one deal
         many = materialize(g.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > spec.hot).select("h"), "hot-seeds")
-        places = seg.select("h", "s", "key", "lo")
+        places = seg.select("h", "s", "key", "lo", "c")
         if many.limit(1).count():
             hot = _windows(spec, g.join(many, "h", "left_semi"))
             rec = materialize(hot.groupBy("h", "s").agg(F.sum("c").alias("c")).where("c > 1").select("h", "s"), "hot-windows")
             fine = _once_each(hot.join(rec, ["h", "s"], "left_semi"))
-            at = _windows(spec, seg.join(many, "h", "left_semi").withColumn("c", F.lit(1).cast("long"))).drop("c", "seg").join(rec, ["h", "s"], "left_semi")
-            places = materialize(places.join(many, "h", "left_anti").unionByName(at), "places")
+            at = _windows(spec, seg.join(many, "h", "left_semi")).drop("seg").join(rec, ["h", "s"], "left_semi")
+            places = places.join(many, "h", "left_anti").unionByName(at)
             g = materialize(g.join(many, "h", "left_anti").unionByName(fine), "segments")
+        places = materialize(places, "places")
+        discard(seg)
         clash = g.groupBy("h", "s").agg(F.count("*").alias("m")).where("m > 1").limit(1).count()
         if not clash:
-            return Found(info, x.select("key", "size", "text"), g, places)
+            return Found(info, texts, g, places)
         spec = replace(spec, salt=spec.salt + 1)
 
 

@@ -12,7 +12,8 @@ A deal holds every different segment once, with the number of its occurrences: t
 equal suffixes stand side by side in the order, and the aggregation that counted them
 compared whole texts. A string is repeated if its places, so counted, are more than one. In
 the earliest occurrence of a segment those strings are covered that start earlier elsewhere;
-in its later ones all. Only runs of strings that can be repeated are sorted: of segments
+in its later ones all. Documents of equal text are dealt out once, their segments counting as
+often, and a further copy of one has what is covered in later occurrences. Only runs of strings that can be repeated are sorted: of segments
 that occur again, and those whose hash occurs twice in the deal.
 
 Sorting the whole corpus as one array would move every one of its suffixes through several
@@ -200,16 +201,20 @@ def compare_deals(spec: Spec, segs: DataFrame) -> DataFrame:
 
 
 def covered(spec: Spec, base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, n, sha) of every document, and of those with something to remove (key, text, runs)."""
+    """(key, n, sha, rep) of every document, and (key, copy, text, runs) of those with something to
+    remove: first documents of equal text, and their copies (one row for all of them)."""
     found = find(spec, base)
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cover = materialize(compare_deals(spec, found.segs.repartition(parts, "h").sortWithinPartitions("h")), "covered")
-    first = cover.where("not later").select("key", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
+    run = [(F.col("lo") + F.col(x)).alias(x) for x in "ab"]
+    first = cover.where("not later").select("key", F.lit(False).alias("copy"), *run)
     other = cover.where("later").select("h", "s", F.col("key").alias("k0"), F.col("lo").alias("l0"), "a", "b")
-    again = found.places.join(other, ["h", "s"]).where((F.col("key") != F.col("k0")) | (F.col("lo") != F.col("l0")))
-    again = again.select("key", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
-    runs = first.unionByName(again).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    return found.info, found.texts.select("key", "text").join(runs, "key")
+    # a copy's places are all later than its first document's
+    elsewhere = (F.col("key") != F.col("k0")) | (F.col("lo") != F.col("l0"))
+    of = F.array_compact(F.array(F.when(elsewhere, F.lit(False)), F.when(F.col("c") > 1, F.lit(True))))
+    again = found.places.join(other, ["h", "s"]).select("key", F.explode(of).alias("copy"), *run)
+    runs = first.unionByName(again).groupBy("key", "copy").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    return found.info, found.texts.select("key", "text").join(runs, "key").select("key", "copy", "text", "runs")
 
 
 def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -221,7 +226,7 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
     def run(it):
         for b in it:
             out: list = [[], [], [], []]
-            for text, runs in zip(b.column(1), b.column(2)):
+            for text, runs in zip(b.column(2), b.column(3)):
                 raw = text.as_py().encode()
                 spans = merged([(r["a"], r["b"]) for r in runs.as_py()], len(raw))
                 kept, at, whole, upto = [], 0, [], 0
@@ -241,14 +246,14 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
                 out[1].append(len(spans))
                 out[2].append(hashlib.sha256(left).hexdigest())
                 out[3].append(b"".join(whole).decode() if keep_text else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["key", "removed", "spans", "left", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["rep", "copy", "removed", "spans", "left", "kept"])
 
     kind = base.schema["key"].dataType
     with scratch() as tables:
         info, cut = covered(spec, base)
-        changed = tables.keep(materialize(cut.mapInArrow(run, T.StructType([T.StructField("key", kind), *T._parse_datatype_string("removed long, spans long, left string, kept string").fields])), "changed"))
+        changed = tables.keep(materialize(cut.mapInArrow(run, T.StructType([T.StructField("rep", kind), *T._parse_datatype_string("copy boolean, removed long, spans long, left string, kept string").fields])), "changed"))
         tables.keep(info)
-    per_key = info.join(changed, "key", "left").select(
+    per_key = info.withColumn("copy", F.col("key") != F.col("rep")).join(changed, ["rep", "copy"], "left").select(
         "key",
         F.col("n").alias("n_bytes"),
         F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),

@@ -262,6 +262,30 @@ def test_links_of_a_family(spark):
     assert got == {d: c for d, (_, c) in brute_links(docs, 4).items()}
 
 
+def test_a_late_joiner_of_a_large_component(spark):
+    """One component of 2,000 and one bucket member outside it: rows for each, not for each pair."""
+    rows = [(1, i, 0) for i in range(2000)] + [(1, 5000, 5000), (2, 0, 0), (2, 1, 0), (3, 7, 7), (3, 8, 8)]
+    inside = spark.createDataFrame(rows, "b long, key long, comp long")
+    got = neardup._dealt(neardup.Spec(block=100), inside).collect()
+    assert len([r for r in got if r.b == 1]) == 2001 + 21
+    assert {r.b for r in got} == {1, 3}
+    blocks = defaultdict(set)
+    for r in got:
+        blocks[r.b, r.i, r.j].add((r.side, r.key))
+    met = {(b, k) for (b, _, _), x in blocks.items() for s, k in x if s == 1 and any(s == 0 and k != o for s, o in x)}
+    assert {k for b, k in met if b == 1} >= set(range(2000))
+    assert {k for b, k in met if b == 3} >= {7} or {k for b, k in met if b == 3} >= {8}
+
+
+def test_links_of_null_and_repeated_ids(spark):
+    rows = neardup.dedup(clashing(spark), neardup.Spec(k=4)).collect()
+    assert len(rows) == len(CLASH)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows)
+    # nine and eight times the same five words have the same five windows
+    want = Counter([(None, 5, None, True)] * 2 + [(None, 3, None, True), (7, 5, None, False), (7, 5, None, False), (8, 0, 8, True), (8, 0, 8, True), (9, 5, None, False)])
+    assert got == want
+
+
 def test_superminhash_estimates_and_varies_less():
     rng = np.random.default_rng(0)
     new = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
@@ -294,19 +318,37 @@ def test_nearest_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     bad = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [1.0, None]), (5, [inf, 1.0]), (20, [1.0, 2.0]), (20, [1.0, 2.0]), (7, [1.0, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [1.0, 1.0])]
     df = spark.createDataFrame(bad, "vec_id long, embedding array<float>")
-    got = [tuple(r) for r in neighbours.nearest(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 20, 5.0), (0, 2, 7, 3.0), (0, 3, 9, 3.0), (20, 1, 0, 5.0), (20, 2, 7, 3.0), (20, 3, 9, 3.0)]
+    for c in ("row", "d", "u", "q", "x", "id", "vec", "scale"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = sorted(tuple(r) for r in neighbours.nearest(df).collect())
+    own = [(0, 1, 20, 5.0), (0, 2, 20, 5.0), (0, 3, 7, 3.0), (0, 4, 9, 3.0)]
+    assert got == sorted(own + 2 * [(20, 1, 0, 5.0), (20, 2, 20, 5.0), (20, 3, 7, 3.0), (20, 4, 9, 3.0)])
     assert neighbours.nearest(df.limit(0)).collect() == []
 
 
-def test_bound_holds_for_wide_ranges():
+def test_repeated_rows_are_candidates_and_lengths_differ(spark):
+    """Each row is a row: it meets all but itself, of its own length only."""
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (40, [1.0]), (41, [3.0]), (60, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in neighbours.nearest(df).collect())
+    assert got == sorted([(0, 1, 0, 2.0), (0, 2, 3, 1.0), (0, 3, 3, 1.0), (0, 1, 0, 2.0), (0, 2, 3, 2.0), (0, 3, 3, 2.0), (40, 1, 41, 3.0)])
+
+
+@pytest.mark.parametrize(("blocks", "tile"), [(7, 11), (100, 1), (1000, 100)])
+def test_blocks_and_tiles(spark, monkeypatch, blocks, tile):
+    """Any size of blocks, tiles and steps, and wide ranges of length: the exact neighbours."""
+    for name, v in {"QUERY_BLOCK": blocks, "TILE": tile, "STEP": 3, "HELD": 50, "LEAST_TASKS": 3, "TASKS": 9}.items():
+        monkeypatch.setattr(neighbours, name, v)
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 24)) * np.exp(rng.normal(size=(400, 1)) * 5)
-    ids = np.arange(400)
-    got = neighbours.tile(ids[:9], x[:9], ids, x, 7)
-    for q in range(9):
-        want = sorted((-float(np.add.accumulate(x[q] * x[i])[-1]), i) for i in range(400) if i != q)[:7]
-        assert [(i, s) for a, i, s in got if a == q] == [(i, -s) for s, i in want]
+    x = rng.normal(size=(300, 24)) * np.exp(rng.normal(size=(300, 1)) * 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, 7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 300, 20):
+        want = sorted((-float(np.add.accumulate(x[q] * x[i])[-1]), i) for i in range(300) if i != q)[:7]
+        assert got.pop(q) == [(i, -s) for s, i in want]
+    assert not got
 
 
 def expected_records(rows):
@@ -345,6 +387,35 @@ def test_warc(spark, tmp_path, roll):
     assert not [f for f in tmp_path.rglob("*.tmp")]
 
 
+def test_warc_rolls_within_shards(spark, tmp_path):
+    """The registered ratio of shard to file, a thousandth in size; ids are null, or one id has many payloads."""
+    rng = np.random.default_rng(0)
+    text = lambda n: "".join(rng.choice(list("abcdefgh <>/"), n))
+    rows = [(None if i < 300 else 7 if i < 600 else i, f"u{i}", text(int(rng.integers(3000, 9000)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("x")).withColumn("kind", F.lit(1))
+    m = warc.write(df, f"file://{tmp_path}/a", roll=warc.ROLL >> 10, shard=warc.SHARD >> 10)
+    sizes: dict = defaultdict(list)
+    for f in m["files"]:
+        sizes[f["shard"]].append(f["records"])
+    assert len(sizes) >= warc.SHARDS - 1 and max(map(sum, sizes.values())) <= 2 * 900 / len(sizes)
+    assert max(map(len, sizes.values())) > 1
+    assert records(warc.read(spark, f"file://{tmp_path}/a")) == expected_records([(i, h) for i, _, h in rows])
+    ids = [(f["first_id"] or -1, f["last_id"] or -1) for f in m["files"]]
+    assert ids == sorted(ids)
+
+
+def test_revisits_name_their_response(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(1, "u", "same"), (2, "v", "same"), (3, "w", "other")], "page_id long, url string, html string")
+    warc.write(df, f"file://{tmp_path}/a")
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "a").glob("*.warc.gz")))
+    heads = [dict(x.split(": ", 1) for x in part.split("\r\n\r\n")[0].split("\r\n")) for part in raw.decode().split("WARC/1.1\r\n")[1:]]
+    by = {h["X-Page-ID"]: h for h in heads if "X-Page-ID" in h}
+    assert by["1"]["WARC-Type"] == "revisit" and by["1"]["WARC-Refers-To"] == by["2"]["WARC-Record-ID"]
+    assert {h["WARC-Type"] for h in heads} == {"warcinfo", "response", "revisit"}
+
+
 def test_warc_notices_damage(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
     warc.write(df, f"file://{tmp_path}/a")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -359,19 +360,78 @@ def test_languages(spark):
     assert all(r.kept for r in rows)
 
 
+def posterior(rows, spec=langid.Spec()):
+    """Everything once more in plain Python: row -> (language, confidence). rows: id, text, lang, host."""
+    import math
+
+    def classes(t):
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32) >> 16 for i in range(len(b) - 2)]
+
+    said = {i: re.match("[a-z]*", (d or "").lower())[0] for i, _, d, _ in rows}
+    grams: dict = {}
+    for i, t, _, _ in rows:
+        if said[i] and len(classes(t)):
+            grams.setdefault(said[i], Counter()).update(classes(t))
+    langs = sorted(grams)
+    total = {x: sum(grams[x].values()) + 0.05 * 2**16 for x in langs}
+    ll = {i: [sum(float(np.float32(math.log((grams[x][c] + 0.05) / total[x]))) for c in classes(t)) for x in langs] for i, t, _, _ in rows}
+    voters = [r for r in rows if len((r[1] or "").encode()) > 2]
+    vote = {r[0]: int(np.argmax(ll[r[0]])) for r in voters}
+    host = {i: (h or "").lower() for i, _, _, h in rows}
+    suffix = {i: h.rsplit(".", 1)[1] if "." in h and h.rsplit(".", 1)[1].isalpha() else "" for i, h in host.items()}
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    count = lambda keep, x: sum(keep(i) and v == x for i, v in vote.items())
+    n = range(len(langs))
+    world = [1 + count(lambda i: True, x) for x in n]
+    world = [w / sum(world) for w in world]
+    kinds = {suffix[i] for i in vote} - {""}
+    out = {}
+    for i, t, _, _ in rows:
+        post = [spec.temper * x for x in ll[i]]
+        for x in n:
+            if said[i]:
+                y = langs.index(said[i]) if said[i] in langs else len(langs)
+                prior = spec.right if y == x else (1 - spec.right) / len(langs)
+                hits = count(lambda j: said[j] == said[i] if y < len(langs) else said[j] not in ("", *langs), x)
+                post[x] += math.log((hits + 10 * prior) / (count(lambda j: said[j] != "", x) + 10))
+            if suffix[i] in kinds:
+                share = (sum(suffix[j] == suffix[i] for j in vote) + 1) / (sum(suffix[j] != "" for j in vote) + len(kinds))
+                w = spec.suffix_weight
+                post[x] += math.log((count(lambda j: suffix[j] == suffix[i], x) + w * share) / (count(lambda j: suffix[j] != "", x) + w))
+            near = [j for j in vote if domain(host[j]) == domain(host[i])]
+            d = (count(lambda j: j in near, x) + spec.domain_weight * world[x]) / (len(near) + spec.domain_weight)
+            same = [j for j in vote if host[j] == host[i]]
+            post[x] += math.log((count(lambda j: j in same, x) + spec.host_weight * d) / (len(same) + spec.host_weight) if same else world[x])
+        out[i] = (langs[int(np.argmax(post))], 1 / sum(math.exp(p - max(post)) for p in post))
+    return out
+
+
 def test_evidence_adds_up(spark):
-    """Brute force over one host: short texts lean on declaration, suffix and host."""
-    rows = [(i, "the house of the king and the queen", "en", "a.uk") for i in range(40)] + [(100 + i, "der hund und die katze sind nicht hier", "de", "b.de") for i in range(40)]
-    rows += [(200, "x", None, "b.de"), (201, "x", None, "a.uk"), (202, "x", "de", None), (203, "123", "de", "b.de"), (204, None, "en", "a.uk"), (205, "the king and the queen of the house", "de", "b.de")]
+    """Brute force: labels and posteriors of texts that lean on declaration, suffix and host."""
+    rows = [(i, "the house of the king and the queen", "en", f"a{i % 3}.x.uk") for i in range(40)] + [(100 + i, "der hund und die katze sind nicht hier", "de", f"{'b' if i % 2 else 'c.b'}.de") for i in range(40)]
+    rows += [(200, "x", None, "b.de"), (201, "x", None, "a1.x.uk"), (202, "x", "de", None), (203, "123", "de", "b.de"), (204, None, "en", "a.uk"), (205, "the king and the queen of the house", "de", "b.de"), (206, "of the house", None, "Q.B.De"), (207, "qqq", "xx", "x.uk"), (208, "hund", "?", "nodot"), (209, "the", None, "a.b.7")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("kept", F.lit("clash")).withColumn("_row", F.lit(1))
     got = {r.doc_id: r for r in langid.identify(df).collect()}
+    want = posterior(rows)
+    for i, (lang, confidence) in want.items():
+        assert got[i].lang_id == lang and got[i].confidence == pytest.approx(confidence, abs=1e-9), i
     assert [got[i].lang_id for i in (0, 100, 200, 201, 202, 205)] == ["en", "de", "de", "en", "de", "en"]
     assert not got[203].kept and not got[204].kept and got[0].kept and got[100].kept
-    assert got[202].confidence < got[100].confidence
     kept = langid.accepted(df)
     assert kept.dtypes == df.dtypes and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_the_suffix_alone_decides(spark):
+    """No words to go by, nothing declared, hosts never seen: only the suffix differs."""
+    rows = [(i, "the house of the king and the queen", "en", f"h{i}.uk") for i in range(60)] + [(100 + i, "der hund und die katze sind nicht hier", "de", f"h{i}.de") for i in range(60)]
+    rows += [(300, "", None, "new.de"), (301, "", None, "new.uk"), (302, None, None, "new.xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert got[300].lang_id == "de" and got[301].lang_id == "en" and got[300].confidence > 0.7
+    assert got[302].confidence < 0.6
+
+
 def test_no_language_at_all(spark):
     df = spark.createDataFrame([(1, "text", None, None), (2, None, None, "h")], "doc_id long, text string, lang string, source string")
     assert [(r.lang_id, r.kept) for r in langid.identify(df).collect()] == [(None, False)] * 2
@@ -391,8 +451,14 @@ def test_rare_languages_are_fitted(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = langid.identify(df, langid.Spec(max_rows=60)).where("doc_id >= 2990").collect()
     assert len(got) == 22 and all(x.text_lang == x.lang_id == x.declared for x in got)
-    # too few fitted rows: no language, instead of a flat one
-    assert langid.learn_text(langid.evidence(df), langid.Spec(max_rows=6)).langs == []
+    # whatever is fitted is a language; the others are none, instead of flat ones
+    assert set(langid.learn_text(langid.evidence(df), langid.Spec(max_rows=6)).langs) <= set(of)
+
+
+def test_many_declared_values_are_all_languages(spark):
+    rows = [(i, f"w{i % 100}a w{i % 100}b w{i % 100}c", chr(97 + i % 100 // 10) + chr(97 + i % 10), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert len(langid.learn_text(langid.evidence(df)).langs) == 100
 
 
 def test_language_shares():
