@@ -90,7 +90,7 @@ class Text:
         if len(full):
             idx = trigrams(data, offs)
             for j in range(len(self.langs)):
-                out[full, j] = np.add.reduceat(self.table[:, j][idx], offs[:-1][full])
+                out[full, j] = np.add.reduceat(self.table[:, j][idx], offs[:-1][full], dtype=np.float64)
         return out
 
 
@@ -99,7 +99,7 @@ def evidence(docs: DataFrame, text: str | Column = "text", declared: str | Colum
     c = lambda x: F.col(x) if isinstance(x, str) else x
     host = F.lower(c(host))
     suffix = F.regexp_extract(host, r"\.([a-z]+)$", 1) if suffix is None else suffix
-    return docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), F.col(key).alias("_key"), text_of(c(text)).alias("_text"), F.lower(F.regexp_extract(c(declared), "^([A-Za-z]+)", 1)).alias("_declared"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(suffix, F.lit("")).alias("_suffix"))
+    return docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), F.col(key).alias("_key"), text_of(c(text)).alias("_text"), F.lower(F.regexp_extract(F.coalesce(c(declared), F.lit("")), "^([A-Za-z]+)", 1)).alias("_declared"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(suffix, F.lit("")).alias("_suffix"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
