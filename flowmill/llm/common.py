@@ -45,7 +45,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 #: While a table is written: drop shuffle files afterwards, and hand Python small batches, as
 #: texts may be long.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20), "spark.sql.parquet.compression.codec": "zstd"}
 _scopes: list[list[DataFrame]] = []
 
 
@@ -216,7 +216,7 @@ def grouped(it, by: list[str], size: int = 0):
     for b in it:
         if not b.num_rows:
             continue
-        cols = [b.column(b.schema.get_field_index(c)).to_numpy() for c in by]
+        cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in by]
         new = np.any([np.diff(c) != 0 for c in cols], axis=0)
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
         each = b.nbytes / b.num_rows

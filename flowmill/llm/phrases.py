@@ -5,8 +5,8 @@
 2. Recurring passages are confirmed by their words. A segment that occurs again as a whole is
    one passage; where segments of one seed differ, the windows that several of them hold make
    passages, as long as they follow one another in all of these. A passage comes with its earliest place.
-3. Passages are sent to the blocks of documents in which their segments lie, a block being
-   about `BLOCK` bytes of text, and there compiled with pyahocorasick into automata: one per
+3. Passages are sent, as places, to the blocks of documents in which their segments lie, a block
+   being about `BLOCK` bytes of text, and there compiled with pyahocorasick into automata: one per
    shard of at most `SHARD` words of passages. The alphabet is words, each standing as one
    character, and any other word as a character that no passage has. So a match is whole words.
 4. Each document streams, whole, through all automata of its block. What they locate later than
@@ -34,39 +34,38 @@ import hashlib
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import grouped, materialize, scratch
-from flowmill.llm.repeats import Found, Spec, _schema, find, keyed, merged, tokens
+from flowmill.llm.common import discard, grouped, materialize, scratch, words
+from flowmill.llm.repeats import Found, Spec, _schema, find, keyed, merged, segment_texts, tokens
 
 SPAN = 20
 SPEC = Spec("word", SPAN, 7)
 #: Words, and bytes, of passages in one automaton (a word is at most one node); bytes of text in a
 #: block; tasks at most, each of which then takes several blocks.
 SHARD, SHARD_BYTES, BLOCK, TASKS = 1_000_000, 16 << 20, 2 << 20, 20_000
-#: Bytes of a text that are turned into letters at once.
-STEP = 1 << 20
+#: Words of a text that are turned into letters at once.
+STEP = 1 << 16
 OTHER = "\x01"
 _SPACE = re.compile(b" ")
 
 
-def recurring(spec: Spec, segs: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
+def recurring(spec: Spec, segs: list[bytes]) -> list[tuple[int, list[tuple[int, int]]]]:
     """Passages that several of the segments hold, or one holds twice: (words, where: segment and
-    first word). Windows that follow one another wherever they stand are one passage."""
-    cut, at = [], {}
+    first word, in order). Windows that follow one another wherever they stand are one passage."""
+    at: dict[bytes, list[tuple[int, int]]] = {}
     for i, raw in enumerate(segs):
         ends = [-1, *[m.start() for m in _SPACE.finditer(raw)], len(raw)]
-        cut.append(ends)
         for j, (a, z) in enumerate(zip(ends, ends[spec.span :])):
             at.setdefault(raw[a + 1 : z], []).append((i, j))
-    out = []
     where = sorted(x for x in at.values() if len(x) > 1)
     begun = {x[0]: n for n, x in enumerate(where)}
     done = [False] * len(where)
+    out = []
     for n, x in enumerate(where):
         if done[n]:
             continue
@@ -74,43 +73,43 @@ def recurring(spec: Spec, segs: list[bytes]) -> list[tuple[bytes, list[tuple[int
         while (m := begun.get((last[0][0], last[0][1] + 1))) is not None and where[m] == [(i, j + 1) for i, j in last]:
             last = where[m]
             done[m] = True
-        (i, a), (_, z) = x[0], last[0]
-        out.append((segs[i][cut[i][a] + 1 : cut[i][z + spec.span]], x))
+        out.append((last[0][1] - x[0][1] + spec.span, x))
     return out
 
 
 def _confirmed(spec: Spec, segs: DataFrame) -> DataFrame:
-    """segs, all of a seed in one partition -> h, s, key, lo, seg: windows of different segments."""
+    """segs with their words, all of a seed in one partition -> h, s, key, lo, off, n: passages of
+    different segments, as n words from word off of the segment."""
 
     def run(it):
         for t in grouped(it, ["h"], spec.deal):
             t = t.combine_chunks()
             h, s, key, lo, text = (t[c].to_pylist() for c in ("h", "s", "key", "lo", "seg"))
-            out: list = [[], [], [], [], []]
+            out: list = [[], [], [], [], [], []]
             a = 0
             for z in range(1, len(h) + 1):
                 if z < len(h) and h[z] == h[a]:
                     continue
                 if z - a > 1:
-                    for w, at in recurring(spec, text[a:z]):
+                    for n, at in recurring(spec, text[a:z]):
                         k, p = min((key[a + i], lo[a + i] + j) for i, j in at)
-                        for i in {i for i, _ in at}:
-                            for col, v in zip(out, (h[a], s[a + i], k, p, w)):
+                        for i, j in dict(reversed(at)).items():  # the first place in each segment
+                            for col, v in zip(out, (h[a], s[a + i], k, p, j, n)):
                                 col.append(v)
                 a = z
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], t.schema.field("key").type), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["h", "s", "key", "lo", "seg"])
+                kinds = (pa.int64(), pa.binary(), t.schema.field("key").type, pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["h", "s", "key", "lo", "off", "n"])
 
-    return segs.select("h", "s", "key", "lo", "seg").mapInArrow(run, _schema(segs, "h long, s long", "lo int, seg binary"))
+    return segs.select("h", "s", "key", "lo", "seg").mapInArrow(run, _schema(segs, "h long, s binary", "lo int, off int, n int"))
 
 
 def passages(spec: Spec, found: Found) -> DataFrame:
-    """h, s (the segment in which it lies), seg (its words), key and lo (its earliest place)."""
-    g = found.segs
-    several = materialize(g.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "seeds-in-several")
-    parts = int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deals = g.join(several, "h", "left_semi").select("h", "s", "key", "lo", "seg").repartition(parts, "h").sortWithinPartitions("h")
-    whole = g.where("c > 1").select("h", "s", "key", "lo", "seg")
+    """h, s, off, n: a passage is n words from word off of this segment; key, lo: its earliest place."""
+    segs = found.segs
+    parts = int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deals = segment_texts(spec, found.texts, segs.join(found.several, "h", "left_semi")).repartition(parts, "h").sortWithinPartitions("h")
+    whole = segs.where("c > 1").select("h", "s", "key", "lo", F.lit(0).alias("off"), "n")
     return materialize(whole.unionByName(_confirmed(spec, deals)), "passages")
 
 
@@ -134,28 +133,43 @@ def machine(shard: dict[bytes, tuple]) -> tuple:
     return m, letters
 
 
-def spelled(raw: bytes, letters: dict) -> str:
-    """The words of raw as letters, in steps cut between words."""
-    out, at = [], 0
-    while at < len(raw):
-        z = at + STEP
-        while z < len(raw) and raw[z] not in b" \t\n\x0b\x0c\r":
-            z += 1
-        out.append("".join([letters.get(w, OTHER) for w in tokens(raw[at:z])]))
-        at = z
-    return "".join(out)
+class Document:
+    """The words of a text, by their places in it."""
+
+    def __init__(self, raw: bytes, copies: int) -> None:
+        self.raw, self.copies = raw, copies
+        self.own: list[tuple[int, int]] = []
+        self.every: list[tuple[int, int]] = []
+        self.ws, self.we, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+
+    def passage(self, at: int, n: int) -> bytes:
+        return b" ".join(tokens(self.raw[self.ws[at] : self.we[at + n - 1]]))
+
+    def spelled(self, letters: dict) -> str:
+        """The words as letters, in steps of bounded size."""
+        step = range(0, len(self.ws), STEP)
+        return "".join(["".join([letters.get(w, OTHER) for w in tokens(self.raw[self.ws[a] : self.we[min(a + STEP, len(self.we)) - 1]])]) for a in step])
+
+    def without(self, runs: list[tuple[int, int]]) -> tuple[int, bytes]:
+        """How many words the runs cover, and the others joined by spaces."""
+        kept, gone, at = [], 0, 0
+        for a, z in [*merged(runs, len(self.ws)), (len(self.ws), len(self.ws))]:
+            if a > at:
+                kept.append(b" ".join(self.raw[self.ws[at] : self.we[a - 1]].split()))
+            gone, at = gone + z - a, z
+        return gone, b" ".join(kept)
 
 
-def locate(shard: dict[bytes, tuple], docs: list[tuple], runs: list[tuple[list, list]]) -> None:
-    """Stream docs (key, words, equal texts) through the shard's automaton; add what is later than
-    a passage's first place to the first list of runs, all to the second if there are copies."""
+def locate(shard: dict[bytes, tuple], docs: dict) -> None:
+    """Stream docs (by key) through the shard's automaton; add what is later than a passage's first
+    place to a document's own runs, and all to those of its copies."""
     m, letters = machine(shard)
-    for (key, raw, copies), (own, every) in zip(docs, runs):
-        for end, (back, first) in m.iter(spelled(raw, letters)):
+    for key, doc in docs.items():
+        for end, (back, first) in m.iter(doc.spelled(letters)):
             if (key, end - back) > first:
-                _extend(own, end - back, end + 1)
-            if copies > 1:
-                _extend(every, end - back, end + 1)
+                _extend(doc.own, end - back, end + 1)
+            if doc.copies > 1:
+                _extend(doc.every, end - back, end + 1)
 
 
 def _extend(runs: list, a: int, z: int) -> None:
@@ -166,53 +180,47 @@ def _extend(runs: list, a: int, z: int) -> None:
 
 
 def _streamed(spec: Spec, rows: DataFrame, keep_text: bool) -> DataFrame:
-    """rows: block, kind (0: document, 1: passage), key, lo (of a passage) or the number of equal
-    texts, text, sorted by block and kind -> rep, copy, removed, left, kept."""
+    """rows, sorted by block and kind: documents (kind 0) as block, key, lo (number of equal texts),
+    text; passages (kind 1) as block, key and lo (where the block has it), n, key0 and lo0 (its
+    earliest place) -> rep, copy, removed, left, kept."""
     kind = pa.int64() if isinstance(rows.schema["key"].dataType, T.LongType) else pa.binary()
 
-    def settle(docs, runs):
+    def settle(docs):
         out: list = [[], [], [], [], []]
-        for (key, raw, _), both in zip(docs, runs):
-            for copy, mine in enumerate(both):
-                if mine:
-                    ws = raw.split()
-                    at, kept = 0, []
-                    for a, z in merged(mine, len(ws)):
-                        kept += ws[at:a]
-                        at = z
-                    kept += ws[at:]
-                    left = b" ".join(kept)
-                    for col, v in zip(out, (key, bool(copy), len(ws) - len(kept), hashlib.sha256(left).hexdigest(), left.decode() if keep_text else None)):
+        for key, doc in docs.items():
+            for copy, runs in enumerate((doc.own, doc.every)):
+                if runs:
+                    gone, left = doc.without(runs)
+                    for col, v in zip(out, (key, bool(copy), gone, hashlib.sha256(left).hexdigest(), left.decode() if keep_text else None)):
                         col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["rep", "copy", "removed", "left", "kept"])
 
     def run(it):
-        block, docs, runs, shard, nodes, size = None, [], [], {}, 0, 0
+        block, docs, shard, nodes, size = None, {}, {}, 0, 0
         for b in it:
-            n = pc.add(pc.count_substring(b.column(4), b" "), 1).to_pylist()
-            for bl, k, key, lo, text, ws in zip(*(b.column(i).to_pylist() for i in range(5)), n):
+            for bl, k, key, lo, text, n, key0, lo0 in zip(*(c.to_pylist() for c in b.columns)):
                 if bl != block:
                     if shard:
-                        locate(shard, docs, runs)
+                        locate(shard, docs)
                     if docs:
-                        yield settle(docs, runs)
-                    block, docs, runs, shard, nodes, size = bl, [], [], {}, 0, 0
+                        yield settle(docs)
+                    block, docs, shard, nodes, size = bl, {}, {}, 0, 0
                 if k == 0:
-                    docs.append((key, text, lo))
-                    runs.append(([], []))
+                    docs[key] = Document(text, lo)
                     continue
-                if text in shard:
-                    shard[text] = min(shard[text], (key, lo))
+                words_ = docs[key].passage(lo, n)
+                if words_ in shard:
+                    shard[words_] = min(shard[words_], (key0, lo0))
                     continue
-                shard[text] = (key, lo)
-                nodes, size = nodes + ws, size + len(text)
+                shard[words_] = (key0, lo0)
+                nodes, size = nodes + n, size + len(words_)
                 if nodes >= SHARD or size >= SHARD_BYTES:
-                    locate(shard, docs, runs)
+                    locate(shard, docs)
                     shard, nodes, size = {}, 0, 0
         if shard:
-            locate(shard, docs, runs)
+            locate(shard, docs)
         if docs:
-            yield settle(docs, runs)
+            yield settle(docs)
 
     return rows.mapInArrow(run, T.StructType([T.StructField("rep", rows.schema["key"].dataType), *T._parse_datatype_string("copy boolean, removed long, left string, kept string").fields]))
 
@@ -227,8 +235,13 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
         blocks = max(1, -(-(found.texts.agg(F.sum("size")).first()[0] or 0) // BLOCK))
         block = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(blocks)).cast("int")
         known = passages(spec, found)
-        sent = found.places.select("h", "s", block.alias("block")).distinct().join(known, ["h", "s"]).select("block", F.lit(1).alias("kind"), "key", "lo", F.col("seg").alias("text"))
-        rows = found.texts.select(block.alias("block"), F.lit(0).alias("kind"), "key", F.least("c", F.lit(2)).cast("int").alias("lo"), F.col("text").cast("binary").alias("text")).unionByName(sent)
+        discard(found.segs)
+        # a block gets a passage once, by one of the places where its documents have it
+        here = found.places.select("h", "s", "key", "lo", block.alias("block")).dropDuplicates(["block", "h", "s"])
+        known = known.withColumnsRenamed({"key": "key0", "lo": "lo0"})
+        sent = here.join(known, ["h", "s"]).select("block", F.lit(1).alias("kind"), "key", (F.col("lo") + F.col("off")).alias("lo"), F.lit(None).cast("binary").alias("text"), "n", "key0", "lo0")
+        none = lambda c: F.lit(None).cast(sent.schema[c].dataType).alias(c)
+        rows = found.texts.select(block.alias("block"), F.lit(0).alias("kind"), "key", F.least("c", F.lit(2)).cast("int").alias("lo"), F.col("text").cast("binary").alias("text"), none("n"), none("key0"), none("lo0")).unionByName(sent)
         parts = min(max(blocks // 8, min(blocks, 64)), TASKS)
         rows = rows.repartitionById(parts, F.pmod("block", F.lit(parts))).sortWithinPartitions("block", "kind")
         changed = tables.keep(materialize(_streamed(spec, rows, keep_text), "changed"))

@@ -16,11 +16,11 @@ decided by the caller's engine alone, on the text itself.
    aggregation over hashes, and joining the repeated ones back leaves the documents with
    candidates.
 3. Only those documents' texts are moved. All windows of one seed form a segment. Equal
-   segments are aggregated by their text, before they are shuffled, to one row with its
-   count and earliest place. Segments are referred to by two 64-bit hashes; should two texts
-   ever share both, that is seen here, and everything begins anew with another salt.
+   segments are aggregated to one row with its count and earliest place; they are told apart by
+   their seed and 128 bits of a cryptographic digest of their text, and so are as narrow as
+   places: the text of a segment is cut out of its first document where an engine needs it.
 4. A seed with more than `hot` different segments would make one deal too large. Each of its
-   windows becomes a seed of its own, if its hash occurs twice, and its place a segment of one
+   windows becomes a seed of its own, if it occurs twice, and its place a segment of one
    window. These go on like any others.
 
 Counts are aggregated before they are shuffled, joins on hot seeds are plain joins that
@@ -35,7 +35,7 @@ document whose result each of them gets. Columns of the input may have any names
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +61,13 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 class Spec:
     """unit: "byte" or "word"; span: units of a window; k: units of a seed (k <= span);
     hot: segments of one seed that one task may compare; deal: bytes of segments an
-    engine gets at once, more only if a single seed has more; salt: of segment hashes."""
+    engine gets at once, more only if a single seed has more."""
 
     unit: str
     span: int
     k: int
     hot: int = 2000
     deal: int = 1 << 20
-    salt: int = 0
 
 
 @dataclass
@@ -185,18 +184,12 @@ def tokens(raw: bytes) -> list[bytes]:
     return ws
 
 
-def _hashes(spec: Spec, units: np.ndarray) -> np.ndarray:
-    return window_hashes(units, spec.span, 0xA0761D6478BD642F + 2 * spec.salt)
-
-
-def _segment_hash(a: np.ndarray, b: np.ndarray, off: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """The first and the last window overlap, so their hashes stand for the segment."""
-    c = np.uint64(0x9E3779B97F4A7C15)
-    return mix(a * c + b + (off.astype(np.uint64) * c + width.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
+def _digest(seg) -> bytes:
+    return hashlib.blake2b(seg, digest_size=16).digest()
 
 
 def _segments(spec: Spec, x: DataFrame) -> DataFrame:
-    """A row for each occurrence of a repeated seed: h, s, key, lo, c (equal texts), seg."""
+    """A row for each occurrence of a repeated seed: h, s (digest), key, lo, n (units), c (equal texts)."""
 
     def run(it):
         for b in batches(it):
@@ -215,17 +208,16 @@ def _segments(spec: Spec, x: DataFrame) -> DataFrame:
                 s = {k: v[pairs[at] == mine] for k, v in s.items()}
                 if not len(s["h"]):
                     continue
-                full = _hashes(spec, p.units)
-                sh = _segment_hash(full[s["at"]], full[s["at"] + s["hi"] - s["lo"]], s["off"], s["hi"] - s["lo"])
                 if spec.unit == "word":
                     first, last = wo[s["doc"]] + s["lo"], wo[s["doc"]] + s["hi"] + spec.span - 1
-                    segs = [b" ".join(tokens(data[a:z].tobytes())) for a, z in zip(ws[first], we[last])]
+                    name = [_digest(b" ".join(tokens(data[a:z].tobytes()))) for a, z in zip(ws[first].tolist(), we[last].tolist())]
                 else:
                     a, z = offs[s["doc"]] + s["lo"], offs[s["doc"]] + s["hi"] + spec.span
-                    segs = [data[i:j].tobytes() for i, j in zip(a, z)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s["h"])), pa.array(signed(sh)), b.column(0).take(pa.array(s["doc"])), pa.array(s["lo"], pa.int32()), b.column(3).take(pa.array(s["doc"])), pa.array(segs, pa.binary())], names=["h", "s", "key", "lo", "c", "seg"])
+                    name = [_digest(data[i:j]) for i, j in zip(a.tolist(), z.tolist())]
+                doc = pa.array(s["doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s["h"])), pa.array(name, pa.binary()), b.column(0).take(doc), pa.array(s["lo"], pa.int32()), pa.array(s["hi"] - s["lo"] + spec.span, pa.int32()), b.column(3).take(doc)], names=["h", "s", "key", "lo", "n", "c"])
 
-    return x.select("key", "text", "hs", "c").mapInArrow(run, _schema(x, "h long, s long", "lo int, c long, seg binary"))
+    return x.select("key", "text", "hs", "c").mapInArrow(run, _schema(x, "h long, s binary", "lo int, n int, c long"))
 
 
 def _schema(df: DataFrame, before: str, after: str) -> T.StructType:
@@ -234,41 +226,101 @@ def _schema(df: DataFrame, before: str, after: str) -> T.StructType:
     return T.StructType([*f(before), T.StructField("key", df.schema["key"].dataType), *f(after)])
 
 
-def _windows(spec: Spec, segs: DataFrame) -> DataFrame:
-    """Each window of the given segments as a segment of its own: h, s (two hashes), key, lo, c, seg."""
+def with_text(texts: DataFrame, segs: DataFrame) -> DataFrame:
+    """key, text, at: of each document the given segments (lo, n, h, s, c), by place."""
+    at = segs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "n", "h", "s", "c"))).alias("at"))
+    return texts.select("key", "text").join(at, "key")
+
+
+@dataclass
+class Cut:
+    """Segments of one document: lo and n as numbers, h, s and c as Arrow arrays, segs: their texts
+    (bytes, or words joined by one space)."""
+
+    lo: np.ndarray
+    n: np.ndarray
+    h: pa.Array
+    s: pa.Array
+    c: pa.Array
+    segs: list[bytes]
+
+    def parts(self, size: int):
+        """Runs of segments of about size units of text."""
+        cut = np.flatnonzero(np.diff(self.lo // size)) + 1
+        for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(self.lo)]):
+            yield Cut(self.lo[a:z], self.n[a:z], self.h.slice(a, z - a), self.s.slice(a, z - a), self.c.slice(a, z - a), self.segs[a:z])
+
+
+def cut_out(spec: Spec, b: pa.RecordBatch):
+    """with_text() rows -> (key, its Cut), row by row."""
+    at = b.column(2)
+    count = pc.list_value_length(at).to_numpy(zero_copy_only=False).astype(np.int64)
+    end = np.cumsum(count)
+    rows = at.flatten()
+    lo, n = (rows.field(rows.type.get_field_index(c)).to_numpy().astype(np.int64) for c in ("lo", "n"))
+    other = [rows.field(rows.type.get_field_index(c)) for c in ("h", "s", "c")]
+    data, offs = flat(b.column(1))
+    for i, z in enumerate(end.tolist()):
+        a = z - int(count[i])
+        own = data[offs[i] : offs[i + 1]]
+        raw = own.tobytes()
+        if spec.unit == "byte":
+            segs = [raw[x:y] for x, y in zip(lo[a:z].tolist(), (lo[a:z] + n[a:z]).tolist())]
+        else:
+            ws, we, _ = words(own, np.array([0, len(own)]))
+            segs = [b" ".join(tokens(raw[x:y])) for x, y in zip(ws[lo[a:z]].tolist(), we[lo[a:z] + n[a:z] - 1].tolist())]
+        yield b.column(0)[i].as_py(), Cut(lo[a:z], n[a:z], *[x.slice(a, z - a) for x in other], segs)
+
+
+def segment_texts(spec: Spec, texts: DataFrame, segs: DataFrame) -> DataFrame:
+    """h, s, key, lo, c, seg of the given segments."""
 
     def run(it):
-        for b in batches(it, 1 << 18, "seg"):
-            data, offs = flat(b.column(2))
-            if spec.unit == "word":
-                ws, we, offs = words(data, offs)
-                units = word_hashes(data, ws, we)
-            else:
-                units = BYTE[data]
-            if len(units) < spec.span:
-                continue
-            left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(units))
-            at = np.flatnonzero(left >= spec.span)
-            seg = np.searchsorted(offs, at, "right") - 1
-            place = b.column(1).to_numpy()[seg] + at - offs[seg]
-            a, z = (ws[at], we[at + spec.span - 1]) if spec.unit == "word" else (at, at + spec.span)
-            own = [data[i:j].tobytes() for i, j in zip(a, z)]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(window_hashes(units, spec.span)[at])), pa.array(signed(_hashes(spec, units)[at])), b.column(0).take(pa.array(seg)), pa.array(place, pa.int32()), b.column(3).take(pa.array(seg)), pa.array(own, pa.binary())], names=["h", "s", "key", "lo", "c", "seg"])
+        for b in it:
+            got = list(cut_out(spec, b))
+            join = lambda xs: pa.chunked_array(xs).combine_chunks()
+            doc = np.repeat(np.arange(len(got)), [len(x.lo) for _, x in got])
+            yield pa.RecordBatch.from_arrays([join([x.h for _, x in got]), join([x.s for _, x in got]), b.column(0).take(pa.array(doc)), pa.array(np.concatenate([x.lo for _, x in got]), pa.int32()), join([x.c for _, x in got]), pa.array([g for _, x in got for g in x.segs], pa.binary())], names=["h", "s", "key", "lo", "c", "seg"])
+
+    return with_text(texts, segs).mapInArrow(run, _schema(segs, "h long, s binary", "lo int, c long, seg binary"))
 
-    return segs.select("key", "lo", "seg", "c").mapInArrow(run, _schema(segs, "h long, s long", "lo int, c long, seg binary"))
+
+def _windows(spec: Spec, texts: DataFrame, segs: DataFrame) -> DataFrame:
+    """Each window of the given occurrences as an occurrence of its own: h, s, key, lo, n, c."""
+
+    def run(it):
+        for b in it:
+            for key, x in cut_out(spec, b):
+                count = (x.n - spec.span + 1).astype(np.int64)
+                name: list[bytes] = []
+                for seg in x.segs:
+                    if spec.unit == "word":
+                        ends = [-1, *[i for i, v in enumerate(seg) if v == 32], len(seg)]
+                        name += [_digest(seg[i + 1 : j]) for i, j in zip(ends, ends[spec.span :])]
+                    else:
+                        name += [_digest(seg[j : j + spec.span]) for j in range(len(seg) - spec.span + 1)]
+                total = len(name)
+                # the window is its own seed
+                h = np.frombuffer(b"".join(name), np.int64)[::2]
+                lo = np.repeat(x.lo, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(name, pa.binary()), pa.array([key] * total, b.column(0).type), pa.array(lo, pa.int32()), pa.array(np.full(total, spec.span), pa.int32()), pa.array(np.repeat(x.c.to_numpy(), count))], names=["h", "s", "key", "lo", "n", "c"])
+
+    return with_text(texts, segs).mapInArrow(run, _schema(segs, "h long, s binary", "lo int, n int, c long"))
 
 
 @dataclass
 class Found:
     """info: key, n, sha of every document, and rep, the first document of equal text;
     texts: key, size, c (equal texts), text of first documents with repeated seeds;
-    segs: h, s, seg, c (occurrences), key and lo (the earliest), each different segment once;
-    places: h, s, key, lo, c of every occurrence in texts."""
+    segs: h, s, n, c (occurrences), key and lo (the earliest), each different segment once;
+    places: h, s, key, lo, c of every occurrence in texts; several: h of seeds with several
+    different segments."""
 
     info: DataFrame
     texts: DataFrame
     segs: DataFrame
     places: DataFrame
+    several: DataFrame
 
 
 def find(spec: Spec, base: DataFrame) -> Found:
@@ -282,35 +334,36 @@ def find(spec: Spec, base: DataFrame) -> Found:
     marks = materialize(info.where("c > 1").select("key", "c", (F.col("key") == F.col("rep")).alias("own")), "marks")
     occ = once.join(few(marks), "key", "left").where("own is null or own").select("key", "size", F.coalesce("c", F.lit(1).cast("long")).alias("c"), F.explode("hs").alias("h"))
     again = materialize(occ.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "repeated-seeds")
-    cand = materialize(occ.join(again, "h").groupBy("key").agg(F.first("size").alias("size"), F.first("c").alias("c"), F.collect_set("h").alias("hs")), "candidates")
+    cand = occ.join(again, "h").groupBy("key").agg(F.first("size").alias("size"), F.first("c").alias("c"), F.collect_set("h").alias("hs"))
+    cand = materialize(cand, "candidates")
     discard(t1, again, equal, marks)
     x = materialize(_with_text(base, cand), "candidate-texts")
     discard(cand)
     texts = x.select("key", "size", "c", "text")
-    while True:
-        seg = materialize(_segments(spec, x), "occurrences")
-        g = materialize(_once_each(seg), "segments")
-        # seeds with too many different segments for one deal
-        many = materialize(g.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > spec.hot).select("h"), "hot-seeds")
-        places = seg.select("h", "s", "key", "lo", "c")
-        if many.limit(1).count():
-            hot = _windows(spec, g.join(many, "h", "left_semi"))
-            rec = materialize(hot.groupBy("h", "s").agg(F.sum("c").alias("c")).where("c > 1").select("h", "s"), "hot-windows")
-            fine = _once_each(hot.join(rec, ["h", "s"], "left_semi"))
-            at = _windows(spec, seg.join(many, "h", "left_semi")).drop("seg").join(rec, ["h", "s"], "left_semi")
-            places = places.join(many, "h", "left_anti").unionByName(at)
-            g = materialize(g.join(many, "h", "left_anti").unionByName(fine), "segments")
-        places = materialize(places, "places")
-        discard(seg)
-        clash = g.groupBy("h", "s").agg(F.count("*").alias("m")).where("m > 1").limit(1).count()
-        if not clash:
-            return Found(info, texts, g, places)
-        spec = replace(spec, salt=spec.salt + 1)
-
-
-def _once_each(seg: DataFrame) -> DataFrame:
-    """Equal segments as one row: by their text, and not only by its hashes."""
-    return seg.groupBy("h", "s", "seg").agg(F.min(F.struct("key", "lo")).alias("f"), F.sum("c").cast("long").alias("c")).select("h", "s", "seg", "c", "f.*")
+    places = materialize(_segments(spec, x), "places")
+    segs = materialize(_once_each(places), "segments")
+    # seeds with too many different segments for one deal
+    many = materialize(segs.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > spec.hot).select("h"), "hot-seeds")
+    if many.limit(1).count():
+        fine = materialize(_windows(spec, texts, places.join(many, "h", "left_semi")), "hot-windows")
+        kept = materialize(segs.join(many, "h", "left_anti").unionByName(_once_each(fine).where("c > 1")), "segments")
+        places = materialize(places.join(many, "h", "left_anti").unionByName(fine.join(kept.select("h", "s"), ["h", "s"], "left_semi")), "places")
+        discard(fine, segs)
+        segs = kept
+    several = materialize(segs.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "seeds-in-several")
+    return Found(info, texts, segs, places, several)
+
+
+def _once_each(places: DataFrame) -> DataFrame:
+    """Equal segments as one row: h, s, n, c, and key and lo of the earliest."""
+    by = places.groupBy("h", "s")
+    if not isinstance(places.schema["key"].dataType, T.LongType):
+        return by.agg(F.min(F.struct("key", "lo")).alias("f"), F.first("n").alias("n"), F.sum("c").alias("c")).select("h", "s", "n", "c", "f.*")
+    # key and place as one number, which a hash aggregation can keep the least of
+    one = F.lit(1 << 32).cast("decimal(10,0)")
+    x = by.agg(F.min((F.col("key").cast("decimal(19,0)") * one + F.col("lo")).cast("decimal(38,0)")).alias("f"), F.first("n").alias("n"), F.sum("c").alias("c"))
+    key = F.floor(F.col("f") / one).cast("long")
+    return x.withColumn("key", key).withColumn("lo", (F.col("f") - F.col("key").cast("decimal(19,0)") * one).cast("int")).select("h", "s", "n", "c", "key", "lo")
 
 
 #: Bytes of candidates' keys that may be sent to every executor; more are joined by shuffle. A key in

@@ -1,7 +1,9 @@
 """Suffix-array dedup: bytes of 100-byte strings that also start earlier are removed.
 
 The corpus is reduced to segments around repeated seeds (see repeats), dealt out by seed,
-so equal 100-byte strings always meet in one deal. Each deal is sorted by the
+so equal 100-byte strings always meet in one deal. A segment that is the only one of its seed
+meets no other; such segments are dealt by document instead, where neighbours join to one
+stretch of text and their common bytes are sorted once. Each deal is sorted by the
 difference-cover algorithm: the suffixes at places 1 and 2 modulo 3 are sorted by their
 triples and named, names that repeat are sorted by recursion, the suffixes at places 0
 follow from the letter before a named suffix, and the two orders are merged. Adjacent
@@ -9,8 +11,7 @@ suffixes that agree in 100 bytes are then one string, and all but its earliest p
 covered. Nothing else removes a byte.
 
 A deal holds every different segment once, with the number of its occurrences: that many
-equal suffixes stand side by side in the order, and the aggregation that counted them
-compared whole texts. A string is repeated if its places, so counted, are more than one. In
+equal suffixes stand side by side in the order. A string is repeated if its places, so counted, are more than one. In
 the earliest occurrence of a segment those strings are covered that start earlier elsewhere;
 in its later ones all. Documents of equal text are dealt out once, their segments counting as
 often, and a further copy of one has what is covered in later occurrences. Only runs of strings that can be repeated are sorted: of segments
@@ -30,6 +31,7 @@ table gives no rows; other columns may have any names.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import grouped, materialize, scratch, window_hashes
-from flowmill.llm.repeats import BYTE, Spec, _schema, find, keyed, merged
+from flowmill.llm.common import discard, grouped, materialize, scratch, window_hashes
+from flowmill.llm.repeats import BYTE, Spec, _schema, cut_out, find, keyed, merged, segment_texts, with_text
 
 SPAN = 100
 SPEC = Spec("byte", SPAN, 28)
@@ -65,11 +67,20 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
+    # letters that fit into one key: more than three name longer beginnings, to the same order
+    bits = int(s.max()).bit_length()
+    m = max(3, 62 // bits)
+    t = np.concatenate([s.astype(np.int64), np.zeros(m + 1, np.int64)])
     # sample: places 1 and 2 modulo 3, the end of text included, so that halves are told apart
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    order, names = _named([t[sample], t[sample + 1], t[sample + 2]])
+    if m > 3:
+        first = t[: n + 1]
+        for j in range(1, m):
+            first = first << bits | t[j : n + 1 + j]
+        order, names = _named([first[sample]])
+    else:
+        order, names = _named([t[sample], t[sample + 1], t[sample + 2]])
     name = np.empty(len(sample), np.int64)
     name[order] = names
     if names[-1] < len(sample):
@@ -102,43 +113,63 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _alike(span: int, text: np.ndarray, begin: np.ndarray, ln: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _laid_out(span: int, segs: list[bytes], joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments end to end, a zero byte after each stretch; where each segment begins; where
+    each stretch ends. A joined segment continues the one before, with which it shares span - 1
+    bytes."""
+    parts, pos, ends, at = [], [], [], 0
+    for seg, on in zip(segs, joined.tolist()):
+        if on:
+            pos.append(at - span + 1)
+            parts.append(seg[span - 1 :])
+        else:
+            if at:
+                ends.append(at)
+                parts.append(b"\0")
+                at += 1
+            pos.append(at)
+            parts.append(seg)
+        at += len(parts[-1])
+    return np.frombuffer(b"".join([*parts, b"\0"]), np.uint8), np.array(pos, np.int64), np.array([*ends, at], np.int64)
+
+
+def _alike(span: int, text: np.ndarray, pos: np.ndarray, ends: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs [a, z) of text that consist of windows that can be repeated: their segment occurs
     more than once, or another window shares their hash.
 
     Equal windows have equal hashes, so nothing is lost; the suffix sort decides.
     """
-    left = np.repeat(begin + ln, ln + 1)[: len(text)] - np.arange(len(text))
+    begin = np.concatenate([[0], ends[:-1] + 1])
+    left = np.repeat(ends, ends - begin + 1) - np.arange(len(text))
     at = np.flatnonzero(left >= span)
-    h = window_hashes(BYTE[text], span)[at]
-    s = np.sort(h)
-    twice = s[1:][s[1:] == s[:-1]]
-    keep = np.repeat(c > 1, ln + 1)[at]
-    if len(twice):
-        keep |= twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
-    at = at[keep]
+    keep = c[np.searchsorted(pos, at, "right") - 1] > 1
+    if not keep.all():
+        h = window_hashes(BYTE[text], span)[at]
+        s = np.sort(h)
+        twice = s[1:][s[1:] == s[:-1]]
+        if len(twice):
+            keep |= twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+        at = at[keep]
     if not len(at):
         return at, at
     new = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
     return at[new], at[np.append(new[1:], len(at)) - 1] + span
 
 
-def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """segs: different segments, with the rank of their first document, their place in it and
-    how often they occur. Repeated windows (segment, window, whether that one starts earlier
-    elsewhere too), by adjacent prefixes of the suffix array."""
+def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray, c: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """segs: different segments, with the rank of their first document, their place in it, how often
+    they occur, and whether one continues the segment before. Repeated windows (segment, window,
+    whether that one starts earlier elsewhere too), by adjacent prefixes of the suffix array."""
     span, none = spec.span, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-    ln = np.array([len(x) for x in segs], np.int64)
-    begin = np.concatenate([[0], np.cumsum(ln + 1)])[:-1]
-    whole = np.frombuffer(b"\0".join(segs), np.uint8)
-    a, z = _alike(span, whole, begin, ln, c)
+    whole, pos, ends = _laid_out(span, segs, joined)
+    a, z = _alike(span, whole, pos, ends, c)
     if not len(a):
         return none
     # the runs, each with a separator after it: letter 1, which no byte uses
     size = z - a + 1
     start = np.concatenate([[0], np.cumsum(size)])[:-1]
     source = np.arange(int(size.sum())) - np.repeat(start - a, size)
-    text = np.append(whole, np.zeros(1, np.uint8))[np.minimum(source, len(whole))]
+    text = whole[source]
     letters = text.astype(np.int64) + 2
     letters[start + size - 1] = 1
     sa = suffix_array(letters)
@@ -154,13 +185,13 @@ def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray, c: n
         same &= text[sa[:-1] + k] == text[sa[1:] + k]
     group = np.concatenate([[0], np.cumsum(~same)])
     place = source[sa]
-    seg = np.searchsorted(begin, place, "right") - 1
+    seg = np.searchsorted(pos, place, "right") - 1
     # how often a group's string occurs: each of its places as often as the segment
     many = np.bincount(group, weights=c[seg])[group] > 1
     place, group, seg = place[many], group[many], seg[many]
     if not len(seg):
         return none
-    win = place - begin[seg]
+    win = place - pos[seg]
     o = np.lexsort((lo[seg] + win, rank[seg], group))
     seg, win = seg[o], win[o]
     head = np.concatenate([[True], np.diff(group[o]) != 0])
@@ -178,26 +209,57 @@ def _runs(span: int, seg: np.ndarray, win: np.ndarray) -> tuple[np.ndarray, np.n
     return seg[new], win[new], win[last] + span
 
 
+def _settled(find: Callable, spec: Spec, key: pa.Array, h: pa.Array, s: pa.Array, lo: np.ndarray, c: np.ndarray, segs: list[bytes], joined: np.ndarray) -> pa.RecordBatch:
+    """Rows h, s, key, lo, later, a, b: units of a segment that are covered, in its earliest place
+    (key, lo) or else (later) in all its other ones."""
+    rank = pc.rank(key, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+    seg, win, earlier = find(spec, segs, rank, lo, c, joined)
+    first, again = _runs(spec.span, seg[earlier], win[earlier]), _runs(spec.span, seg[c[seg] > 1], win[c[seg] > 1])
+    of, a, b = (np.concatenate(x) for x in zip(first, again))
+    later = np.arange(len(of)) >= len(first[0])
+    t = pa.array(of)
+    return pa.RecordBatch.from_arrays([h.take(t), s.take(t), key.take(t), pa.array(lo[of], pa.int32()), pa.array(later), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["h", "s", "key", "lo", "later", "a", "b"])
+
+
 def compare_deals(spec: Spec, segs: DataFrame) -> DataFrame:
-    """segs, all of a seed in one partition -> h, s, key, lo, later, a, b: units of a segment that
-    are covered, in its earliest place (key, lo) or else (later) in all its other ones."""
-
-    def settle(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        c, lo = t["c"].to_numpy(), t["lo"].to_numpy().astype(np.int64)
-        rank = pc.rank(t["key"].combine_chunks(), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-        seg, win, earlier = engine(spec, t["seg"].to_pylist(), rank, lo, c)
-        first, again = _runs(spec.span, seg[earlier], win[earlier]), _runs(spec.span, seg[c[seg] > 1], win[c[seg] > 1])
-        of, a, b = (np.concatenate(x) for x in zip(first, again))
-        later = np.arange(len(of)) >= len(first[0])
-        own = t.take(pa.array(of))
-        return pa.RecordBatch.from_arrays([own[x].combine_chunks() for x in ("h", "s", "key", "lo")] + [pa.array(later), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["h", "s", "key", "lo", "later", "a", "b"])
+    """segs with their texts, all of a seed in one partition and sorted by it: _settled() rows."""
 
     def run(it):
         for t in grouped(it, ["h"], spec.deal):
-            yield settle(t)
+            t = t.combine_chunks()
+            yield _settled(engine, spec, t["key"].combine_chunks(), t["h"].combine_chunks(), t["s"].combine_chunks(), t["lo"].to_numpy().astype(np.int64), t["c"].to_numpy(), t["seg"].to_pylist(), np.zeros(len(t), bool))
+
+    return segs.select("h", "s", "key", "lo", "seg", "c").mapInArrow(run, _schema(segs, "h long, s binary", "lo int, later boolean, a int, b int"))
+
+
+def compare_stretches(spec: Spec, docs: DataFrame) -> DataFrame:
+    """docs: key, text, at (segments without others of their seed, by place): _settled() rows."""
+
+    def run(it):
+        held: list[tuple] = []
+        size = 0
+
+        def settle(kind):
+            cuts = [x for _, x in held]
+            many = [len(x.lo) for x in cuts]
+            join = lambda xs: pa.chunked_array(xs).combine_chunks()
+            on = [np.append(False, x.lo[1:] == x.lo[:-1] + x.n[:-1] - spec.span + 1) for x in cuts]
+            key = pa.array([k for k, _ in held], kind).take(pa.array(np.repeat(np.arange(len(cuts)), many)))
+            return _settled(engine, spec, key, join([x.h for x in cuts]), join([x.s for x in cuts]), np.concatenate([x.lo for x in cuts]), join([x.c for x in cuts]).to_numpy(), [g for x in cuts for g in x.segs], np.concatenate(on))
+
+        for b in it:
+            kind = b.column(0).type
+            for key, x in cut_out(spec, b):
+                for part in x.parts(spec.deal):
+                    held.append((key, part))
+                    size += int(part.n.sum())
+                    if size >= 3 * spec.deal:  # of overlapping segments
+                        yield settle(kind)
+                        held, size = [], 0
+        if held:
+            yield settle(kind)
 
-    return segs.select("h", "s", "key", "lo", "seg", "c").mapInArrow(run, _schema(segs, "h long, s long", "lo int, later boolean, a int, b int"))
+    return docs.mapInArrow(run, _schema(docs, "h long, s binary", "lo int, later boolean, a int, b int"))
 
 
 def covered(spec: Spec, base: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +267,10 @@ def covered(spec: Spec, base: DataFrame) -> tuple[DataFrame, DataFrame]:
     remove: first documents of equal text, and their copies (one row for all of them)."""
     found = find(spec, base)
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cover = materialize(compare_deals(spec, found.segs.repartition(parts, "h").sortWithinPartitions("h")), "covered")
+    deals = segment_texts(spec, found.texts, found.segs.join(found.several, "h", "left_semi")).repartition(parts, "h").sortWithinPartitions("h")
+    lone = with_text(found.texts, found.segs.where("c > 1").join(found.several, "h", "left_anti"))
+    cover = materialize(compare_deals(spec, deals).unionByName(compare_stretches(spec, lone)), "covered")
+    discard(found.segs)
     run = [(F.col("lo") + F.col(x)).alias(x) for x in "ab"]
     first = cover.where("not later").select("key", F.lit(False).alias("copy"), *run)
     other = cover.where("later").select("h", "s", F.col("key").alias("k0"), F.col("lo").alias("l0"), "a", "b")

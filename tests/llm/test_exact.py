@@ -186,15 +186,6 @@ def test_long_words(spark):
     assert got == brute_words(docs, 20)
 
 
-def test_clashing_segment_hashes_start_anew(spark, documents, monkeypatch):
-    """Two texts under one pair of hashes are noticed, and another salt is tried."""
-    real, seen = repeats.replace, []
-    monkeypatch.setattr(repeats, "replace", lambda spec, **k: (seen.append(k["salt"]), real(spec, **k))[1])
-    monkeypatch.setattr(repeats, "_once_each", lambda seg, own=repeats._once_each: own(seg if seen else seg.withColumn("s", F.lit(1).cast("long"))))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove(documents[0]).collect()}
-    assert seen == [1] and got == brute_bytes(documents[1], 100)
-
-
 CLASH = [(None, "p q r s t " * 9), (None, "p q r s t " * 9), (None, "other words of a null id"), (7, "p q r s t " * 9), (7, "p q r s t " * 8), (8, None), (8, ""), (9, "p q r s t " * 9)]
 
 
