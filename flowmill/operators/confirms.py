@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.operators.ordered import bucket, ranked, running
+
 
 def watermark(done: DataFrame) -> DataFrame:
     """Per channel the last tag of the gap-free run 1, 2, ... of completed tags.
 
     In a dense sequence a tag belongs to the prefix if it equals its rank.
     """
-    w = Window.partitionBy("channel").orderBy("tag")
-    return done.select("channel", "tag").distinct().withColumn("rank", F.row_number().over(w)).groupBy("channel").agg(F.coalesce(F.max(F.when(F.col("tag") == F.col("rank"), F.col("tag"))), F.lit(0)).alias("watermark"))
+    return ranked(done.select("channel", "tag").distinct(), ["channel"], "tag", "rank").groupBy("channel").agg(F.coalesce(F.max(F.when(F.col("tag") == F.col("rank"), F.col("tag"))), F.lit(0)).alias("watermark"))
 
 
 def coalesced_acks(completions: DataFrame) -> DataFrame:
@@ -21,19 +22,15 @@ def coalesced_acks(completions: DataFrame) -> DataFrame:
     completions: channel, tag, flush. A tag is answered in the flush in which the last of
     the tags up to it completes: a running maximum over tags.
     """
-    w = Window.partitionBy("channel").orderBy("tag").rowsBetween(Window.unboundedPreceding, 0)
-    r = Window.partitionBy("channel").orderBy("tag")
-    x = completions.withColumn("rank", F.row_number().over(r)).where("tag = rank").withColumn("at", F.max("flush").over(w))
-    f = x.groupBy("channel", "at").agg(F.max("tag").alias("ack"))
-    before = F.coalesce(F.lag("ack").over(Window.partitionBy("channel").orderBy("at")), F.lit(0))
-    return f.select("channel", F.col("at").alias("flush"), "ack", (F.col("ack") > before + 1).alias("multiple"))
+    x = running(completions, ["channel"], bucket("tag"), [F.col("tag")], rank=("count",), at=("max", "flush")).where("tag = rank")
+    f = running(x.groupBy("channel", "at").agg(F.max("tag").alias("ack")), ["channel"], bucket("at"), [F.col("at")], upto="before", before=("last", "ack"))
+    return f.select("channel", F.col("at").alias("flush"), "ack", (F.col("ack") > F.coalesce("before", F.lit(0)) + 1).alias("multiple"))
 
 
 def settled_answers(outcomes: DataFrame) -> DataFrame:
     """Answers for a finished run of tags: acks up to the tag before each nack, the nack, and
     so on; every tag in exactly one answer. outcomes: channel, tag (dense), ok."""
-    w = Window.partitionBy("channel").orderBy("tag")
-    x = outcomes.withColumn("island", F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = running(outcomes, ["channel"], bucket("tag"), [F.col("tag")], island=("sum", F.when(~F.col("ok"), 1).otherwise(0)))
     acks = x.where("ok").groupBy("channel", "island").agg(F.max("tag").alias("tag"), F.count("*").alias("covers"))
     nacks = x.where("not ok").select("channel", "tag", F.lit("nack").alias("answer"), F.lit(False).alias("multiple"))
     return acks.select("channel", "tag", F.lit("ack").alias("answer"), (F.col("covers") > 1).alias("multiple")).union(nacks)
@@ -45,11 +42,9 @@ def fan_in(copies: DataFrame) -> DataFrame:
     return copies.groupBy("tag").agg(F.bool_and("durable").alias("confirmed"), F.when(F.bool_and("durable"), F.max("at")).alias("confirmed_at"), F.min(F.when(~F.col("durable"), F.struct("at", "error")))["error"].alias("error"))
 
 
-def latched(samples: DataFrame, value: Column, sets: Column, clears: Column, by: str, order: str) -> Column:
-    """A bit that `sets` raises and `clears` lowers, as the last of both; off before either."""
-    event = F.when(value.isNotNull() & sets, 1).when(value.isNotNull() & clears, 0)
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(0))
+def latch_event(value: Column, sets: Column, clears: Column) -> Column:
+    """What a sample does to its bit: raises it, lowers it, or (null) leaves it as it is."""
+    return F.when(value.isNotNull() & sets, 1).when(value.isNotNull() & clears, 0)
 
 
 def alarms(samples: DataFrame, high: float, floor: float, hysteresis: float) -> DataFrame:
@@ -60,19 +55,21 @@ def alarms(samples: DataFrame, high: float, floor: float, hysteresis: float) ->
     """
     if not hysteresis > 0:
         raise ValueError("the latch has a closed form only with a hysteresis above 0")
-    memory = latched(samples, F.col("rss"), F.col("rss") >= high, F.col("rss") <= high * (1 - hysteresis), "node", "at")
-    disk = latched(samples, F.col("free"), F.col("free") < floor, F.col("free") >= floor * (1 + hysteresis), "node", "at")
-    x = samples.withColumn("bits", (memory + 2 * disk).cast("int"))
-    before = F.coalesce(F.lag("bits").over(Window.partitionBy("node").orderBy("at")), F.lit(0))
-    return x.withColumn("edge", F.when((before == 0) & (F.col("bits") != 0), "blocked").when((before != 0) & (F.col("bits") == 0), "unblocked"))
+    memory = latch_event(F.col("rss"), F.col("rss") >= high, F.col("rss") <= high * (1 - hysteresis))
+    disk = latch_event(F.col("free"), F.col("free") < floor, F.col("free") >= floor * (1 + hysteresis))
+    x = running(samples, ["node"], bucket("at"), [F.col("at")], _m=("last", memory), _d=("last", disk))
+    x = x.withColumn("bits", (F.coalesce("_m", F.lit(0)) + 2 * F.coalesce("_d", F.lit(0))).cast("int")).drop("_m", "_d")
+    x = running(x, ["node"], bucket("at"), [F.col("at")], upto="before", _was=("last", "bits"))
+    before = F.coalesce("_was", F.lit(0))
+    return x.withColumn("edge", F.when((before == 0) & (F.col("bits") != 0), "blocked").when((before != 0) & (F.col("bits") == 0), "unblocked")).drop("_was")
 
 
 def flow_gated(deliveries: DataFrame, flow: DataFrame) -> DataFrame:
     """Whether each delivery's channel was active: its last flow method before; active at first."""
     f = flow.select("channel", "seq", F.lit(0).alias("kind"), "active", F.lit(None).cast("long").alias("tag"))
     d = deliveries.select("channel", "seq", F.lit(1), F.lit(None).cast("boolean"), "tag")
-    w = Window.partitionBy("channel").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return f.union(d).withColumn("active", F.coalesce(F.last("active", ignorenulls=True).over(w), F.lit(True))).where("kind = 1").select("channel", "tag", "active")
+    x = running(f.union(d), ["channel"], bucket("seq"), [F.col("seq"), F.col("kind")], active=("last", "active"))
+    return x.where("kind = 1").select("channel", "tag", F.coalesce("active", F.lit(True)).alias("active"))
 
 
 def stale(activity: DataFrame, now_ms: Column, heartbeat_ms: int) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.operators.ordered import ranked
 from flowmill.operators.routing import route
 
 REASONS = ("rejected", "expired", "maxlen")
@@ -68,16 +69,13 @@ def hop(dead: DataFrame, policies: DataFrame, queues: DataFrame, bindings: DataF
     """
     d = dead.withColumn("prior_queues", F.array_distinct(F.concat("prior_queues", F.array("queue"))))
     sent = republished(d, policies)
-    # a message may die in several queues: the death identifies the copy
-    tagged = sent.withColumn("message", F.col("delivery_tag")).withColumn("delivery_tag", F.xxhash64("delivery_tag", "died_in", "reason"))
-    out = route(tagged, queues, bindings, exchanges).withColumn("delivery_tag", F.col("message")).drop("message")
+    # a message may die in several queues: the death, and not the message, identifies the copy
+    tagged = sent.withColumn("delivery_tag", F.struct("delivery_tag", "died_in", "reason"))
+    out = route(tagged, queues, bindings, exchanges).withColumn("delivery_tag", F.col("delivery_tag.delivery_tag"))
     return without_cycles(out)
 
 
 def accepted_targets(targets: DataFrame, room: DataFrame) -> DataFrame:
     """DL5: of routed dead letters, those a full reject-publish queue takes: the first `room`
     (its limit minus what is ready) by tag; queues without a row in `room` take all."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("queue").orderBy("delivery_tag"))
-    return targets.withColumn("_n", n).join(room, "queue", "left").where(F.col("room").isNull() | (F.col("_n") <= F.col("room"))).drop("_n", "room")
+    return ranked(targets, ["queue"], "delivery_tag", "_n").join(room, "queue", "left").where(F.col("room").isNull() | (F.col("_n") <= F.col("room"))).drop("_n", "room")

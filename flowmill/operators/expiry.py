@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.functions.predicates import deadline, effective_ttl, epoch_ms, expired, message_ttl
+from flowmill.operators.ordered import bucket, running
+
+DAY_MS = 86_400_000
 
 
 def stamped(messages: DataFrame, queue_ttl: Column) -> DataFrame:
@@ -37,7 +40,9 @@ def lives(touches: DataFrame, expires_ms: Column) -> DataFrame:
     Idle for `expires` or longer ends a life; a session window would still merge a touch at
     exactly the gap. The last life ends at ends_ms unless a touch follows.
     """
-    w = Window.partitionBy("queue").orderBy("at_ms")
-    new = F.coalesce((F.col("at_ms") - F.lag("at_ms").over(w) >= expires_ms).cast("int"), F.lit(0))
-    x = touches.withColumn("_new", new).withColumn("life", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy("queue", "life").agg(F.min("at_ms").alias("from_ms"), F.max("at_ms").alias("last_ms"), F.count("*").alias("touches")).withColumn("ends_ms", F.col("last_ms") + expires_ms)
+    # touches of one moment are one row, so the order along a queue is strict
+    x = touches.groupBy("queue", "at_ms").agg(F.count("*").alias("n"))
+    day, at = bucket("at_ms", DAY_MS), [F.col("at_ms")]
+    x = running(x, ["queue"], day, at, upto="before", _was=("last", "at_ms"))
+    x = running(x, ["queue"], day, at, life=("sum", F.coalesce((F.col("at_ms") - F.col("_was") >= expires_ms).cast("int"), F.lit(0))))
+    return x.groupBy("queue", "life").agg(F.min("at_ms").alias("from_ms"), F.max("at_ms").alias("last_ms"), F.sum("n").alias("touches")).withColumn("ends_ms", F.col("last_ms") + expires_ms)

@@ -1,23 +1,21 @@
 """Queue limits and ready order (Q1-Q19).
 
 The closed forms hold while nothing is consumed between publishes: eviction removes from the
-head, so which rows survive depends only on the rows behind them. Windows are per queue over
-narrow rows (queue, tag, length); bodies stay out. Drop-head keeps the newest N, so a running
-count from the newest row is enough, and it never needs more than one pass per queue.
+head, so which rows survive depends only on the rows behind them. Running counts and sums go
+along the tags of a queue over narrow rows (queue, tag, length), cut into ranges of tags so
+that no queue is sorted in one task (see ordered); bodies stay out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.operators.ordered import WIDTH, bucket, ranked, running
 
-def _down() -> Window:
-    return Window.partitionBy("queue").orderBy(F.col("tag").desc())
 
-
-def _up() -> Window:
-    return Window.partitionBy("queue").orderBy("tag")
+def _by_tag(log: DataFrame, down: bool = False, upto: str = "row", **values: tuple) -> DataFrame:
+    return running(log, ["queue"], bucket("tag"), [F.col("tag")], down, upto, **values)
 
 
 def kept_by_drop_head(log: DataFrame, max_length: Column | None = None, max_bytes: Column | None = None) -> DataFrame:
@@ -25,20 +23,20 @@ def kept_by_drop_head(log: DataFrame, max_length: Column | None = None, max_byte
 
     By bytes the newest row always stays, even if it is larger than the limit alone.
     """
-    n = F.row_number().over(_down())
-    size = F.sum("body_len").over(_down().rowsBetween(Window.unboundedPreceding, 0))
     ok = F.lit(True)
     if max_length is not None:
         ok = ok & F.coalesce(F.col("_n") <= max_length, F.lit(True))
     if max_bytes is not None:
         ok = ok & F.coalesce((F.col("_size") <= max_bytes) | (F.col("_n") == 1), F.lit(True))
-    return log.withColumn("_n", n).withColumn("_size", size).where(ok).drop("_n", "_size")
+    return _by_tag(log, down=True, _n=("count",), _size=("sum", "body_len")).where(ok).drop("_n", "_size")
 
 
 def evicted_by(log: DataFrame, max_length: int) -> DataFrame:
-    """Q7: for each row evicted by count, the tag of the publish that evicted it."""
-    by = F.lead("tag", max_length).over(_up()) if max_length else F.col("tag")
-    return log.withColumn("evicted_by", by).where("evicted_by is not null")
+    """Q7: for each row evicted by count, the tag of the publish that evicted it: the one
+    max_length ranks later, met by an equi-join on rank."""
+    x = ranked(log, ["queue"], "tag", "_n")
+    later = x.select("queue", (F.col("_n") - max_length).alias("_n"), F.col("tag").alias("evicted_by"))
+    return x.join(later, ["queue", "_n"]).drop("_n")
 
 
 def evicted_by_bytes(log: DataFrame, max_bytes: int) -> DataFrame:
@@ -46,30 +44,28 @@ def evicted_by_bytes(log: DataFrame, max_bytes: int) -> DataFrame:
 
     Running sums increase along a queue, so the answer is the first tag whose sum exceeds
     this row's own prefix plus the limit. Rows and thresholds are merged into one sequence
-    sorted downwards, where the rows above a threshold stand before it: a running minimum of
+    of sums, where the rows above a threshold stand behind it: going down, a running minimum of
     their tags answers it, without a join of ranges.
     """
-    total = F.sum("body_len").over(_up().rowsBetween(Window.unboundedPreceding, 0))
-    x = log.withColumn("total", total).withColumn("need", F.col("total") - F.col("body_len") + max_bytes)
-    rows = x.select("queue", F.col("total").alias("at"), F.lit(1).alias("kind"), "tag")
-    asks = x.select("queue", F.col("need").alias("at"), F.lit(0).alias("kind"), "tag")
-    # at equal values the threshold comes first: a sum that only reaches the limit does not pass it
-    w = Window.partitionBy("queue").orderBy(F.col("at").desc(), "kind", "tag").rowsBetween(Window.unboundedPreceding, 0)
-    hit = rows.union(asks).withColumn("by", F.min(F.when(F.col("kind") == 1, F.col("tag"))).over(w)).where("kind = 0 and by is not null")
+    x = _by_tag(log, total=("sum", "body_len"))
     # a queue of one ready message keeps it: an oversize row goes with the publish after it
-    nxt = x.select("queue", "tag", F.lead("tag").over(_up()).alias("next"))
-    return hit.select("queue", "tag", "by").join(nxt, ["queue", "tag"]).select("queue", "tag", F.when(F.col("by") == F.col("tag"), F.col("next")).otherwise(F.col("by")).alias("evicted_by")).where("evicted_by is not null")
+    x = _by_tag(x, down=True, upto="before", next=("min", "tag"))
+    rows = x.select("queue", F.col("total").alias("at"), F.lit(1).alias("kind"), "tag", F.lit(None).cast("long").alias("next"))
+    asks = x.select("queue", (F.col("total") - F.col("body_len") + max_bytes).alias("at"), F.lit(0).alias("kind"), "tag", "next")
+    # at equal values the threshold comes first: a sum that only reaches the limit does not pass it
+    hit = running(rows.union(asks), ["queue"], bucket("at", WIDTH << 10), [F.col("at"), -F.col("kind"), -F.col("tag")], down=True, passed=("min", F.when(F.col("kind") == 1, F.col("tag"))))
+    point = F.when(F.col("passed") == F.col("tag"), F.col("next")).otherwise(F.col("passed"))
+    return hit.where("kind = 0 and passed is not null").select("queue", "tag", point.alias("evicted_by")).where("evicted_by is not null")
 
 
 def reject_publish_count(log: DataFrame, max_length: int) -> DataFrame:
     """Q8: a publish is refused when N are ready before it."""
-    return log.withColumn("accepted", F.row_number().over(_up()) <= max_length)
+    return ranked(log, ["queue"], "tag", "_n").withColumn("accepted", F.col("_n") <= max_length).drop("_n")
 
 
 def reject_publish_bytes(log: DataFrame, max_bytes: int) -> DataFrame:
     """Q9: refused when L bytes or more are ready before it; the last accepted may overshoot."""
-    before = F.coalesce(F.sum("body_len").over(_up().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return log.withColumn("accepted", before < max_bytes)
+    return _by_tag(log, upto="before", _size=("sum", "body_len")).withColumn("accepted", F.col("_size") < max_bytes).drop("_size")
 
 
 def publish_outcome(copies: DataFrame) -> DataFrame:
@@ -91,15 +87,15 @@ def depth(events: DataFrame, high_water: int) -> DataFrame:
 
     events: queue, seq, waiting and inflight as changes of those counters.
     """
-    w = Window.partitionBy("queue").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = F.greatest(F.sum("waiting").over(w), F.lit(0)) + F.greatest(F.sum("inflight").over(w), F.lit(0))
-    return events.select("queue", "seq", d.cast("long").alias("depth")).withColumn("at_mark", (F.col("depth") >= high_water) & F.lit(high_water > 0))
+    x = running(events, ["queue"], bucket("seq"), [F.col("seq")], waiting=("sum", "waiting"), inflight=("sum", "inflight"))
+    d = F.greatest("waiting", F.lit(0)) + F.greatest("inflight", F.lit(0))
+    return x.select("queue", "seq", d.cast("long").alias("depth")).withColumn("at_mark", (F.col("depth") >= high_water) & F.lit(high_water > 0))
 
 
 def claim_order(ready: DataFrame) -> DataFrame:
     """Q2: requeued messages first, in the order they came back, then the lowest tag."""
-    w = Window.partitionBy("queue").orderBy(F.col("requeue_seq").isNull(), "requeue_seq", "tag")
-    return ready.withColumn("claim", F.row_number().over(w))
+    first, at = F.col("requeue_seq").isNull(), F.coalesce("requeue_seq", "tag")
+    return running(ready, ["queue"], F.struct(first.alias("new"), bucket(at).alias("part")), [first, at, F.col("tag")], claim=("count",))
 
 
 def pop(ready: DataFrame, now_ms: Column | None = None) -> DataFrame:
@@ -128,8 +124,7 @@ def prefetch_violations(log: DataFrame, prefetch: int) -> DataFrame:
 
     log: consumer, seq, change (+1 delivery, -1 settle).
     """
-    w = Window.partitionBy("consumer").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("unacked", F.sum("change").over(w)).where((F.col("change") > 0) & (F.col("unacked") > (prefetch or 2000)))
+    return running(log, ["consumer"], bucket("seq"), [F.col("seq")], unacked=("sum", "change")).where((F.col("change") > 0) & (F.col("unacked") > (prefetch or 2000)))
 
 
 def prefetch_in_force(deliveries: DataFrame, settings: DataFrame) -> DataFrame:
@@ -140,10 +135,10 @@ def prefetch_in_force(deliveries: DataFrame, settings: DataFrame) -> DataFrame:
     """
     s = settings.where("prefetch_size = 0").select("channel", "seq", F.lit(0).alias("kind"), F.col("prefetch").alias("_p"), F.lit(None).cast("long").alias("tag"))
     d = deliveries.select("channel", "seq", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("_p"), "tag")
-    w = Window.partitionBy("channel").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return s.union(d).withColumn("prefetch", F.coalesce(F.last("_p", ignorenulls=True).over(w), F.lit(0))).where("kind = 1").select("channel", "tag", "prefetch")
+    x = running(s.union(d), ["channel"], bucket("seq"), [F.col("seq"), F.col("kind")], prefetch=("last", "_p"))
+    return x.where("kind = 1").select("channel", "tag", F.coalesce("prefetch", F.lit(0)).alias("prefetch"))
 
 
 def assigned(ready: DataFrame, consumers: int) -> DataFrame:
     """Q17: a deterministic stand-in for consumers racing for the tail: round robin by tag."""
-    return ready.withColumn("consumer", ((F.row_number().over(_up()) - 1) % consumers).cast("int"))
+    return ranked(ready, ["queue"], "tag", "_n").withColumn("consumer", ((F.col("_n") - 1) % consumers).cast("int")).drop("_n")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.operators.ordered import bucket, ranked, running
+
 
 def committed_ops(ops: DataFrame) -> DataFrame:
     """Buffered operations whose transaction commits; rolled back or open ones vanish.
@@ -13,8 +15,7 @@ def committed_ops(ops: DataFrame) -> DataFrame:
     number its transactions; the boundary itself belongs to the one that it ends.
     """
     end = F.col("op").isin("commit", "rollback")
-    w = Window.partitionBy("channel").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    x = ops.withColumn("tx", F.coalesce(F.sum(end.cast("int")).over(w), F.lit(0)))
+    x = running(ops, ["channel"], bucket("seq"), [F.col("seq")], upto="before", tx=("sum", end.cast("int")))
     done = x.where("op = 'commit'").select("channel", "tx")
     return x.where(~end).join(done, ["channel", "tx"], "left_semi")
 
@@ -40,9 +41,7 @@ def visible_records(records: DataFrame) -> DataFrame:
     records: file, pos, type (message, begin, commit), epoch. The last boundary before a record
     says whether it is inside; its epoch must be committed by the next boundary of the file.
     """
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = F.last(F.when(F.col("type").isin("begin", "commit"), F.struct("type", "epoch")), ignorenulls=True).over(w)
-    x = records.withColumn("_b", inside)
+    x = running(records, ["file"], bucket("pos"), [F.col("pos")], _b_=("last", F.when(F.col("type").isin("begin", "commit"), F.struct("type", "epoch")))).withColumnRenamed("_b_", "_b")
     done = records.where("type = 'commit'").select("file", "epoch").distinct()
     loose = x.where((F.col("type") == "message") & (F.col("_b").isNull() | (F.col("_b.type") == "commit")))
     held = x.where((F.col("type") == "message") & (F.col("_b.type") == "begin") & (F.col("epoch") == F.col("_b.epoch")))
@@ -120,8 +119,7 @@ def record_counts(records: DataFrame) -> DataFrame:
 
 def commit_batches(records: DataFrame, size: int = 1000) -> DataFrame:
     """The group commit a record falls into, at most `size` each, per writer in order."""
-    n = F.row_number().over(Window.partitionBy("writer").orderBy("seq"))
-    return records.withColumn("batch", F.floor((n - 1) / size).cast("long"))
+    return ranked(records, ["writer"], "seq", "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
 def between(messages: DataFrame, first: int, last: int, delete: bool = False) -> DataFrame:

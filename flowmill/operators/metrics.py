@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowmill.operators.ordered import running
+
 #: M2: bucket bounds in seconds: 0.1 ms doubled 14 times.
 BOUNDS = tuple(0.0001 * 2**k for k in range(15))
 
@@ -42,10 +44,9 @@ def histogram_quantile(cumulative: DataFrame, q: float, by: list[str]) -> DataFr
 def rates(samples: DataFrame, by: list[str], step: str = "1 minute", seconds: int = 60) -> DataFrame:
     """M3: increase per second of a counter in each window; a fall is a reset, after which the
     value counts from 0. samples: by, ts, value."""
-    w = Window.partitionBy(*by).orderBy("ts")
-    last = F.lag("value").over(w)
-    up = F.when(last.isNull(), 0.0).when(F.col("value") < last, F.col("value")).otherwise(F.col("value") - last)
-    return samples.withColumn("up", up).groupBy(*by, F.window("ts", step).start.alias("window_start")).agg((F.sum("up") / seconds).alias("rate"))
+    x = running(samples, by, F.to_date("ts"), [F.col("ts")], upto="before", _last=("last", "value"))
+    up = F.when(F.col("_last").isNull(), 0.0).when(F.col("value") < F.col("_last"), F.col("value")).otherwise(F.col("value") - F.col("_last"))
+    return x.withColumn("up", up).groupBy(*by, F.window("ts", step).start.alias("window_start")).agg((F.sum("up") / seconds).alias("rate"))
 
 
 def latest(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -53,10 +54,21 @@ def latest(samples: DataFrame, by: list[str]) -> DataFrame:
     return samples.groupBy(*by).agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
 
 
-def percentiles(values: DataFrame, value: str, qs: dict[str, float], by: list[str], exact: bool = True) -> DataFrame:
-    """M8: exact interpolated percentiles, or a sketch of bounded size for large data."""
-    f = (lambda q: F.percentile(value, F.lit(q))) if exact else (lambda q: F.percentile_approx(value, F.lit(q), F.lit(10_000)))
-    return values.groupBy(*by).agg(*[f(q).alias(name) for name, q in qs.items()])
+def percentiles(values: DataFrame, value: str, qs: dict[str, float], by: list[str], width: float = 1.0) -> DataFrame:
+    """M8: exact percentiles, interpolated between ranks. Values are counted first, and their
+    running counts go by ranges of `width`, so no buffer holds a group's values; the places
+    asked for are then minima over the running counts."""
+    v = F.col(value).cast("double")
+    n = values.where(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count("*").alias("n"))
+    x = running(n, by, F.floor(F.col("v") / width), [F.col("v")], upto="row", upto_here=("sum", "n"))
+    x = x.join(n.groupBy(*by).agg(F.sum("n").alias("total")), by)
+    at = lambda rank: F.min(F.when(F.col("upto_here") > rank, F.col("v")))
+    out = []
+    for i, q in enumerate(qs.values()):
+        place = F.lit(q) * (F.col("total") - 1)
+        out += [at(F.floor(place)).alias(f"_l{i}"), at(F.ceil(place)).alias(f"_h{i}"), F.first(place - F.floor(place)).alias(f"_p{i}")]
+    f = lambda i: F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_p{i}")
+    return x.groupBy(*by).agg(*out).select(*by, *[f(i).alias(name) for i, name in enumerate(qs)])
 
 
 def throughput(events: DataFrame, ts: str, step: str, by: list[str]) -> DataFrame:
@@ -99,6 +111,6 @@ def sizes(files: DataFrame, by: str) -> DataFrame:
 
 def server_stats(messages: DataFrame, settled: DataFrame) -> DataFrame:
     """M7: totals in one row."""
-    a = messages.agg(F.count("*").alias("published"), F.sum("body_len").cast("long").alias("published_bytes"))
-    b = settled.agg(F.count_if(F.col("action") == "ack").alias("acked"), F.count_if(F.col("action") != "ack").alias("rejected"))
-    return a.join(b)
+    none = lambda kind: F.lit(None).cast(kind)
+    both = messages.select("body_len", F.lit(True).alias("sent"), none("string").alias("action")).unionByName(settled.select(none("long").alias("body_len"), F.lit(False).alias("sent"), "action"))
+    return both.agg(F.count_if("sent").alias("published"), F.sum("body_len").cast("long").alias("published_bytes"), F.count_if(F.col("action") == "ack").alias("acked"), F.count_if(F.col("action") != "ack").alias("rejected"))

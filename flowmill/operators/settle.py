@@ -3,18 +3,20 @@ fold for logs in which claims and publishes interleave (Q5-Q9, Q15 in general).
 
 End states are aggregates and joins. `multiple` settles a range: instead of joining ranges,
 each channel's deliveries and settles are merged by sequence and the covering settle is a
-running minimum from the end, one sort per channel.
+running minimum from the end, sorted by ranges of tags (see ordered), not by channel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.operators.ordered import bucket, ranked, running
+
 
 def wire_tags(deliveries: DataFrame) -> DataFrame:
     """Delivery numbers per channel, from 1."""
-    return deliveries.withColumn("wire_tag", F.row_number().over(Window.partitionBy("channel").orderBy("seq")))
+    return ranked(deliveries, ["channel"], "seq", "wire_tag")
 
 
 def first_settles(settles: DataFrame) -> DataFrame:
@@ -28,23 +30,24 @@ def expanded(deliveries: DataFrame, settles: DataFrame) -> DataFrame:
     deliveries: channel, wire_tag, seq; settles: channel, wire_tag, seq, action, multiple,
     requeue; multiple covers all delivered and unsettled tags up to its own, 0 all of them.
 
-    A range settles a delivery if it comes later and its tag is at or above the delivery's:
-    going down through the tags, each delivery needs the earliest such settle after its own
-    sequence. As a channel delivers tags in order of sequence, a settle of tag t can only
-    come after deliveries up to t; so the earliest settle with a tag at or above is after
-    the delivery too, and a running minimum of sequence is enough.
+    A settle counts if it comes after the delivery: one that names a tag not delivered yet settles
+    nothing by itself, and a range reaches up to what was delivered before it. So cut, a range of
+    tag t comes after all deliveries up to t, as a channel delivers tags in order of sequence;
+    the earliest settle with a tag at or above a delivery's is after the delivery too, and going
+    down through the tags a running minimum of sequence is enough.
     """
-    ranged = settles.where("multiple").join(deliveries.groupBy("channel").agg(F.max("wire_tag").alias("top")), "channel").withColumn("upto", F.when(F.col("wire_tag") == 0, F.lit(None).cast("long")).otherwise(F.col("wire_tag")))
-    # tag 0 covers what was delivered before it: the highest tag with a smaller sequence
-    w = Window.partitionBy("channel").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = deliveries.select("channel", "seq", F.lit(0).alias("kind"), F.col("wire_tag").cast("long").alias("w"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("boolean").alias("requeue"), F.lit(None).cast("long").alias("upto")).union(ranged.select("channel", "seq", F.lit(1), F.lit(None).cast("long"), "action", "requeue", F.col("upto").cast("long")))
-    acts = both.withColumn("sofar", F.max("w").over(w)).where("kind = 1").select("channel", "seq", "action", "requeue", F.coalesce("upto", "sofar").alias("tag"))
-    down = Window.partitionBy("channel").orderBy(F.col("tag").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    line = acts.select("channel", "tag", F.lit(0).alias("kind"), F.struct("seq", "action", "requeue").alias("s")).union(deliveries.select("channel", F.col("wire_tag").cast("long"), F.lit(1), F.lit(None).cast("struct<seq:bigint,action:string,requeue:boolean>")))
-    by_range = line.withColumn("s", F.min("s").over(down)).where("kind = 1 and s is not null").select("channel", F.col("tag").alias("wire_tag"), "s")
-    single = settles.where("not multiple").groupBy("channel", F.col("wire_tag").cast("long").alias("wire_tag")).agg(F.min(F.struct("seq", "action", "requeue")).alias("s"))
+    d = deliveries.select("channel", "seq", F.col("wire_tag").cast("long").alias("wire_tag"))
+    s = F.struct("seq", "action", "requeue").alias("s")
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = "struct<seq:bigint,action:string,requeue:boolean>"
+    asks = settles.where("multiple").withColumn("wire_tag", F.col("wire_tag").cast("long"))
+    both = d.select("channel", "seq", F.lit(0).alias("kind"), F.col("wire_tag").alias("w"), none("long").alias("upto"), none(kind).alias("s")).union(asks.select("channel", "seq", F.lit(1), none("long"), F.when(F.col("wire_tag") > 0, F.col("wire_tag")), s))
+    acts = running(both, ["channel"], bucket("seq"), [F.col("seq"), F.col("kind")], sofar=("max", "w")).where("kind = 1 and sofar is not null")
+    line = acts.select("channel", F.least("upto", "sofar").alias("tag"), F.lit(0).alias("kind"), "s").union(d.select("channel", "wire_tag", F.lit(1), none(kind)))
+    by_range = running(line, ["channel"], bucket("tag"), [F.col("tag"), -F.col("kind")], down=True, s=("min", "s")).where("kind = 1 and s is not null").select("channel", F.col("tag").alias("wire_tag"), "s")
+    single = settles.where("not multiple").select("channel", F.col("wire_tag").cast("long").alias("wire_tag"), s)
+    single = single.join(d.withColumnRenamed("seq", "sent"), ["channel", "wire_tag"]).where("s.seq >= sent").groupBy("channel", "wire_tag").agg(F.min("s").alias("s"))
     first = by_range.union(single).groupBy("channel", "wire_tag").agg(F.min("s").alias("s"))
-    d = deliveries.select("channel", F.col("wire_tag").cast("long").alias("wire_tag"))
     return d.join(first, ["channel", "wire_tag"], "left").select("channel", "wire_tag", F.col("s.seq").alias("settled_at"), F.col("s.action").alias("action"), F.col("s.requeue").alias("requeue"))
 
 

@@ -6,9 +6,10 @@ writer wins is a minimum by sequence, deletion an anti-join, and neither needs a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmill.operators.ordered import bucket, running
 from flowmill.sources.tables import dimension
 
 #: The exchanges that are always there.
@@ -73,9 +74,8 @@ def purged(messages: DataFrame, purges: DataFrame) -> DataFrame:
     """Per purge, how many ready messages of its queue it removed: those since the purge
     before it. Going back in time, the last purge met is the one that takes a message."""
     both = messages.select("queue", "seq", F.lit(None).cast("long").alias("purge")).union(purges.select("queue", "seq", F.col("seq")))
-    w = Window.partitionBy("queue").orderBy(F.col("seq").desc(), F.col("purge").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    taken = both.withColumn("by", F.last("purge", ignorenulls=True).over(w)).where("by is not null")
-    return taken.groupBy("queue", F.col("by").alias("seq")).agg(F.count_if(F.col("purge").isNull()).alias("removed"))
+    taken = running(both, ["queue"], bucket("seq"), [F.col("seq"), F.col("purge").isNull()], down=True, taken_by=("last", "purge")).where("taken_by is not null")
+    return taken.groupBy("queue", F.col("taken_by").alias("seq")).agg(F.count_if(F.col("purge").isNull()).alias("removed"))
 
 
 def server_name() -> Column:
@@ -85,9 +85,9 @@ def server_name() -> Column:
 
 def resolved_names(log: DataFrame) -> DataFrame:
     """An empty queue name stands for the channel's last declared queue; none: an error."""
-    w = Window.partitionBy("channel").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("method") == "declare", F.col("queue")), ignorenulls=True).over(w)
-    return log.withColumn("resolved", F.when(F.col("queue") != "", F.col("queue")).otherwise(last)).withColumn("reply_code", F.when(F.col("resolved").isNull(), 404))
+    x = running(log, ["channel"], bucket("seq"), [F.col("seq")], upto="before", _last=("last", F.when(F.col("method") == "declare", F.col("queue"))))
+    x = x.withColumn("resolved", F.when(F.col("queue") != "", F.col("queue")).otherwise(F.col("_last"))).drop("_last")
+    return x.withColumn("reply_code", F.when(F.col("resolved").isNull(), 404))
 
 
 def declare_ok(queues: DataFrame, ready: DataFrame, consumers: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from flowmill.operators import confirms as W
 from flowmill.operators import limits as Q
 from flowmill.operators import log as L
 from flowmill.operators import metrics as G
+from flowmill.operators.ordered import bucket, ranked, running
 from flowmill.plans import fixtures as X
 from flowmill.plans.queues import NOW_MS
 from flowmill.plans.routing import TOPIC_SQL, topic
@@ -23,11 +24,8 @@ M = f"with {MESSAGES_SQL}"
 
 def publishes(spark, sf):
     """Channels number their publishes; `flush` is when each completes, out of order."""
-    from pyspark.sql import Window
-
-    m = messages(spark, sf)
-    tag = F.row_number().over(Window.partitionBy("channel").orderBy("delivery_tag")).cast("long")
-    return m.select("channel", tag.alias("tag"), (F.floor(F.col("delivery_tag") / 50) + F.col("k") % 3).cast("long").alias("flush"), "k", "delivery_tag")
+    m = ranked(messages(spark, sf).select("channel", "delivery_tag", "k"), ["channel"], "delivery_tag", "tag")
+    return m.select("channel", "tag", (F.floor(F.col("delivery_tag") / 50) + F.col("k") % 3).cast("long").alias("flush"), "k", "delivery_tag")
 
 
 PUBLISHES_SQL = f"{M}, p as (select channel, row_number() over (partition by channel order by delivery_tag) as tag, (delivery_tag // 50 + k % 3)::bigint as flush, k, delivery_tag from messages)"
@@ -243,7 +241,7 @@ def authz_decisions(spark, sf):
 
 _OPS = list(dict.fromkeys(o for o, _, _ in Z.OPERATIONS))
 AUTHZ_SQL = f"""{M}, {X.sql("perms", X.PERMISSIONS)}, {X.sql("ops", OPERATIONS)},
-r as (select delivery_tag as id, 'u' || (user_id % 7) as username, ({_OPS!r})[k % 12 + 1] as operation, ['', 'amq.topic', 'click.x', 'u5-x'][k % 4 + 1] as exchange, ['q.1', 'view.all', 'u5-q'][k % 3 + 1] as queue from messages where k < 60),
+r as (select delivery_tag as id, 'u' || (user_id % 7) as username, ({_OPS!r})[k % 12 + 1] as operation, ['', 'amq.topic', 'click.x', 'u5-x'][k % 4 + 1] as exchange, ['q.1', 'view.all', 'u5-q'][k % 3 + 1] as queue from messages),
 x as (select r.*, case part when 'exchange' then case when exchange = '' then 'amq.default' else exchange end when 'queue' then queue else 'amq.fanout' end as name,
   case permission when 'configure' then configure when 'write' then write else read end as pattern from r join ops using (operation) left join perms p on p.username = r.username and p.vhost = '/')
 select id, username, operation, bool_and(coalesce(pattern <> '' and regexp_matches(name, pattern), false)) as allowed from x group by all"""
@@ -298,12 +296,9 @@ from q where cumulative >= rank and (below < rank or below = 0) and cumulative >
 
 def rate_1m(spark, sf):
     """A counter per channel that restarts whenever a key of 0 is published."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("channel").orderBy("delivery_tag").rowsBetween(Window.unboundedPreceding, 0)
-    m = messages(spark, sf).withColumn("run", F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).over(w))
-    c = F.row_number().over(Window.partitionBy("channel", "run").orderBy("delivery_tag"))
-    s = m.select("channel", F.col("published_at").alias("ts"), c.cast("double").alias("value"), "delivery_tag")
+    m = messages(spark, sf).select("channel", "delivery_tag", "published_at", "k")
+    m = running(m, ["channel"], bucket("delivery_tag"), [F.col("delivery_tag")], run=("sum", F.when(F.col("k") == 0, 1).otherwise(0)))
+    s = ranked(m, ["channel", "run"], "delivery_tag", "n").select("channel", F.col("published_at").alias("ts"), F.col("n").cast("double").alias("value"))
     return G.rates(s, ["channel"], "1 hour", 3600).select("channel", F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), F.round("rate", 9).alias("rate"))
 
 

@@ -368,7 +368,7 @@ QUERIES = {
     "ttl_expired_asof": (ttl_expired_asof, f"{DEADLINES_SQL} select queue, count(*) as expired, max(deadline_ms) as last_deadline_ms from dead where message_ttl_ms is not null and queue <> 'click' and deadline_ms <= {NOW_MS} group by queue"),
     "ttl_at_delivery": (ttl_at_delivery, f"{DEADLINES_SQL} select delivery_tag, queue, 'expired' as reason from dead where deadline_ms <= epoch_us(published_at) // 1000 + user_id * 500"),
     "ttl_next_deadline": (ttl_next_deadline, f"{DEADLINES_SQL} select queue, min(deadline_ms) filter (deadline_ms > {NOW_MS}) as next_ms from dead group by queue"),
-    "queue_idle_expiry": (queue_idle_expiry, f"""{M}, t as (select event_type || '-' || channel as queue, epoch_us(published_at) // 1000 as at_ms from messages where k < 25),
+    "queue_idle_expiry": (queue_idle_expiry, f"""{M}, t as (select event_type || '-' || channel as queue, epoch_us(published_at) // 1000 as at_ms from messages),
 n as (select *, case when at_ms - lag(at_ms) over (partition by queue order by at_ms) >= {EXPIRES_MS} then 1 else 0 end as new from t),
 l as (select *, sum(new) over (partition by queue order by at_ms) as life from n)
 select queue, min(at_ms) as from_ms, max(at_ms) as last_ms, count(*) as touches, max(at_ms) + {EXPIRES_MS} as ends_ms from l group by queue, life"""),
@@ -383,7 +383,7 @@ select method, method <> 'reject' and coalesce(o & 1, 0) = 1 as multiple, case m
     "drop_head_policy": (drop_head_policy, f"""{QM}, {X.sql("policies", X.POLICIES)}, x as (select *, row_number() over w as n, sum(body_len) over w as s from m join policies using (queue) window w as (partition by queue order by tag desc))
 select queue, count(*) as kept, min(tag) as oldest, sum(body_len)::bigint as bytes from x where (max_length is null or n <= max_length) and (max_length_bytes is null or s <= max_length_bytes or n = 1) group by queue"""),
     "drop_head_eviction_point": (drop_head_eviction_point, f"{QM} select * from (select queue, tag, lead(tag, {N}) over (partition by queue order by tag) as evicted_by from m) where evicted_by is not null"),
-    "drop_head_eviction_point_bytes": (drop_head_eviction_point_bytes, f"""{QM}, p as (select queue, tag, body_len, sum(body_len) over (partition by queue order by tag) as total, lead(tag) over (partition by queue order by tag) as nxt from m where k < 40)
+    "drop_head_eviction_point_bytes": (drop_head_eviction_point_bytes, f"""{QM}, p as (select queue, tag, body_len, sum(body_len) over (partition by queue order by tag) as total, lead(tag) over (partition by queue order by tag) as nxt from m)
 select * from (select queue, tag, (select min(case when i.tag = j.tag then j.nxt else i.tag end) from p i where i.queue = j.queue and i.tag >= j.tag and i.total - (j.total - j.body_len) > 90000) as evicted_by from p j) where evicted_by is not null"""),
     "reject_publish_count": (reject_publish_count, f"{QM}, x as (select *, row_number() over (partition by queue order by tag) <= {N} as accepted from m) select queue, accepted, count(*) as messages, max(tag) as last from x group by all"),
     "reject_publish_bytes": (reject_publish_bytes, f"{QM}, x as (select *, coalesce(sum(body_len) over (partition by queue order by tag rows between unbounded preceding and 1 preceding), 0) < {L} as accepted from m) select queue, accepted, count(*) as messages, max(tag) as last, sum(body_len)::bigint as bytes from x group by all"),

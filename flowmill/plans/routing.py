@@ -307,11 +307,11 @@ r as (select *, last_value(case when d then queue end ignore nulls) over (partit
 select channel, seq, case when queue <> '' then queue else last end as resolved, case when queue = '' and last is null then 404 end as reply_code from r"""),
     "declare_ok_counts": (declare_ok_counts, f"""with {MESSAGES_SQL} select q.queue, (select count(*) from messages where event_type = q.queue and k < 30) as message_count,
 (select count(distinct user_id) from messages where event_type = q.queue and k < 90) as consumer_count from (select distinct event_type as queue from messages union all select 'idle') q"""),
-    "exclusive_owner": (exclusive_owner, f"""with {MESSAGES_SQL}, c as (select event_type || '-' || k as queue, delivery_tag as seq, user_id % 7 as connection from messages where k < 5),
+    "exclusive_owner": (exclusive_owner, f"""with {MESSAGES_SQL}, c as (select event_type || '-' || k as queue, delivery_tag as seq, user_id % 7 as connection from messages),
 o as (select queue, arg_min(connection, seq) as owner from c group by queue)
 select seq, queue, connection, owner, case when connection <> owner then 405 end as reply_code from c join o using (queue)"""),
     "durable_bindings": (durable_bindings, f"with {TOPOLOGY_SQL} select exchange, count(*) as bindings from b join e on e.name = exchange where durable group by exchange"),
-    "exclusive_consumers": (exclusive_consumers, f"""with {MESSAGES_SQL}, c as (select event_type || '-' || k as queue, user_id % 4 = 0 as x, delivery_tag as seq from messages where k < 20),
+    "exclusive_consumers": (exclusive_consumers, f"""with {MESSAGES_SQL}, c as (select event_type || '-' || k as queue, user_id % 4 = 0 as x, delivery_tag as seq from messages),
 f as (select queue, min(seq) as s0, arg_min(x, seq) as x0 from c group by queue), r as (select queue, seq = s0 or (not x0 and not x) as ok from c join f using (queue))
 select queue, count(*) filter (ok) as accepted, count(*) filter (not ok) as refused from r group by queue"""),
     "reserved_names": (reserved_names, f"with {X.sql('e', X.EXCHANGES)} select name, case when name like 'amq.%' then 403 end as reply_code from e"),
