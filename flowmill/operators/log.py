@@ -126,3 +126,34 @@ def between(messages: DataFrame, first: int, last: int, delete: bool = False) ->
     """Tags between both ends, inclusive, or all others; nothing if first is above last."""
     hit = F.col("delivery_tag").between(first, last)
     return messages.where(~hit if delete else hit)
+
+
+def placed(writes: DataFrame, mark: int) -> DataFrame:
+    """Where each message is stored. writes: queue, tag, durable, depth (ready before it).
+
+    A durable message goes to the log first, and to the ring as well while the ring is below its
+    mark; a transient one to the ring, and only beyond the mark to the log.
+    """
+    full = F.col("depth") >= mark
+    where = F.when(F.col("durable") & ~full, "log and ring").when(F.col("durable") | full, "log").otherwise("ring")
+    return writes.withColumn("stored", where)
+
+
+def async_visible(writes: DataFrame, flushes: DataFrame) -> DataFrame:
+    """A write returns at once and becomes visible with the first flush of its writer at or after
+    it; what no flush follows is not durable. writes: writer, seq; flushes: writer, seq."""
+    both = writes.select("writer", "seq", F.lit(None).cast("long").alias("flush")).union(flushes.select("writer", "seq", F.col("seq")))
+    x = running(both, ["writer"], bucket("seq"), [F.col("seq"), F.col("flush").isNotNull()], down=True, visible_at=("last", "flush"))
+    return x.where("flush is null").select("writer", "seq", "visible_at", F.col("visible_at").isNotNull().alias("durable"))
+
+
+def point_read(asked: DataFrame, tiers: dict[str, DataFrame]) -> DataFrame:
+    """Of each (queue, tag) asked for, the first tier that has it, in order, and its row; nothing
+    for a tag that no tier has. tiers: name to (queue, tag, body_len). One pass over all tiers,
+    reduced to the tags asked for before anything is shuffled by tag."""
+    parts = [t.select("queue", "tag", "body_len").withColumn("_rank", F.lit(i)).withColumn("tier", F.lit(name)) for i, (name, t) in enumerate(tiers.items())]
+    rows = parts[0]
+    for t in parts[1:]:
+        rows = rows.unionByName(t)
+    hit = rows.join(asked.select("queue", "tag").distinct(), ["queue", "tag"], "left_semi")
+    return hit.groupBy("queue", "tag").agg(F.min_by(F.struct("tier", "body_len"), "_rank").alias("r")).select("queue", "tag", "r.tier", "r.body_len")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowmill.functions.predicates import epoch_ms
 from flowmill.operators.ordered import running
 
 #: M2: bucket bounds in seconds: 0.1 ms doubled 14 times.
@@ -49,6 +50,17 @@ def rates(samples: DataFrame, by: list[str], step: str = "1 minute", seconds: in
     return x.withColumn("up", up).groupBy(*by, F.window("ts", step).start.alias("window_start")).agg((F.sum("up") / seconds).alias("rate"))
 
 
+def scraped(events: DataFrame, by: list[str], counters: dict[str, Column], step_s: int = 60) -> DataFrame:
+    """The samples a scrape every step_s seconds would see of counters that start at 0: by, name,
+    ts (the end of the step), value. events: by, ts; counters: name to what an event adds. Steps
+    without an event give no sample; the next one has caught up."""
+    end = ((F.floor(epoch_ms("ts") / (step_s * 1000)) + 1) * step_s).cast("long")
+    steps = events.groupBy(*by, end.alias("at")).agg(*[F.sum(c).cast("double").alias(n) for n, c in counters.items()])
+    x = running(steps, by, F.floor(F.col("at") / (86_400 * 30)), [F.col("at")], **{n: ("sum", n) for n in counters})
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in counters])).alias("s")
+    return x.select(*by, F.timestamp_seconds("at").alias("ts"), pairs).select(*by, "s.name", "ts", "s.value")
+
+
 def latest(samples: DataFrame, by: list[str]) -> DataFrame:
     """M6: the last value of each gauge."""
     return samples.groupBy(*by).agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))

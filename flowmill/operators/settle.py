@@ -91,6 +91,16 @@ def auto_deleted_queues(queues: DataFrame, consumers: DataFrame, cancels: DataFr
     return queues.where("auto_delete").select(F.col("name").alias("queue")).join(had, "queue", "left_semi").join(left, "queue", "left_anti")
 
 
+def gets_settled(gets: DataFrame, settles: DataFrame, closed: DataFrame) -> DataFrame:
+    """Deliveries of basic.get by their end: acked, requeued or discarded by the first settle,
+    requeued by the teardown of their channel, else unacked. gets: channel, wire_tag, seq;
+    settles: one delivery each; closed: channel."""
+    first = settles.groupBy("channel", "wire_tag").agg(F.min(F.struct("seq", "action", "requeue")).alias("s"))
+    x = gets.join(first, ["channel", "wire_tag"], "left").join(closed.select("channel", F.lit(True).alias("_closed")), "channel", "left")
+    end = F.when(F.col("s.action") == "ack", "acked").when(F.col("s.requeue"), "requeued").when(F.col("s").isNotNull(), "discarded").when(F.col("_closed"), "requeued at teardown").otherwise("unacked")
+    return x.withColumn("state", end).drop("s", "_closed")
+
+
 def consumer_offsets(settled: DataFrame) -> DataFrame:
     """The highest acknowledged tag per queue and consumer; it never falls."""
     return settled.where("action = 'ack'").groupBy("queue", "consumer").agg(F.max("tag").alias("offset"))
@@ -99,15 +109,18 @@ def consumer_offsets(settled: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ the keyed fold
 
 
-def queue_fold(log: DataFrame, max_length: int | None = None, overflow: str = "drop-head", prefetch: int = 0) -> DataFrame:
-    """Interleaved publishes, claims and settles of each queue, in order of seq.
+def queue_fold(log: DataFrame, max_length: int | None = None, overflow: str = "drop-head", prefetch: int = 0, max_bytes: int | None = None) -> DataFrame:
+    """Interleaved publishes, claims and settles of each queue, in order of seq: Q3, Q5-Q9, Q15.
 
     log: queue, seq, action (publish, claim, ack, requeue, discard), tag (of a publish, or of
-    the delivery settled), consumer. Claims take requeued messages first, then the lowest
-    tag, and wait for nothing: without a ready message or beyond the prefetch they do
-    nothing. Returns queue, seq, outcome, tag: accepted, refused, evicted, delivered, empty,
-    blocked, acked, requeued, discarded, late. State is what the queue holds at a time; a
-    queue's log streams through in batches.
+    the delivery settled), consumer, and body_len (of a publish) where max_bytes is given. Claims
+    take requeued messages first, then the lowest tag, and wait for nothing: without a ready
+    message or beyond the prefetch they do nothing. Limits are on ready messages: drop-head evicts
+    the head while there are more than max_length, or more bytes than max_bytes and more than one
+    message; reject-publish refuses while max_length or max_bytes are reached. Returns queue, seq,
+    outcome, tag: accepted, refused, evicted, delivered, empty, blocked, acked, requeued, discarded,
+    late. State is what the queue holds at a time; a queue's log streams through in batches, in
+    one task, as each step depends on all before it.
     """
     import pandas as pd
 
@@ -116,24 +129,42 @@ def queue_fold(log: DataFrame, max_length: int | None = None, overflow: str = "d
 
         ready: deque = deque()
         again: deque = deque()
+        size: dict[int, int] = {}  # of messages that are ready or held
         held: dict[int, str] = {}
         count: dict[str, int] = {}
+        total = 0
+
+        def full(n: int, least: int) -> bool:
+            """More than n messages, or bytes beyond the limit."""
+            return max_length is not None and n > max_length or max_bytes is not None and total > max_bytes and n > least
+
+        def take() -> int:
+            nonlocal total
+            t = (again or ready).popleft()
+            total -= size[t]
+            return t
+
         for pdf in batches:
             rows = []
-            for seq, action, tag, consumer in zip(pdf.seq, pdf.action, pdf.tag, pdf.consumer):
+            for seq, action, tag, consumer, body in zip(pdf.seq, pdf.action, pdf.tag, pdf.consumer, pdf.body_len):
+                n = len(ready) + len(again)
                 if action == "publish":
-                    if max_length is not None and overflow == "reject-publish" and len(ready) + len(again) >= max_length:
+                    if overflow == "reject-publish" and (max_length is not None and n >= max_length or max_bytes is not None and total >= max_bytes):
                         rows.append((seq, "refused", tag))
                         continue
                     ready.append(tag)
+                    size[tag] = int(body)
+                    total += size[tag]
                     rows.append((seq, "accepted", tag))
-                    while max_length is not None and overflow == "drop-head" and len(ready) + len(again) > max_length:
-                        rows.append((seq, "evicted", (again or ready).popleft()))
+                    while overflow == "drop-head" and full(len(ready) + len(again), 1):
+                        t = take()
+                        del size[t]
+                        rows.append((seq, "evicted", t))
                 elif action == "claim":
                     if prefetch and count.get(consumer, 0) >= prefetch:
                         rows.append((seq, "blocked", None))
-                    elif again or ready:
-                        t = (again or ready).popleft()
+                    elif n:
+                        t = take()
                         held[t] = consumer
                         count[consumer] = count.get(consumer, 0) + 1
                         rows.append((seq, "delivered", t))
@@ -145,6 +176,9 @@ def queue_fold(log: DataFrame, max_length: int | None = None, overflow: str = "d
                     count[held.pop(tag)] -= 1
                     if action == "requeue":
                         again.append(tag)
+                        total += size[tag]
+                    else:
+                        del size[tag]
                     rows.append((seq, {"ack": "acked", "requeue": "requeued"}.get(action, "discarded"), tag))
             out = pd.DataFrame(rows, columns=["seq", "outcome", "tag"])
             out.insert(0, "queue", key[0])
@@ -157,4 +191,6 @@ def queue_fold(log: DataFrame, max_length: int | None = None, overflow: str = "d
         yield from run(key, batches)
 
     typed.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    body = F.coalesce("body_len", F.lit(0)) if "body_len" in log.columns else F.lit(0)
+    log = log.select("queue", "seq", "action", "tag", "consumer", body.cast("long").alias("body_len"))
     return log.repartition("queue").sortWithinPartitions("queue", "seq").groupBy("queue").applyInPandas(typed, "queue string, seq long, outcome string, tag long")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.operators.ordered import bucket, running
+from flowmill.operators.routing import closing_edges
 from flowmill.sources.tables import dimension
 
 #: The exchanges that are always there.
@@ -51,18 +52,49 @@ def bind_outcome(binds: DataFrame, exchanges: DataFrame, queues: DataFrame) -> D
     return binds.join(e, "exchange", "left").join(q, "queue", "left").withColumn("outcome", F.when(F.col("_e").isNull(), "no exchange").when(F.col("_q").isNull(), "no queue").otherwise("bound")).drop("_e", "_q")
 
 
-def exchange_bind_outcome(binds: DataFrame, exchanges: DataFrame) -> DataFrame:
-    """Both ends exist, neither is the default exchange, the destination is not internal."""
+def exchange_bind_outcome(binds: DataFrame, exchanges: DataFrame, edges: DataFrame | None = None, hops: int = 0) -> DataFrame:
+    """Both ends exist, neither is the default exchange, the destination is not internal, and
+    (given the edges that are there and the longest path of them) no cycle would close, R8."""
     s = exchanges.select(F.col("name").alias("source"), F.lit(True).alias("_s"))
     d = exchanges.select(F.col("name").alias("destination"), "internal")
+    x = binds.join(s, "source", "left").join(d, "destination", "left")
+    if edges is not None:
+        x = x.join(closing_edges(edges, binds.select("source", "destination").distinct(), hops), ["source", "destination"], "left")
     why = (
         F.when((F.col("source") == "") | (F.col("destination") == ""), "default exchange")
         .when(F.col("_s").isNull(), "no source")
         .when(F.col("internal").isNull(), "no destination")
         .when(F.col("internal"), "internal destination")
+        .when(F.col("refused") if edges is not None else F.lit(False), "cycle")
         .otherwise("bound")
     )
-    return binds.join(s, "source", "left").join(d, "destination", "left").withColumn("outcome", why).drop("_s", "internal")
+    return x.withColumn("outcome", why).drop("_s", "internal", "refused")
+
+
+def exchange_unbound(edges: DataFrame, unbinds: DataFrame) -> DataFrame:
+    """Edges (source, destination, routing_key) that are left; an unbind of one that is not there
+    changes nothing."""
+    return edges.join(unbinds.select("source", "destination", "routing_key"), ["source", "destination", "routing_key"], "left_anti")
+
+
+def listed_queues(queues: DataFrame, ready: DataFrame, unacked: DataFrame, consumers: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Every queue with what it holds: ready and unacked messages, consumers, bindings."""
+    out = queues.withColumnRenamed("name", "queue")
+    for name, rows in (("ready", ready), ("unacked", unacked), ("consumers", consumers), ("bindings", bindings)):
+        out = out.join(rows.groupBy("queue").agg(F.count("*").alias(name)), "queue", "left")
+    return out.na.fill(0, ["ready", "unacked", "consumers", "bindings"])
+
+
+def listed_exchanges(exchanges: DataFrame, bindings: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every exchange with its queue bindings and the exchanges bound to it."""
+    q = bindings.groupBy(F.col("exchange").alias("name")).agg(F.count("*").alias("queues"))
+    x = edges.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("exchanges"))
+    return exchanges.join(q, "name", "left").join(x, "name", "left").na.fill(0, ["queues", "exchanges"])
+
+
+def listed_consumers(consumers: DataFrame, open_: DataFrame) -> DataFrame:
+    """Every consumer with its unacked deliveries."""
+    return consumers.join(open_.groupBy("queue", "consumer").agg(F.count("*").alias("unacked")), ["queue", "consumer"], "left").na.fill(0, ["unacked"])
 
 
 def auto_deleted(unbound: DataFrame, remaining: DataFrame, exchanges: DataFrame) -> DataFrame:
@@ -78,9 +110,10 @@ def purged(messages: DataFrame, purges: DataFrame) -> DataFrame:
     return taken.groupBy("queue", F.col("taken_by").alias("seq")).agg(F.count_if(F.col("purge").isNull()).alias("removed"))
 
 
-def server_name() -> Column:
-    """A fresh name for a queue that was declared without one."""
-    return F.concat(F.lit("amq.gen."), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+def server_name(declaration: Column, salt: str = "") -> Column:
+    """A name for a queue that was declared without one, made from what identifies its
+    declaration: a task that runs again gives the same name, another declaration another one."""
+    return F.concat(F.lit("amq.gen."), F.substring(F.sha2(F.concat_ws(":", F.lit(salt), declaration.cast("string")), 256), 1, 32))
 
 
 def resolved_names(log: DataFrame) -> DataFrame:

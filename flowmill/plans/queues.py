@@ -374,7 +374,7 @@ l as (select *, sum(new) over (partition by queue order by at_ms) as life from n
 select queue, min(at_ms) as from_ms, max(at_ms) as last_ms, count(*) as touches, max(at_ms) + {EXPIRES_MS} as ends_ms from l group by queue, life"""),
     "property_flags": (property_flags, f"{M}, x as (select *, {EXPIRATION_SQL} as e from messages) select {FLAG_SQL} as flags, count(*) as messages from x group by 1"),
     "negotiated_limits": (negotiated_limits, f"{M}, x as (select k % 5 * 1000 as c, user_id % 3 * 2047 as s from messages) select (case when c = 0 then s when s = 0 then c else least(c, s) end)::bigint as frame_max, count(*) as connections from x group by 1"),
-    "high_water_marks": (high_water_marks, "select * from (values (1, 52428::bigint), (2, 500), (3, 209715), (4, 330), (5, 131072)) as t(id, mark)"),
+    "high_water_marks": (high_water_marks, "select id, (case when o > 0 then o else (case when ring > 0 then ring else 262144 end) * (case when pct > 0 then pct else 80 end) // 100 end)::bigint as mark from (values (1, 0, 65536, 80), (2, 500, 65536, 80), (3, 0, 0, 0), (4, 0, 1001, 33), (5, 0, -5, 50)) as t(id, o, ring, pct)"),
     "short_strings": (short_strings, SHORT_SQL),
     "settle_flags": (settle_flags, f"""{M}, x as (select case when k % 7 < 6 then k % 7 end as o, case k % 3 when 0 then 'ack' when 1 then 'nack' else 'reject' end as method from messages)
 select method, method <> 'reject' and coalesce(o & 1, 0) = 1 as multiple, case method when 'ack' then false when 'nack' then coalesce(o & 2, 2) = 2 else coalesce(o & 1, 1) = 1 end as requeue, count(*) as n from x group by all"""),

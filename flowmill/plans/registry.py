@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("routing", "queues", "flows")
+MODULES = ("routing", "queues", "flows", "storage")
 
 
 def _all() -> dict:

@@ -57,14 +57,16 @@ def benchstat_rows(lines: DataFrame) -> DataFrame:
     return x.select("file", first.alias("name"), F.col("h.metric").alias("metric"), status.alias("status"), pct.isNotNull().alias("significant"), F.coalesce(pct, F.lit(0.0)).alias("delta_pct"), F.coalesce(delta == "?", F.lit(False)).alias("warned"))
 
 
-def read_metadata(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame:
-    """One JSON document per entity under root/kind."""
-    return spark.read.schema(schema).json(f"{root}/{kind}/*.json", multiLine=True)
+def read_metadata(spark: SparkSession, root: str, kind: str, schema: str, one_a_file: bool = False) -> DataFrame:
+    """The entities of a kind, as write_metadata() left them, or from files of one JSON document
+    each, of any number of lines."""
+    path = f"{root}/{kind}"
+    return spark.read.schema(schema).json(f"{path}/*.json", multiLine=True) if one_a_file else spark.read.schema(schema).json(path)
 
 
 def write_metadata(rows: DataFrame, root: str, kind: str) -> None:
-    """Replace a kind's table in one commit."""
-    rows.write.mode("overwrite").json(f"{root}/{kind}")
+    """Replace a kind's table in one commit: a JSON document a line, one line an entity."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/{kind}")
 
 
 AUTH_SCHEMA = (

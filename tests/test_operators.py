@@ -83,6 +83,69 @@ def test_fold_orders_requeued_first_and_gates_prefetch(spark):
     assert got == [(1, "accepted", 1), (2, "accepted", 2), (3, "delivered", 1), (4, "blocked", None), (5, "requeued", 1), (6, "accepted", 3), (6, "evicted", 1), (7, "accepted", 4), (7, "evicted", 2), (8, "delivered", 3), (9, "late", 1), (10, "late", 1), (11, "blocked", None), (12, "delivered", 4)]
 
 
+class Queue:
+    """A plain queue with limits, one step at a time: messages in the order in which they would be claimed."""
+
+    def __init__(self, max_length, max_bytes, overflow, prefetch):
+        self.limits = max_length, max_bytes
+        self.overflow, self.prefetch = overflow, prefetch
+        self.waiting, self.unacked, self.size = [], {}, {}
+
+    def bytes(self):
+        return sum(self.size[t] for _, _, t in self.waiting)
+
+    def step(self, seq, action, tag, consumer, body):
+        longest, largest = self.limits
+        if action == "publish":
+            if self.overflow == "reject-publish" and (longest is not None and len(self.waiting) >= longest or largest is not None and self.bytes() >= largest):
+                return [("refused", tag)]
+            self.size[tag] = body
+            self.waiting.append((1, tag, tag))
+            out = [("accepted", tag)]
+            while self.overflow == "drop-head" and (longest is not None and len(self.waiting) > longest or largest is not None and self.bytes() > largest and len(self.waiting) > 1):
+                out.append(("evicted", self.pop()))
+            return out
+        if action == "claim":
+            if self.prefetch and sum(c == consumer for c in self.unacked.values()) >= self.prefetch:
+                return [("blocked", None)]
+            if not self.waiting:
+                return [("empty", None)]
+            t = self.pop()
+            self.unacked[t] = consumer
+            return [("delivered", t)]
+        if self.unacked.pop(tag, None) is None:
+            return [("late", tag)]
+        if action == "requeue":
+            self.waiting.append((0, seq, tag))
+        return [({"ack": "acked", "requeue": "requeued"}.get(action, "discarded"), tag)]
+
+    def pop(self):
+        first = min(self.waiting)
+        self.waiting.remove(first)
+        return first[2]
+
+
+@pytest.mark.parametrize(("length", "size", "overflow", "prefetch"), [(None, None, "drop-head", 0), (3, None, "drop-head", 2), (3, None, "reject-publish", 0), (None, 40, "drop-head", 3), (None, 40, "reject-publish", 0), (4, 30, "drop-head", 1), (4, 30, "reject-publish", 2), (0, 0, "drop-head", 0)])
+def test_fold_against_a_simulation(spark, length, size, overflow, prefetch):
+    r = random.Random(11)
+    log, want = [], []
+    for q in ("a", "b", "c"):
+        sim, tag = Queue(length, size, overflow, prefetch), 0
+        for seq in range(300):
+            action = r.choices(["publish", "claim", "ack", "requeue", "discard"], [5, 4, 1, 1, 1])[0]
+            if action == "publish":
+                tag += 1
+            of = tag if action == "publish" else None if action == "claim" else r.randint(max(1, tag - 8), tag + 1)
+            row = (seq, action, of, r.choice("xy"), r.choice([0, 1, 10, 25, 60]))
+            log.append((q, *row))
+            want += [(q, seq, *x) for x in sim.step(*row)]
+    r.shuffle(log)
+    df = spark.createDataFrame(log, "queue string, seq long, action string, tag long, consumer string, body_len long")
+    got = [tuple(x) for x in settle.queue_fold(df, length, overflow, prefetch, size).collect()]
+    order = lambda x: (x[0], x[1], x[2], -1 if x[3] is None else x[3])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 def test_config(tmp_path):
     p = tmp_path / "c.json"
     p.write_text('{"ring_size": 10, "other": 1}')

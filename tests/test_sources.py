@@ -24,6 +24,18 @@ def test_bench_file(spark, tmp_path):
 
 
 def test_metadata_round_trip(spark, tmp_path):
-    q = spark.createDataFrame([("q1", True)], "name string, durable boolean")
-    text.write_metadata(q, str(tmp_path), "queues")
-    assert spark.read.schema("name string, durable boolean").json(f"{tmp_path}/queues").collect() == q.collect()
+    schema = "name string, durable boolean, note string"
+    rows = [(f"q{i}", i % 2 == 0, None if i == 3 else f"line\n{i}") for i in range(6)]
+    q = spark.createDataFrame(rows, schema)
+    text.write_metadata(q.repartition(3), str(tmp_path), "queues")
+    assert sorted(map(tuple, text.read_metadata(spark, str(tmp_path), "queues", schema).collect())) == rows
+    text.write_metadata(q.limit(0), str(tmp_path), "queues")
+    assert text.read_metadata(spark, str(tmp_path), "queues", schema).collect() == []
+
+
+def test_metadata_of_one_document_a_file(spark, tmp_path):
+    (tmp_path / "exchanges").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "exchanges" / f"{name}.json").write_text(json.dumps({"name": name, "durable": True}, indent=2))
+    got = text.read_metadata(spark, str(tmp_path), "exchanges", "name string, durable boolean", one_a_file=True)
+    assert sorted(map(tuple, got.collect())) == [("a", True), ("b", True)]
