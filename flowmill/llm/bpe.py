@@ -7,8 +7,9 @@ pair, and the look-ahead after a white-space run sees the same characters as bef
 The pieces' ids, one after another, are then the ids of the whole text.
 
 Defined cases: a null text is the empty text, which has no ids; decoding gives bytes, so
-ids that end inside a character still decode exactly; other columns pass through and may
-have any names that do not clash with the four results.
+ids that end inside a character still decode exactly; rows are encoded one by one, so null,
+repeated ids and repeated rows keep their own; an empty table gives no rows; other columns may
+have any names, and do not come out.
 """
 
 from __future__ import annotations

@@ -2,22 +2,22 @@
 
 1. Candidates come from repeats, with words as units: segments of words around seeds that
    occur more than once.
-2. Recurring passages are confirmed by their words. A segment that occurs again as a whole is
-   one passage; where segments of one seed differ, the windows that several of them hold make
-   passages, as long as they follow one another in all of these. A passage comes with its earliest place.
-3. Passages are sent, as places, to the blocks of documents in which their segments lie, a block
-   being about `BLOCK` bytes of text, and there compiled with pyahocorasick into automata: one per
-   shard of at most `SHARD` words of passages. The alphabet is words, each standing as one
-   character, and any other word as a character that no passage has. So a match is whole words.
+2. Recurring passages are confirmed. A segment that occurs again as a whole is one passage; where
+   segments of one seed differ, their words are compared, and the windows that several of them
+   hold make passages, as long as they follow one another in all of these. A passage comes with
+   its earliest place.
+3. Each document gets the passages of its segments, as places. Those that overlap there and at
+   their earliest place alike are one longer passage. Documents are taken in blocks of about
+   `BLOCK` bytes of text, and a block's passages are compiled with pyahocorasick into automata:
+   one per shard of at most `SHARD` words of passages. The alphabet is words, each standing as
+   one character, and any other word as a character that no passage has. So a match is whole words.
 4. Each document streams, whole, through all automata of its block. What they locate later than
    a passage's earliest place is covered. Nothing else removes a word. A document without a
    repeated seed cannot hold a recurring window; none is sent to it, and it keeps all words.
    Documents of equal words stream once: in all but the first, everything located is covered, as
    it starts earlier in the first.
 
-A passage sent to a block is compiled once however many documents hold it there, and a hot one
-goes to each block once. A task handles its blocks one after another and holds the texts of
-one block and one automaton.
+A task holds the texts of one block and one automaton at a time.
 
 Defined cases: a null, empty or short text loses nothing; words are maximal runs of anything
 but bytes 0x20 and 0x09-0x0D and are compared as they are, those of more than 64 bytes by
@@ -36,18 +36,18 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import discard, grouped, materialize, scratch, words
+from flowmill.llm.common import grouped, materialize, scratch, words
 from flowmill.llm.repeats import Found, Spec, _schema, find, keyed, merged, segment_texts, tokens
 
 SPAN = 20
 SPEC = Spec("word", SPAN, 7)
-#: Words, and bytes, of passages in one automaton (a word is at most one node); bytes of text in a
-#: block; tasks at most, each of which then takes several blocks.
-SHARD, SHARD_BYTES, BLOCK, TASKS = 1_000_000, 16 << 20, 2 << 20, 20_000
+#: Words, and bytes, of passages in one automaton (a word is at most one node); bytes of text in a block.
+SHARD, SHARD_BYTES, BLOCK = 1_000_000, 16 << 20, 4 << 20
 #: Words of a text that are turned into letters at once.
 STEP = 1 << 16
 OTHER = "\x01"
@@ -179,15 +179,50 @@ def _extend(runs: list, a: int, z: int) -> None:
         runs.append((a, z))
 
 
-def _streamed(spec: Spec, rows: DataFrame, keep_text: bool) -> DataFrame:
-    """rows, sorted by block and kind: documents (kind 0) as block, key, lo (number of equal texts),
-    text; passages (kind 1) as block, key and lo (where the block has it), n, key0 and lo0 (its
-    earliest place) -> rep, copy, removed, left, kept."""
-    kind = pa.int64() if isinstance(rows.schema["key"].dataType, T.LongType) else pa.binary()
-
-    def settle(docs):
+def joined(key: pa.Array, copies: np.ndarray, at: pa.Array) -> tuple[np.ndarray, ...]:
+    """at: of each document the passages lo, n, key0, lo0 (words from lo, earliest place). Those that
+    touch at a constant distance from one earlier document are one; those that are their own
+    earliest place go, unless there are copies. Columns doc, lo, n, lo0 and a row with its key0."""
+    doc = np.repeat(np.arange(len(key)), pc.list_value_length(at).to_numpy(zero_copy_only=False).astype(np.int64))
+    rows = at.flatten()
+    field = lambda c: rows.field(rows.type.get_field_index(c))
+    lo, n, lo0 = (field(c).to_numpy().astype(np.int64) for c in ("lo", "n", "lo0"))
+    both = pc.dictionary_encode(pa.chunked_array([key, field("key0")])).combine_chunks().indices.to_numpy()
+    own, first = both[: len(key)], both[len(key) :]
+    o = np.lexsort((lo, lo0 - lo, first, doc))
+    doc, lo, end, lo0, first = doc[o], lo[o], (lo + n)[o], lo0[o], first[o]
+    group = np.cumsum(np.append(True, (np.diff(doc) != 0) | (np.diff(first) != 0) | (np.diff(lo0 - lo) != 0))) if len(o) else o
+    big = int(end.max()) + 1 if len(o) else 1
+    far = np.maximum.accumulate(end + group * big)
+    new = np.flatnonzero(np.append(True, lo[1:] + group[1:] * big > far[:-1])) if len(o) else o
+    last = np.append(new[1:], len(o))[: len(new)] - 1
+    size = far[last] - group[last] * big - lo[new]
+    keep = (first[new] != own[doc[new]]) | (lo0[new] != lo[new]) | (copies[doc[new]] > 1)
+    new, size = new[keep], size[keep]
+    return doc[new], lo[new], size, lo0[new], o[new]
+
+
+def _streamed(spec: Spec, docs: DataFrame, keep_text: bool) -> DataFrame:
+    """docs: key, c (equal texts), text, at (its passages) -> rep, copy, removed, left, kept."""
+    kind = pa.int64() if isinstance(docs.schema["key"].dataType, T.LongType) else pa.binary()
+
+    def settle(block: dict, asked: list[tuple]) -> pa.RecordBatch:
+        shard: dict[bytes, tuple] = {}
+        nodes = size = 0
+        for key, lo, n, first in asked:
+            p = block[key].passage(lo, n)
+            if p in shard:
+                shard[p] = min(shard[p], first)
+                continue
+            shard[p] = first
+            nodes, size = nodes + n, size + len(p)
+            if nodes >= SHARD or size >= SHARD_BYTES:
+                locate(shard, block)
+                shard, nodes, size = {}, 0, 0
+        if shard:
+            locate(shard, block)
         out: list = [[], [], [], [], []]
-        for key, doc in docs.items():
+        for key, doc in block.items():
             for copy, runs in enumerate((doc.own, doc.every)):
                 if runs:
                     gone, left = doc.without(runs)
@@ -196,33 +231,27 @@ def _streamed(spec: Spec, rows: DataFrame, keep_text: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["rep", "copy", "removed", "left", "kept"])
 
     def run(it):
-        block, docs, shard, nodes, size = None, {}, {}, 0, 0
+        block, asked, size = {}, [], 0
         for b in it:
-            for bl, k, key, lo, text, n, key0, lo0 in zip(*(c.to_pylist() for c in b.columns)):
-                if bl != block:
-                    if shard:
-                        locate(shard, docs)
-                    if docs:
-                        yield settle(docs)
-                    block, docs, shard, nodes, size = bl, {}, {}, 0, 0
-                if k == 0:
-                    docs[key] = Document(text, lo)
-                    continue
-                words_ = docs[key].passage(lo, n)
-                if words_ in shard:
-                    shard[words_] = min(shard[words_], (key0, lo0))
-                    continue
-                shard[words_] = (key0, lo0)
-                nodes, size = nodes + n, size + len(words_)
-                if nodes >= SHARD or size >= SHARD_BYTES:
-                    locate(shard, docs)
-                    shard, nodes, size = {}, 0, 0
-        if shard:
-            locate(shard, docs)
-        if docs:
-            yield settle(docs)
-
-    return rows.mapInArrow(run, T.StructType([T.StructField("rep", rows.schema["key"].dataType), *T._parse_datatype_string("copy boolean, removed long, left string, kept string").fields]))
+            copies = b.column(1).to_numpy()
+            doc, lo, n, lo0, row = joined(b.column(0), copies, b.column(3))
+            rows = b.column(3).flatten()
+            key0 = rows.field(rows.type.get_field_index("key0")).take(pa.array(row)).to_pylist()
+            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            lo, n, lo0 = lo.tolist(), n.tolist(), lo0.tolist()
+            for i, (key, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2))):
+                a, z = int(cut[i]), int(cut[i + 1])
+                raw = text.as_py().encode()
+                block[key] = Document(raw, int(copies[i]))
+                asked += [(key, x, m, (k, f)) for x, m, k, f in zip(lo[a:z], n[a:z], key0[a:z], lo0[a:z])]
+                size += len(raw)
+                if size >= BLOCK:
+                    yield settle(block, asked)
+                    block, asked, size = {}, [], 0
+        if block:
+            yield settle(block, asked)
+
+    return docs.mapInArrow(run, T.StructType([T.StructField("rep", docs.schema["key"].dataType), *T._parse_datatype_string("copy boolean, removed long, left string, kept string").fields]))
 
 
 def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -232,18 +261,9 @@ def remove(docs: DataFrame, spec: Spec = SPEC, id_col: str = "doc_id", text_col:
     kind = base.schema["key"].dataType
     with scratch() as tables:
         found = find(spec, base)
-        blocks = max(1, -(-(found.texts.agg(F.sum("size")).first()[0] or 0) // BLOCK))
-        block = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(blocks)).cast("int")
-        known = passages(spec, found)
-        discard(found.segs)
-        # a block gets a passage once, by one of the places where its documents have it
-        here = found.places.select("h", "s", "key", "lo", block.alias("block")).dropDuplicates(["block", "h", "s"])
-        known = known.withColumnsRenamed({"key": "key0", "lo": "lo0"})
-        sent = here.join(known, ["h", "s"]).select("block", F.lit(1).alias("kind"), "key", (F.col("lo") + F.col("off")).alias("lo"), F.lit(None).cast("binary").alias("text"), "n", "key0", "lo0")
-        none = lambda c: F.lit(None).cast(sent.schema[c].dataType).alias(c)
-        rows = found.texts.select(block.alias("block"), F.lit(0).alias("kind"), "key", F.least("c", F.lit(2)).cast("int").alias("lo"), F.col("text").cast("binary").alias("text"), none("n"), none("key0"), none("lo0")).unionByName(sent)
-        parts = min(max(blocks // 8, min(blocks, 64)), TASKS)
-        rows = rows.repartitionById(parts, F.pmod("block", F.lit(parts))).sortWithinPartitions("block", "kind")
+        known = passages(spec, found).withColumnsRenamed({"key": "key0", "lo": "lo0"})
+        at = found.places.select("h", "s", "key", "lo").join(known, ["h", "s"]).select("key", F.struct((F.col("lo") + F.col("off")).alias("lo"), "n", "key0", "lo0").alias("p"))
+        rows = found.texts.select("key", "c", "text").join(at.groupBy("key").agg(F.collect_list("p").alias("at")), "key").select("key", "c", "text", "at")
         changed = tables.keep(materialize(_streamed(spec, rows, keep_text), "changed"))
         info = tables.keep(found.info)
     per_key = info.withColumn("copy", F.col("key") != F.col("rep")).join(changed, ["rep", "copy"], "left").select(

@@ -19,9 +19,9 @@ decided by the caller's engine alone, on the text itself.
    segments are aggregated to one row with its count and earliest place; they are told apart by
    their seed and 128 bits of a cryptographic digest of their text, and so are as narrow as
    places: the text of a segment is cut out of its first document where an engine needs it.
-4. A seed with more than `hot` different segments would make one deal too large. Each of its
-   windows becomes a seed of its own, if it occurs twice, and its place a segment of one
-   window. These go on like any others.
+4. A seed with more than `hot` different segments would make one deal too large. Its segments are
+   seeded once more, with longer runs, halfway up to the whole span, and so on while a seed of
+   them is too large; at the latest each window is its own seed, and has one segment.
 
 Counts are aggregated before they are shuffled, joins on hot seeds are plain joins that
 adaptive execution can split, and no step gathers a group of documents.
@@ -35,7 +35,7 @@ document whose result each of them gets. Columns of the input may have any names
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -285,27 +285,44 @@ def segment_texts(spec: Spec, texts: DataFrame, segs: DataFrame) -> DataFrame:
     return with_text(texts, segs).mapInArrow(run, _schema(segs, "h long, s binary", "lo int, c long, seg binary"))
 
 
-def _windows(spec: Spec, texts: DataFrame, segs: DataFrame) -> DataFrame:
-    """Each window of the given occurrences as an occurrence of its own: h, s, key, lo, n, c."""
+def _refined(spec: Spec, k: int, texts: DataFrame, places: DataFrame) -> DataFrame:
+    """The given occurrences cut up by seeds of k units within them: h, s, key, lo, n, c."""
+    finer = replace(spec, k=k)
 
     def run(it):
         for b in it:
             for key, x in cut_out(spec, b):
-                count = (x.n - spec.span + 1).astype(np.int64)
-                name: list[bytes] = []
-                for seg in x.segs:
+                for part in x.parts(CHUNK // 8):
                     if spec.unit == "word":
-                        ends = [-1, *[i for i, v in enumerate(seg) if v == 32], len(seg)]
-                        name += [_digest(seg[i + 1 : j]) for i, j in zip(ends, ends[spec.span :])]
+                        data = np.frombuffer(b" ".join(part.segs), np.uint8)
+                        ws, we, _ = words(data, np.array([0, len(data)]))
+                        units = word_hashes(data, ws, we)
                     else:
-                        name += [_digest(seg[j : j + spec.span]) for j in range(len(seg) - spec.span + 1)]
-                total = len(name)
-                # the window is its own seed
-                h = np.frombuffer(b"".join(name), np.int64)[::2]
-                lo = np.repeat(x.lo, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(name, pa.binary()), pa.array([key] * total, b.column(0).type), pa.array(lo, pa.int32()), pa.array(np.full(total, spec.span), pa.int32()), pa.array(np.repeat(x.c.to_numpy(), count))], names=["h", "s", "key", "lo", "n", "c"])
-
-    return with_text(texts, segs).mapInArrow(run, _schema(segs, "h long, s binary", "lo int, n int, c long"))
+                        data = np.frombuffer(b"".join(part.segs), np.uint8)
+                        units = BYTE[data]
+                    for a, z in _bounded(part.n, CHUNK):
+                        offs = np.concatenate([[0], np.cumsum(part.n[a:z])])
+                        begin = int(part.n[:a].sum())
+                        s = seeds(finer, Pieces(units[begin : begin + offs[-1]], offs, np.arange(a, z), part.lo[a:z]))
+                        first, last = begin + s["at"], begin + s["at"] + s["hi"] - s["lo"] + spec.span
+                        if spec.unit == "word":
+                            first, last = ws[first], we[last - 1]
+                        name = [_digest(data[i:j]) for i, j in zip(first.tolist(), last.tolist())]
+                        doc = pa.array(s["doc"])
+                        h = mix(part.h.to_numpy().view(np.uint64)[s["doc"]] * np.uint64(0x9E3779B97F4A7C15) + s["h"])
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(name, pa.binary()), pa.array([key] * len(name), b.column(0).type), pa.array(s["lo"], pa.int32()), pa.array(s["hi"] - s["lo"] + spec.span, pa.int32()), part.c.take(doc)], names=["h", "s", "key", "lo", "n", "c"])
+
+    return with_text(texts, places).mapInArrow(run, _schema(places, "h long, s binary", "lo int, n int, c long"))
+
+
+def _bounded(n: np.ndarray, limit: int):
+    """Runs of segments of at most limit units together, or of one."""
+    end = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        z = max(a + 1, int(np.searchsorted(end, end[a] - n[a] + limit, "right")))
+        yield a, z
+        a = z
 
 
 @dataclass
@@ -313,13 +330,14 @@ class Found:
     """info: key, n, sha of every document, and rep, the first document of equal text;
     texts: key, size, c (equal texts), text of first documents with repeated seeds;
     segs: h, s, n, c (occurrences), key and lo (the earliest), each different segment once;
-    places: h, s, key, lo, c of every occurrence in texts; several: h of seeds with several
-    different segments."""
+    places: h, s, key, lo, c of every occurrence in texts; shared: h, m of seeds with several
+    (m) different segments; several: those that make a deal, the others being refined."""
 
     info: DataFrame
     texts: DataFrame
     segs: DataFrame
     places: DataFrame
+    shared: DataFrame
     several: DataFrame
 
 
@@ -342,16 +360,21 @@ def find(spec: Spec, base: DataFrame) -> Found:
     texts = x.select("key", "size", "c", "text")
     places = materialize(_segments(spec, x), "places")
     segs = materialize(_once_each(places), "segments")
-    # seeds with too many different segments for one deal
-    many = materialize(segs.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > spec.hot).select("h"), "hot-seeds")
-    if many.limit(1).count():
-        fine = materialize(_windows(spec, texts, places.join(many, "h", "left_semi")), "hot-windows")
-        kept = materialize(segs.join(many, "h", "left_anti").unionByName(_once_each(fine).where("c > 1")), "segments")
-        places = materialize(places.join(many, "h", "left_anti").unionByName(fine.join(kept.select("h", "s"), ["h", "s"], "left_semi")), "places")
-        discard(fine, segs)
-        segs = kept
-    several = materialize(segs.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "seeds-in-several")
-    return Found(info, texts, segs, places, several)
+    # seeds with too many different segments for one deal; their own segments take part in none
+    shared, k, now = _shared(segs), spec.k, places
+    hot = shared.where(F.col("m") > spec.hot).select("h")
+    while k < spec.span and hot.limit(1).count():
+        k = (k + spec.span + 1) // 2
+        now = materialize(_refined(spec, k, texts, now.join(hot, "h", "left_semi")), "refined")
+        finer = materialize(_once_each(now), "segments")
+        more = _shared(finer)
+        hot = more.where(F.col("m") > spec.hot).select("h")
+        segs, places, shared = segs.unionByName(finer), places.unionByName(now), shared.unionByName(more)
+    return Found(info, texts, segs, places, shared, shared.where(F.col("m") <= spec.hot).select("h"))
+
+
+def _shared(segs: DataFrame) -> DataFrame:
+    return materialize(segs.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "shared-seeds")
 
 
 def _once_each(places: DataFrame) -> DataFrame:

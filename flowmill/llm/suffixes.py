@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import discard, grouped, materialize, scratch, window_hashes
+from flowmill.llm.common import grouped, materialize, scratch, window_hashes
 from flowmill.llm.repeats import BYTE, Spec, _schema, cut_out, find, keyed, merged, segment_texts, with_text
 
 SPAN = 100
@@ -54,7 +54,7 @@ def _named(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         one = keys[0].astype(np.int64)
         for k, t in zip(keys[1:], top[1:]):
             one = one * t + k
-        order = np.argsort(one, kind="stable")
+        order = np.argsort(one)
         new = np.diff(one[order]) != 0
     else:
         order = np.lexsort(keys[::-1])
@@ -158,13 +158,14 @@ def _alike(span: int, text: np.ndarray, pos: np.ndarray, ends: np.ndarray, c: np
 
 def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray, c: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """segs: different segments, with the rank of their first document, their place in it, how often
-    they occur, and whether one continues the segment before. Repeated windows (segment, window,
-    whether that one starts earlier elsewhere too), by adjacent prefixes of the suffix array."""
-    span, none = spec.span, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    they occur, and whether one continues the segment before. Where they stand when laid end to
+    end; the places of repeated windows, by adjacent prefixes of the suffix array; and of those
+    that start earlier elsewhere."""
+    span, none = spec.span, np.zeros(0, np.int64)
     whole, pos, ends = _laid_out(span, segs, joined)
     a, z = _alike(span, whole, pos, ends, c)
     if not len(a):
-        return none
+        return pos, none, none
     # the runs, each with a separator after it: letter 1, which no byte uses
     size = z - a + 1
     start = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -173,8 +174,10 @@ def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray, c: n
     letters = text.astype(np.int64) + 2
     letters[start + size - 1] = 1
     sa = suffix_array(letters)
-    run = np.searchsorted(start, sa, "right") - 1
-    sa = sa[sa - start[run] + span < size[run]]
+    window = np.ones(len(letters), bool)  # where a whole window begins
+    for k in range(span):
+        window[(start + size - 1 - k)] = False
+    sa = sa[window[sa]]
     text = np.append(text, np.zeros(8, np.uint8))
     at8 = np.lib.stride_tricks.sliding_window_view(text, 8)
     same = np.ones(len(sa) - 1, bool)
@@ -183,38 +186,43 @@ def engine(spec: Spec, segs: list[bytes], rank: np.ndarray, lo: np.ndarray, c: n
         same[left] = at8[sa[left] + k].view(np.uint64).ravel() == at8[sa[left + 1] + k].view(np.uint64).ravel()
     for k in range(span) if span < 8 else []:
         same &= text[sa[:-1] + k] == text[sa[1:] + k]
-    group = np.concatenate([[0], np.cumsum(~same)])
+    begin = np.flatnonzero(np.concatenate([[True], ~same]))
     place = source[sa]
     seg = np.searchsorted(pos, place, "right") - 1
-    # how often a group's string occurs: each of its places as often as the segment
-    many = np.bincount(group, weights=c[seg])[group] > 1
-    place, group, seg = place[many], group[many], seg[many]
+    # how often a string occurs: each of its places as often as the segment
+    times = np.add.reduceat(c[seg], begin)
+    count = np.diff(np.append(begin, len(sa)))
+    repeated = np.sort(place[np.repeat(times > 1, count)])
+    shared = np.repeat(count > 1, count)
+    place, seg, group = place[shared], seg[shared], np.repeat(np.arange(len(begin)), count)[shared]
     if not len(seg):
-        return none
-    win = place - pos[seg]
-    o = np.lexsort((lo[seg] + win, rank[seg], group))
-    seg, win = seg[o], win[o]
+        return pos, repeated, none
+    at = lo[seg] + place - pos[seg]
+    o = np.lexsort((at, rank[seg], group))
     head = np.concatenate([[True], np.diff(group[o]) != 0])
     # one place of one document may be in two segments of a deal: it is not later than itself
-    r, p, which = rank[seg], lo[seg] + win, np.cumsum(head) - 1
-    return seg, win, (r != r[head][which]) | (p != p[head][which])
+    r, p, which = rank[seg[o]], at[o], np.cumsum(head) - 1
+    later = (r != r[head][which]) | (p != p[head][which])
+    return pos, repeated, np.sort(place[o][later])
 
 
-def _runs(span: int, seg: np.ndarray, win: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that follow or overlap one another as runs [a, z) of a segment."""
-    o = np.lexsort((win, seg))
-    seg, win = seg[o], win[o]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(seg) != 0) | (np.diff(win) > span)])) if len(seg) else np.zeros(0, np.int64)
-    last = np.append(new[1:], len(seg))[: len(new)] - 1
-    return seg[new], win[new], win[last] + span
+def _runs(span: int, pos: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows at these places that follow or overlap one another as runs [a, z) of a segment."""
+    if not len(at):
+        return at, at, at
+    seg = np.searchsorted(pos, at, "right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(seg) != 0) | (np.diff(at) > span)]))
+    last = np.append(new[1:], len(at)) - 1
+    return seg[new], at[new] - pos[seg[new]], at[last] - pos[seg[new]] + span
 
 
 def _settled(find: Callable, spec: Spec, key: pa.Array, h: pa.Array, s: pa.Array, lo: np.ndarray, c: np.ndarray, segs: list[bytes], joined: np.ndarray) -> pa.RecordBatch:
     """Rows h, s, key, lo, later, a, b: units of a segment that are covered, in its earliest place
     (key, lo) or else (later) in all its other ones."""
     rank = pc.rank(key, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-    seg, win, earlier = find(spec, segs, rank, lo, c, joined)
-    first, again = _runs(spec.span, seg[earlier], win[earlier]), _runs(spec.span, seg[c[seg] > 1], win[c[seg] > 1])
+    pos, repeated, earlier = find(spec, segs, rank, lo, c, joined)
+    first, again = _runs(spec.span, pos, earlier), _runs(spec.span, pos, repeated)
+    again = tuple(x[c[again[0]] > 1] for x in again)
     of, a, b = (np.concatenate(x) for x in zip(first, again))
     later = np.arange(len(of)) >= len(first[0])
     t = pa.array(of)
@@ -268,9 +276,8 @@ def covered(spec: Spec, base: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = find(spec, base)
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deals = segment_texts(spec, found.texts, found.segs.join(found.several, "h", "left_semi")).repartition(parts, "h").sortWithinPartitions("h")
-    lone = with_text(found.texts, found.segs.where("c > 1").join(found.several, "h", "left_anti"))
+    lone = with_text(found.texts, found.segs.where("c > 1").join(found.shared.select("h"), "h", "left_anti"))
     cover = materialize(compare_deals(spec, deals).unionByName(compare_stretches(spec, lone)), "covered")
-    discard(found.segs)
     run = [(F.col("lo") + F.col(x)).alias(x) for x in "ab"]
     first = cover.where("not later").select("key", F.lit(False).alias("copy"), *run)
     other = cover.where("later").select("h", "s", F.col("key").alias("k0"), F.col("lo").alias("l0"), "a", "b")

@@ -6,16 +6,20 @@ likelihood ratio, so that inflected and foreign insults count too), how close su
 stand to a second-person word, and the rates of capitals, punctuation, exclamation marks, digits,
 characters that replace letters inside words, and letters repeated three times or more.
 
-Labels are used of rows outside the held-out third only, and of at most `max_rows` of them,
-chosen by a hash of the id. They form two folds. Each fold's features use the lexicon of the
+Labels are used of rows outside the held-out third only, and of about `max_rows` of them,
+chosen by a hash of the id; where ids repeat in documents, of about as many different texts,
+chosen by a hash of the text. They form two folds. Each fold's features use the lexicon of the
 other, and the trees that calibrate a fold are fitted on the other, so that neither lexicon
 nor calibration sees a row twice; the final lexicon and trees use both folds. Everything
 collected is bounded: max_rows rows of 18 numbers and the lexicon.
 
 Defined cases: a null or empty text scores as a text without words; ids that repeat or are
 null score row by row; a null id counts as the text "" in the split; labels that contradict
-each other for an id count as toxic if any says so; without labels of both kinds each score
-is the base rate, drawn towards 0 (one pseudo-count for, nine against).
+each other for an id count as toxic if any says so; equal texts with equal labels are learnt
+from once; entries that tie for the lexicon are taken in order of their letters; without labels
+of both kinds each score is the base rate, drawn towards 0 (one pseudo-count for, nine
+against); a very long text is scored whole; an empty table gives no rows; other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -134,7 +138,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     n = y.count()
     if n > max_rows:  # a fixed part of all hashes
         y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(y), "doc_id").select("text", "toxic", _remainder().cast("int").alias("fold"))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(y), "doc_id").select("text", "toxic", _remainder().cast("int").alias("fold"))
+    rows = materialize(rows.dropDuplicates(["text", "toxic", "fold"]), "toxicity-rows")
+    n = rows.count()
+    return rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * max_rows / n)) if n > 1.1 * max_rows else rows
 
 
 def _gram_counts(rows: DataFrame) -> DataFrame:
@@ -178,7 +185,7 @@ def _lexicon(counts: DataFrame, toxic, other, n_toxic: int, n_other: int, entrie
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, entries: int = ENTRIES) -> Model:
-    rows = materialize(training_rows(docs, labels, max_rows), "toxicity-rows")
+    rows = training_rows(docs, labels, max_rows)
     counts = materialize(_gram_counts(rows), "toxicity-grams")
     size = {(r.fold, int(r.toxic > 0)): r.n for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     s = lambda *folds: [sum(size.get((f, t), 0) for f in folds) for t in (1, 0)]

@@ -12,14 +12,16 @@ The writer finds cached colours and repeats of four pixels by sorting, for all i
 batch at once, so it does not depend on which images share a batch. Code lengths come from
 giving every symbol that occurs one leaf, dealing the other leaves out in proportion, and
 spending what is left over on the most frequent symbols of each length: complete codes of
-bounded length. It uses the palette where few colours make up an image; the other
-transforms rarely help with text and are applied on request.
+bounded length. It uses the palette where few colours make up an image. Predictor, cross-colour
+and subtract-green only ever lengthen text, whose neighbouring bytes are no gradients: they are
+written on request, and the reader inverts them in whatever stream it is given.
 
 Text as an image: three bytes a pixel, 64 pixels a row, padded by spaces.
 
 Defined cases: a null text is empty: one row of spaces; a text beyond 16,384 rows gets wider
 rows, and a chunk PLEN keeps its length; beyond 16,384 x 16,384 pixels (805 MB) a ValueError
-says so; a damaged stream raises ValueError.
+says so; a damaged stream raises ValueError; rows are written one by one, so repeated ids and
+rows give equal values; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ LANES, FEW = 2048, 64
 #: Images that are written at once: few enough for a processor's cache.
 TOGETHER = 64
 _HASH = 0x1E35A7BD
+#: Bits of a pixel's place in a batch of images; image and cache slot take 13 more.
+_PLACE = np.uint64(40)
 _MIN_COPY, _MAX_COPY, _WINDOW = 4, 4096, (1 << 20) - 120
 
 # Fixed values of the format: the order in which lengths of the code-length code are stored.
@@ -213,10 +217,10 @@ def entropy_coded(images: list[np.ndarray], main: bool, heads: list[str] | None
     left = np.repeat(offs[1:], n) - np.arange(len(pix))
     # cached colours: the last pixel before this one in the same slot has the same colour
     slot = ((pix.astype(np.uint64) * np.uint64(_HASH)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
-    s = np.sort((((img.astype(np.uint64) << np.uint64(cache_bits)) | slot) << np.uint64(26)) | np.arange(len(pix), dtype=np.uint64))
-    place = (s & np.uint64((1 << 26) - 1)).astype(np.int64)
+    s = np.sort((((img.astype(np.uint64) << np.uint64(cache_bits)) | slot) << _PLACE) | np.arange(len(pix), dtype=np.uint64))
+    place = (s & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
     cached = np.zeros(len(pix), bool)
-    cached[place[1:]] = ((s[1:] >> np.uint64(26)) == (s[:-1] >> np.uint64(26))) & (pix[place[1:]] == pix[place[:-1]])
+    cached[place[1:]] = ((s[1:] >> _PLACE) == (s[:-1] >> _PLACE)) & (pix[place[1:]] == pix[place[:-1]])
     start, size, dist = _copies(pix, img, left)
     kind = np.where(cached, 1, 0).astype(np.int8)  # 0 literal, 1 cached, 2 copy, 3 inside a copy
     if len(start):

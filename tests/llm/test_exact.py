@@ -163,15 +163,15 @@ def test_nothing_goes_without_the_engines(spark, documents, monkeypatch):
     """Candidate search removes nothing by itself: every removal is the automata's or the arrays'."""
     none = np.zeros(0, np.int64)
     monkeypatch.setattr(suffixes, "suffix_array", lambda s: none)
-    monkeypatch.setattr(suffixes, "engine", lambda *a: (none, none, np.zeros(0, bool)))
+    monkeypatch.setattr(suffixes, "engine", lambda *a: (none, none, none))
     monkeypatch.setattr(phrases, "locate", lambda *a: None)
     assert suffixes.remove(documents[0]).where("n_removed > 0").count() == 0
     assert phrases.remove(documents[0]).where("n_removed > 0").count() == 0
 
 
 def test_automata_in_shards_and_blocks(spark, documents, monkeypatch):
-    """Few words to an automaton, few documents to a block, several blocks to a task."""
-    for name, v in {"SHARD": 300, "BLOCK": 20_000, "TASKS": 3, "STEP": 100}.items():
+    """Few words to an automaton, few documents to a block."""
+    for name, v in {"SHARD": 300, "BLOCK": 20_000, "STEP": 100}.items():
         monkeypatch.setattr(phrases, name, v)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.remove(documents[0]).collect()}
     assert got == brute_words(documents[1], 20)
