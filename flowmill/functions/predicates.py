@@ -41,16 +41,20 @@ def has_wildcard(pattern: Column) -> Column:
     return pattern.rlike(r"(^|\.)[*#](\.|$)")
 
 
+def match_any(args: Column) -> Column:
+    """Whether a headers binding wants any of its pairs, and not all."""
+    return F.coalesce((args["x-match"]["v"] == "any") & (args["x-match"]["t"] == "S"), F.lit(False))
+
+
 def headers_match(args: Column, headers: Column) -> Column:
     """x-match any needs one equal header, anything else all; without arguments nothing matches."""
     wanted = F.map_filter(args, lambda k, v: k != "x-match")
     same = lambda e: F.coalesce(headers[e["key"]] == e["value"], F.lit(False))
-    mode = F.coalesce((args["x-match"]["v"] == "any") & (args["x-match"]["t"] == "S"), F.lit(False))
     return (
         F.when(args.isNull() | (F.size(args) == 0), False)
         .when(F.size(wanted) == 0, True)
         .when(headers.isNull(), False)
-        .when(mode, F.exists(F.map_entries(wanted), same))
+        .when(match_any(args), F.exists(F.map_entries(wanted), same))
         .otherwise(F.forall(F.map_entries(wanted), same))
     )
 
@@ -150,7 +154,7 @@ MEMORY, DISK = 1, 2
 
 
 def alarm_reason(bits: Column) -> Column:
-    """P10: the text of a latched alarm."""
+    """P10: the text of a latched alarm (fixed values)."""
     return F.when(bits == MEMORY | DISK, "low on disk & memory").when(bits == MEMORY, "low on memory").when(bits == DISK, "low on disk").otherwise("")
 
 
@@ -168,7 +172,7 @@ def short_string(text: Column, limit: int = 255) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
 
 
-#: Presence bits of the optional properties, highest first.
+# The optional properties in the order of their presence bits, highest first.
 PROPERTIES = ("content_type", "content_encoding", "headers", "delivery_mode", "priority", "correlation_id", "reply_to", "expiration", "message_id", "timestamp", "type", "user_id", "app_id", "cluster_id")
 
 

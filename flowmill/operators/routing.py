@@ -6,14 +6,19 @@ time into two joins: direct keys and topic patterns without wildcards are equi-j
 their predicates side by side. So the messages are read twice, not once a kind. Bindings are
 joined without a hint: the optimizer broadcasts them where their size allows. Message bodies never
 go through here.
+
+An exchange with very many wildcard or header bindings would compare each of its messages with
+each of them, under one join key. `indexed` joins on (exchange, what a match needs) instead: a
+pattern's first literal word, else its last one, else its number of words; a header pair. Only
+bindings that any message fits are then compared with all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.functions.predicates import has_wildcard, headers_match, topic_regex, topic_subject
+from flowmill.functions.predicates import has_wildcard, headers_match, match_any, topic_regex, topic_subject
 
 KINDS = ("direct", "fanout", "topic", "headers")
 
@@ -22,10 +27,55 @@ def _with_kind(bindings: DataFrame, exchanges: DataFrame, by: str) -> DataFrame:
     return bindings.join(exchanges.select(F.col("name").alias(by), "kind"), by)
 
 
-def matched(messages: DataFrame, bindings: DataFrame, exchanges: DataFrame, source: str = "exchange", target: str = "queue") -> DataFrame:
+ANY = "*"
+
+
+def _pair_key(e: Column) -> Column:
+    return F.concat_ws("\x1f", F.lit("h"), e["key"], e["value"]["t"], e["value"]["v"])
+
+
+def _word_keys(words: Column) -> list[Column]:
+    return [F.concat(F.lit("f."), F.element_at(words, 1)), F.concat(F.lit("l."), F.element_at(words, -1)), F.concat(F.lit("n."), F.size(words).cast("string"))]
+
+
+def _needed(kind: Column, pattern: Column, args: Column | None) -> Column:
+    """What a message must have, one of them at least, for a binding to match."""
+    words = F.split(pattern, r"\.")
+    wild = lambda w: w.isin("*", "#")
+    first, last, count = _word_keys(words)
+    topic = F.when(~wild(F.element_at(words, 1)), first).when(~wild(F.element_at(words, -1)), last).when(~F.array_contains(words, "#"), count).otherwise(ANY)
+    out = F.when(kind == "topic", F.array(topic))
+    if args is not None:
+        pairs = F.transform(F.map_entries(F.map_filter(args, lambda k, v: k != "x-match")), _pair_key)
+        out = out.when((kind == "headers") & (F.size(pairs) > 0), F.when(match_any(args), pairs).otherwise(F.array(F.array_min(pairs))))
+    return out.otherwise(F.array(F.lit(ANY)))
+
+
+def _offered(messages: DataFrame) -> Column:
+    """What a message has."""
+    out = F.array(F.lit(ANY), *_word_keys(F.split(messages["routing_key"], r"\.")))
+    if "headers" in messages.columns:
+        out = F.concat(out, F.coalesce(F.transform(F.map_entries(messages["headers"]), _pair_key), F.array().cast("array<string>")))
+    return F.array_distinct(out)
+
+
+def _by_needs(messages: DataFrame, rest: DataFrame, keep: list[str], target: str) -> DataFrame:
+    """The join of matched() by exchange and need. A binding of several needs counts by the least."""
+    m = messages.withColumn("_has", F.explode(_offered(messages)))
+    args = F.col("_args") if "_args" in rest.columns else None
+    b = rest.withColumn("_need", F.explode(_needed(F.col("_kind"), F.col("_pattern"), args)))
+    x = m.join(b, (m["exchange"] == b["_from"]) & (m["_has"] == b["_need"]) & _fits(m, b))
+    if args is not None and "headers" in messages.columns:
+        met = F.filter(F.map_entries(F.map_filter(args, lambda k, v: k != "x-match")), lambda e: F.coalesce(m["headers"][e["key"]] == e["value"], F.lit(False)))
+        x = x.where((F.col("_need") == ANY) | (F.col("_kind") != "headers") | ~match_any(args) | (F.col("_need") == F.array_min(F.transform(met, _pair_key))))
+    return x.select(*[m[c] for c in keep], F.col("_to").alias(target))
+
+
+def matched(messages: DataFrame, bindings: DataFrame, exchanges: DataFrame, source: str = "exchange", target: str = "queue", indexed: bool = False) -> DataFrame:
     """messages with each `target` whose binding on its `exchange` matches; once per binding.
 
-    bindings: source, target, routing_key, and arguments where headers exchanges are used.
+    bindings: source, target, routing_key, and arguments where headers exchanges are used. indexed:
+    for exchanges with very many wildcard or header bindings.
     """
     b = _with_kind(bindings, exchanges, source)
     args = [F.col("arguments").alias("_args")] if "arguments" in bindings.columns else []
@@ -35,6 +85,8 @@ def matched(messages: DataFrame, bindings: DataFrame, exchanges: DataFrame, sour
     keep = [*[messages[c] for c in messages.columns], F.col("_to").alias(target)]
     by_key = messages.join(b.where(literal).select("_from", "_to", "_pattern"), here & (messages["routing_key"] == F.col("_pattern"))).select(*keep)
     rest = b.where(~literal).withColumn("_regex", topic_regex(F.col("_pattern")))
+    if indexed:
+        return by_key.union(_by_needs(messages, rest, messages.columns, target))
     return by_key.union(messages.join(rest, here & _fits(messages, rest)).select(*keep))
 
 
@@ -91,12 +143,12 @@ def reached_exchanges(messages: DataFrame, xbindings: DataFrame, exchanges: Data
     return out.dropDuplicates(["delivery_tag", "exchange"]) if hops > 1 else out
 
 
-def route(messages: DataFrame, queues: DataFrame, bindings: DataFrame, exchanges: DataFrame, xbindings: DataFrame | None = None, hops: int = 0) -> DataFrame:
+def route(messages: DataFrame, queues: DataFrame, bindings: DataFrame, exchanges: DataFrame, xbindings: DataFrame | None = None, hops: int = 0, indexed: bool = False) -> DataFrame:
     """Each message with each queue it reaches, once."""
     own = messages.where(F.col("exchange") != "")
     if xbindings is not None and hops:
         own = reached_exchanges(own, xbindings, exchanges, hops)
-    named = matched(own, bindings, exchanges).drop("exchange")
+    named = matched(own, bindings, exchanges, indexed=indexed).drop("exchange")
     direct = default_exchange(messages, queues).drop("exchange").select(named.columns)
     return named.dropDuplicates(["delivery_tag", "queue"]).union(direct)
 

@@ -83,6 +83,25 @@ def test_fold_orders_requeued_first_and_gates_prefetch(spark):
     assert got == [(1, "accepted", 1), (2, "accepted", 2), (3, "delivered", 1), (4, "blocked", None), (5, "requeued", 1), (6, "accepted", 3), (6, "evicted", 1), (7, "accepted", 4), (7, "evicted", 2), (8, "delivered", 3), (9, "late", 1), (10, "late", 1), (11, "blocked", None), (12, "delivered", 4)]
 
 
+def test_indexed_bindings_match_alike(spark):
+    """Wildcards and header pairs by what they need: the same copies, once per binding."""
+    r = random.Random(4)
+    word = lambda: r.choice(["a", "b", "c", "x1", ""])
+    pair = lambda: (r.choice("klm"), r.choice(["I", "S"]), str(r.randint(0, 2)))
+    kind = "map<string,struct<t:string,v:string>>"
+    table = lambda ps: {k: (t, v) for k, t, v in ps}
+    m = [(i, r.choice(["t", "h", "f", "odd"]), ".".join(word() for _ in range(r.randint(0, 4))), table(pair() for _ in range(r.randint(0, 3))) if i % 7 else None) for i in range(300)]
+    b = [(f"q{i}", "t", ".".join(r.choice(["*", "#", "a", "b", "c", ""]) for _ in range(r.randint(1, 4))), None) for i in range(60)]
+    b += [(f"h{i}", "h", "", {**table(pair() for _ in range(r.randint(0, 3))), **({"x-match": ("S", r.choice(["any", "all"]))} if i % 3 else {})}) for i in range(60)]
+    b += [("none", "h", "", None), ("f1", "f", "x", None), ("odd", "odd", "#", None)]
+    messages = spark.createDataFrame(m, f"delivery_tag long, exchange string, routing_key string, headers {kind}")
+    bindings = spark.createDataFrame(b, f"queue string, exchange string, routing_key string, arguments {kind}")
+    exchanges = spark.createDataFrame([("t", "topic"), ("h", "headers"), ("f", "fanout"), ("odd", "random")], "name string, kind string")
+    cols = lambda x: sorted((c.delivery_tag, c.queue) for c in x.collect())
+    plain = cols(routing.matched(messages, bindings, exchanges))
+    assert plain and cols(routing.matched(messages, bindings, exchanges, indexed=True)) == plain
+
+
 class Queue:
     """A plain queue with limits, one step at a time: messages in the order in which they would be claimed."""
 
