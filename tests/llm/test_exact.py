@@ -325,6 +325,22 @@ def test_repeated_rows_are_candidates_and_lengths_differ(spark):
     assert got == sorted([(0, 1, 0, 2.0), (0, 2, 3, 1.0), (0, 3, 3, 1.0), (0, 1, 0, 2.0), (0, 2, 3, 2.0), (0, 3, 3, 2.0), (40, 1, 41, 3.0)])
 
 
+def test_a_common_vector_does_not_multiply(spark, monkeypatch):
+    """Half of all rows are one vector: the smallest ids win, and survivors stay few."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [3.0, 1.0, 2.0] if i % 2 else rng.normal(size=3).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(neighbours, "_pruned", lambda found, k, own=neighbours._pruned: (seen.append(found.count()), own(found, k))[1])
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, 5, 3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, x in rows[::3]:
+        want = sorted((-float(np.add.accumulate(np.array(x) * np.array(y))[-1]), i) for i, y in rows if i != q)[:5]
+        assert got.pop(q) == [(i, -s + 0.0) for s, i in want]
+    assert not got and seen[0] < 200 * 32 * 12
+
+
 @pytest.mark.parametrize(("blocks", "tile"), [(7, 11), (100, 1), (1000, 100)])
 def test_blocks_and_tiles(spark, monkeypatch, blocks, tile):
     """Any size of blocks, tiles and steps, and wide ranges of length: the exact neighbours."""

@@ -464,3 +464,49 @@ def test_many_declared_values_are_all_languages(spark):
 def test_language_shares():
     assert langid.shares({"a": 10, "b": 1000, "c": 3000}, 110) == {"a": 1.0, "b": 0.05, "c": 50 / 3000}
     assert langid.shares({"a": 10, "b": 20}, 100) == {"a": 1.0, "b": 1.0}
+
+
+# ------------------------------------------------------------ any table
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null and repeated ids, repeated rows, a long text, and columns named like those used inside."""
+    rows = [(None, "a null id", "en", "s"), (None, "a null id", "en", "s"), (1, None, None, None), (1, "", "en", "s"), (2, "long words here " * 60_000, "en", "t.de"), (3, "you idiot!!!", "xx", "S"), (3, "you idiot!!!", "xx", "S")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for c in ("_id", "_text", "key", "row", "n", "size", "media", "score", "kept", "_row", "_key", "_host", "lang_id", "ids", "n_tokens", "src", "cls", "pareto", "copies", "last", "bucket"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def labelled(spark):
+    return spark.createDataFrame([(3, 1, 1), (1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+RUNS = {
+    "webp": lambda spark, df: webp.media_column(df),
+    "langid": lambda spark, df: langid.identify(df),
+    "mixing": lambda spark, df: mixing.plan(df),
+    "toxicity": lambda spark, df: toxicity.score(df, toxicity.learn(df, labelled(spark))),
+    "bpe": lambda spark, df: bpe.bpe(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_awkward_tables(spark, awkward, name):
+    rows = RUNS[name](spark, awkward).collect()
+    assert Counter(r.doc_id for r in rows) == {None: 2, 1: 2, 2: 1, 3: 2}
+    twins = [tuple(r) for r in rows if r.doc_id == 3]
+    assert twins[0] == twins[1]
+    assert RUNS[name](spark, awkward.limit(0)).collect() == []
+
+
+def test_columns_pass_through(spark, awkward):
+    assert langid.accepted(awkward).dtypes == mixing.mix(awkward).dtypes == awkward.dtypes
+
+
+def test_labelled_ids_that_repeat_are_bounded(spark):
+    """One labelled id holds all rows: what is learnt from stays about max_rows."""
+    docs = spark.range(0, 4000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(docs, labels, 500).count() < 700
