@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, value. A file is one task: benchmark files are small, and their sections
-    need their order."""
+    """file, line_no, value. A file is one value of one task, so it must stay below 2 GB: benchmark
+    output is small, and its sections need their order."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
