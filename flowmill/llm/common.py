@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -47,10 +48,43 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowmill/{name}-{uuid.uuid4().hex}"
 
 
-#: While a table is written: drop shuffle files afterwards, and hand Python small batches, as
+#: While tables are written: drop shuffle files afterwards, and hand Python small batches, as
 #: texts may be long.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20), "spark.sql.parquet.compression.codec": "zstd"}
-_scopes: list[list[DataFrame]] = []
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+_lock = threading.Lock()
+_writing: dict[int, tuple[int, dict]] = {}
+_local = threading.local()
+
+
+class _settings:
+    """The settings above, for as long as any thread writes in this session."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        with _lock:
+            n, was = _writing.get(id(self.spark), (0, {}))
+            if not n:
+                was = {k: self.spark.conf.get(k, None) for k in _WHILE_WRITING}
+                for k, v in _WHILE_WRITING.items():
+                    self.spark.conf.set(k, v)
+            _writing[id(self.spark)] = n + 1, was
+
+    def __exit__(self, *_) -> None:
+        with _lock:
+            n, was = _writing.pop(id(self.spark))
+            if n > 1:
+                _writing[id(self.spark)] = n - 1, was
+                return
+            for k, v in was.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+
+def _scopes() -> list[list[DataFrame]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -58,27 +92,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs only its own tasks. Its shuffle files go when it is written."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    was = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.parquet(path)
-    finally:
-        for k, v in was.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    with _settings(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._flowmill_path = path
-    if _scopes:
-        _scopes[-1].append(out)
+    if _scopes():
+        _scopes()[-1].append(out)
     return out
 
 
 class scratch:
-    """Tables that are materialized inside go at its end, except those kept."""
+    """Tables that this thread materializes inside go at its end, except those kept."""
 
     def __enter__(self) -> scratch:
         self.kept: list[DataFrame] = []
-        _scopes.append([])
+        _scopes().append([])
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -86,11 +114,11 @@ class scratch:
         return df
 
     def __exit__(self, *_) -> None:
-        mine = _scopes.pop()
+        mine = _scopes().pop()
         kept = [df for df in mine if any(df is k for k in self.kept)]
         discard(*[df for df in mine if not any(df is k for k in kept)])
-        if _scopes:
-            _scopes[-1] += kept
+        if _scopes():
+            _scopes()[-1] += kept
 
 
 def discard(*frames: DataFrame) -> None:

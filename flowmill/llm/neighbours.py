@@ -8,7 +8,9 @@ int8 matrices approximates all inner products of a tile, and with q = s u + e an
 
     |q.x - s t u.v| <= |e| |x| + |q| |f| + |e| |f|
 
-bounds how wrong each can be. A query keeps the k best lower bounds it has met; pairs whose
+bounds how wrong each can be. Of candidates that are equal vectors only the k + 1 with the
+smallest ids can be among the k best of any query but themselves; the others are left out before
+anything meets, by a ranking whose limit applies ahead of its shuffle. A query keeps the k best lower bounds it has met; pairs whose
 upper bound is below the least of these cannot be among its k best. What survives the tiles of
 one task is pruned once more by the bounds of all, and only the survivors, about k a query,
 fetch the original vectors: their inner products are computed in double precision, and heaps
@@ -27,12 +29,13 @@ names.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.llm.common import grouped, materialize
@@ -108,7 +111,7 @@ def prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _small(v: DataFrame) -> DataFrame:
-    """row, id, d, u (the int8 components), scale, error, norm."""
+    """row, id, d, u (the int8 components), scale, error, norm, same (digest of the vector)."""
 
     def run(it):
         for b in it:
@@ -119,9 +122,9 @@ def _small(v: DataFrame) -> DataFrame:
                 x = vec.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
                 u, scale, error, norm = quantised(x)
                 own = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(3), pa.array([r.tobytes() for r in u], pa.binary()), pa.array(scale), pa.array(error), pa.array(norm)], names=["row", "id", "d", "u", "scale", "error", "norm"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(3), pa.array([r.tobytes() for r in u], pa.binary()), pa.array(scale), pa.array(error), pa.array(norm), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in x], pa.binary())], names=["row", "id", "d", "u", "scale", "error", "norm", "same"])
 
-    return v.select("row", "id", "vec", "d").mapInArrow(run, "row long, id long, d int, u binary, scale double, error double, norm double")
+    return v.select("row", "id", "vec", "d").mapInArrow(run, "row long, id long, d int, u binary, scale double, error double, norm double, same binary")
 
 
 def _tiles(rows: DataFrame, k: int) -> DataFrame:
@@ -230,7 +233,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "v
     deal = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rest = ["row", "u", "scale", "error", "norm"]
-    x = small.select("d", every_one(blocks).alias("i"), deal(runs, 1).alias("r"), F.lit(1).alias("side"), *rest)
+    equal = F.row_number().over(Window.partitionBy("same").orderBy("id", "row"))
+    x = small.withColumn("equal", equal).where(F.col("equal") <= k + 1).select("d", every_one(blocks).alias("i"), deal(runs, 1).alias("r"), F.lit(1).alias("side"), *rest)
     a = small.where(asks).select("d", deal(blocks, 2).alias("i"), every_one(runs).alias("r"), F.lit(0).alias("side"), *rest)
     rows = a.unionByName(x).repartitionById(blocks * runs, F.col("i") * runs + F.col("r")).sortWithinPartitions("d", "i", "r", "side", "row")
     found = materialize(_tiles(rows, k), "tile-survivors")
