@@ -362,6 +362,30 @@ def interleaved_fold(spark, sf):
     return A.queue_fold(log, 50, "drop-head", 20).groupBy("queue", "outcome").agg(F.count("*").alias("steps"), F.sum("tag").alias("tags"))
 
 
+#: One step of every queue at a time: what is ready, what came back, what is held, and what happened.
+FOLD_SQL = f"""{QM.replace("with messages", "with recursive messages", 1)},
+e as (select queue, row_number() over (partition by queue order by tag) as n, ['publish', 'publish', 'publish', 'claim', 'claim', 'ack', 'requeue', 'discard'][k % 8 + 1] as action,
+  case when k % 8 < 5 then tag else tag - k - 1 end as tag, (user_id % 3)::varchar as consumer from m),
+f as (
+  select queue, 0::bigint as n, []::bigint[] as ready, []::bigint[] as again, []::struct(t bigint, c varchar)[] as held, null::varchar as outcome, null::bigint as tag, null::bigint as evicted from e group by queue
+  union all
+  select queue, n,
+    case when evicted is not null and len(again) = 0 then (ready || [arg])[2:] when outcome = 'accepted' then ready || [arg] when outcome = 'delivered' and len(again) = 0 then ready[2:] else ready end,
+    case when (evicted is not null or outcome = 'delivered') and len(again) > 0 then again[2:] when outcome = 'requeued' then again || [arg] else again end,
+    case when outcome = 'delivered' then held || [{{'t': head, 'c': consumer}}] when outcome in ('acked', 'requeued', 'discarded') then list_filter(held, lambda h: h.t <> arg) else held end,
+    outcome, case outcome when 'delivered' then head when 'blocked' then null when 'empty' then null else arg end, evicted
+  from (
+    select f.queue, e.n, ready, again, held, e.tag as arg, e.consumer, coalesce(again[1], ready[1]) as head,
+      case when action = 'publish' then 'accepted'
+           when action = 'claim' then case when len(list_filter(held, lambda h: h.c = e.consumer)) >= 20 then 'blocked' when len(ready) + len(again) > 0 then 'delivered' else 'empty' end
+           when len(list_filter(held, lambda h: h.t = e.tag)) = 0 then 'late'
+           else case action when 'ack' then 'acked' when 'requeue' then 'requeued' else 'discarded' end end as outcome,
+      case when action = 'publish' and len(ready) + len(again) >= 50 then coalesce(again[1], ready[1], e.tag) end as evicted
+    from f join e on e.queue = f.queue and e.n = f.n + 1)),
+o as (select queue, outcome, tag from f where n > 0 union all select queue, 'evicted', evicted from f where evicted is not null)
+select queue, outcome, count(*) as steps, sum(tag)::bigint as tags from o group by all"""
+
+
 QUERIES = {
     "policy_resolve": (policy_resolve, POLICY_SQL),
     "ttl_effective": (ttl_effective, f"{DEADLINES_SQL} select delivery_tag, enqueue_ms, ttl_ms, deadline_ms from dead"),
@@ -419,5 +443,5 @@ select channel, count(*) as requeued, max(tag) as last from d left join f using
     "consumer_cancel": (consumer_cancel, f"{DELIVERIES_SQL} select queue, consumer, count(*) as requeued from d left join f using (channel, wire_tag) where not no_ack and action is null and consumer in (1, 4) group by all"),
     "auto_deleted_queues": (auto_deleted_queues, f"""{QM}, c as (select distinct queue || '-' || k as queue, user_id from m) select queue from c where length(queue) % 2 = 0 group by queue having count(*) filter (user_id % 20 = 0) = 0"""),
     "consumer_offsets": (consumer_offsets, f"{DELIVERIES_SQL} select queue, consumer, max(tag) as \"offset\" from d join f using (channel, wire_tag) where action = 'ack' group by all"),
-    "interleaved_fold": (interleaved_fold, None),
+    "interleaved_fold": (interleaved_fold, FOLD_SQL),
 }
