@@ -18,8 +18,8 @@ times m add up to its target: the same sharing, once more. Then
    their words reach that size. A sample is of fixed size in words, as the targets are.
 
 No source is ever sorted. Words are added up by (source, bucket of ratio / (1 + ratio)), a
-partial aggregation; the running sums of at most `buckets` rows a source tell the bucket in
-which the sample ends. Only that bucket's documents are ordered. As the words to take are the
+partial aggregation; running sums over runs of buckets, and then over the buckets of one run (at
+most the root of `buckets` rows a source), tell the bucket in which the sample ends. Only that bucket's documents are ordered. As the words to take are the
 sum of p times words, the sample ends near a ratio of 1, where a bucket holds about
 4 p (1 - p) / `buckets` of a class: never more than an even share. Every document is then
 judged by itself against its source's last ratio, so texts do not move.
@@ -106,6 +106,18 @@ def _bucket(buckets: int) -> Column:
     return F.least(F.floor(F.col("pareto") / (1 + F.col("pareto")) * buckets), F.lit(buckets - 1)).cast("int")
 
 
+def _isqrt(n: int) -> int:
+    return max(1, int(n**0.5))
+
+
+def _reached(parts: DataFrame, by: list[str], name: str) -> DataFrame:
+    """parts: by, name (in order), words, before (of all parts), rest. Per source the last part that
+    begins before the rest is full: name, before (of that part), rest."""
+    earlier = Window.partitionBy(*by).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    x = parts.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(earlier), F.lit(0))).where("before <= rest")
+    return x.groupBy(*by).agg(F.max(name).alias(name), F.max("before").alias("before"), F.first("rest").alias("rest"))
+
+
 def _deal(b: DataFrame, weights, share: float, cap: int, buckets: int) -> DataFrame:
     """b: id, src, src_null, size, key, cls. One row per source and class: whole, p, and where
     the sample ends: bucket `edge`, and in it the tuple `last`."""
@@ -123,9 +135,12 @@ def _deal(b: DataFrame, weights, share: float, cap: int, buckets: int) -> DataFr
     rest = classes.groupBy(*by).agg(F.sum(F.col("p") * F.col("words")).alias("rest"))
     drawn = b.join(classes.select(*by, "cls", "p"), [*by, "cls"]).withColumn("pareto", _ratio()).where("pareto is not null").withColumn("bucket", _bucket(buckets))
     filled = materialize(drawn.groupBy(*by, "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = filled.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(rest, by).where("before <= rest")
-    edge = materialize(edge.groupBy(*by).agg(F.max("bucket").alias("edge"), F.max("before").alias("before"), F.first("rest").alias("rest")), "mix-edges")
+    # where a source's words reach the rest: among runs of buckets, then within one run
+    run = F.floor(F.col("bucket") / F.lit(_isqrt(buckets)))
+    found = rest.withColumn("before", F.lit(0).cast("long"))
+    edge = _reached(filled.withColumn("run", run).groupBy(*by, "run").agg(F.sum("words").alias("words")).join(found, by), by, "run")
+    edge = _reached(filled.withColumn("run", run).join(edge, [*by, "run"]), by, "bucket").withColumnRenamed("bucket", "edge")
+    edge = materialize(edge, "mix-edges")
     at = drawn.join(edge, by).where("bucket = edge").groupBy(*by, "pareto", "size", "id").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     inside = Window.partitionBy(*by).orderBy("pareto", "size", F.asc_nulls_first("id")).rowsBetween(Window.unboundedPreceding, -1)
     # the document across the edge is taken if that leaves the smaller error
