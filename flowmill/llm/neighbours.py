@@ -184,41 +184,65 @@ def _tiles(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _pruned(found: DataFrame, k: int) -> DataFrame:
-    """q, x: of what the tasks found, the pairs that can be among the k best of their query."""
+    """q, x: of what the tasks found, the pairs that can be among the k best of their query. The k best
+    lower bounds are picked ahead of a shuffle, and no query's pairs are gathered."""
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))
+    best = found.select("q", "low").withColumn("place", place).where(F.col("place") <= k)
+    least = materialize(best.groupBy("q").agg(F.when(F.count("*") == k, F.min("low")).alias("least")), "least-bounds")
+    return found.join(least, "q").where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("q", "x")
 
-    def run(it):
-        for t in grouped(it, ["q"], 1 << 20):
-            q, x, low, high = (t[c].to_numpy() for c in ("q", "x", "low", "high"))
-            begin = np.concatenate([[0], np.flatnonzero(np.diff(q)) + 1, [len(q)]])
-            least = np.array([np.partition(low[a:z], -k)[-k] if z - a >= k else -np.inf for a, z in zip(begin, begin[1:])])
-            keep = high >= np.repeat(least, np.diff(begin))
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(x[keep])], names=["q", "x"])
 
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(run, "q long, x long")
+class Heaps:
+    """The k best candidates of each query so far: by score, then by id."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.of: dict[tuple[int, int], list[tuple[float, int]]] = {}
+
+    def add(self, q: list, query_id: list, score: list, vec_id: list) -> None:
+        for a, i, s, v in zip(q, query_id, score, vec_id):
+            heap = self.of.setdefault((a, i), [])
+            heap.append((-s, v))
+            if len(heap) > 8 * self.k:
+                heap[:] = heapq.nsmallest(self.k, heap)
+
+    def rows(self):
+        """query, its id, place, candidate, score."""
+        for (q, i), heap in self.of.items():
+            for n, (s, v) in enumerate(heapq.nsmallest(self.k, heap), 1):
+                yield q, i, n, v, -s + 0.0
 
 
 def _merged(pairs: DataFrame, k: int) -> DataFrame:
-    """pairs: q, query_id, vec_id, qvec, vec -> query_id, rank, vec_id, score."""
+    """pairs: q, query_id, vec_id, qvec, vec -> query_id, rank, vec_id, score. Each partition keeps heaps
+    of its pairs, and only these are merged by query."""
 
     def score(it):
+        heaps = Heaps(k)
         for b in it:
             d = pc.list_value_length(b.column(3)).to_numpy()
             for size in np.unique(d):
                 own = b.take(pa.array(np.flatnonzero(d == size)))
                 q, x = (own.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for c in (3, 4))
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(dots(q, x) + 0.0)], names=["q", "query_id", "vec_id", "score"])
+                heaps.add(own.column(0).to_pylist(), own.column(1).to_pylist(), dots(q, x).tolist(), own.column(2).to_pylist())
+            if len(heaps.of) > 200_000:  # bounds memory; the rest meets in the merge
+                yield batch(heaps, False)
+                heaps = Heaps(k)
+        yield batch(heaps, False)
+
+    def batch(heaps: Heaps, last: bool) -> pa.RecordBatch:
+        cols = list(zip(*heaps.rows())) or [[]] * 5
+        kinds = (("q", pa.int64()), ("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (n, kind) in zip(cols, kinds) if not last or n != "q"], names=[n for n, _ in kinds if not last or n != "q"])
 
     def merge(it):
         for t in grouped(it, ["q"], 1 << 16):
-            heaps: dict[tuple[int, int], list] = {}
-            for q, i, v, s in zip(*(t[c].to_pylist() for c in ("q", "query_id", "vec_id", "score"))):
-                heaps.setdefault((q, i), []).append((-s, v))
-            rows = [(i, n, v, -s + 0.0) for (_, i), heap in heaps.items() for n, (s, v) in enumerate(heapq.nsmallest(k, heap), 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
+            heaps = Heaps(k)
+            heaps.add(*(t[c].to_pylist() for c in ("q", "query_id", "score", "vec_id")))
+            yield batch(heaps, True)
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = pairs.select("q", "query_id", "vec_id", "qvec", "vec").mapInArrow(score, "q long, query_id long, vec_id long, score double")
+    scored = pairs.select("q", "query_id", "vec_id", "qvec", "vec").mapInArrow(score, "q long, query_id long, rank int, vec_id long, score double")
     return scored.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
@@ -239,7 +263,9 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "v
     rows = a.unionByName(x).repartitionById(blocks * runs, F.col("i") * runs + F.col("r")).sortWithinPartitions("d", "i", "r", "side", "row")
     found = materialize(_tiles(rows, k), "tile-survivors")
     pairs = materialize(_pruned(found, k), "survivors")
-    full = pairs.join(v.select(F.col("row").alias("x"), F.col("id").alias("vec_id"), "vec"), "x").join(v.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("vec").alias("qvec")), "q")
+    # by candidate last: the pairs of one query are spread
+    full = pairs.join(v.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("vec").alias("qvec")), "q")
+    full = full.join(v.select(F.col("row").alias("x"), F.col("id").alias("vec_id"), "vec"), "x")
     return _merged(full, k)
 
 
