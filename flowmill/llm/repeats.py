@@ -66,7 +66,7 @@ class Spec:
     unit: str
     span: int
     k: int
-    hot: int = 1000
+    hot: int = 2000
     deal: int = 1 << 20
 
 
