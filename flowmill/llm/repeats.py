@@ -365,7 +365,9 @@ def find(spec: Spec, base: DataFrame) -> Found:
     hot = shared.where(F.col("m") > spec.hot).select("h")
     while k < spec.span and hot.limit(1).count():
         k = (k + spec.span + 1) // 2
-        now = materialize(_refined(spec, k, texts, now.join(hot, "h", "left_semi")), "refined")
+        large = materialize(now.join(few(hot), "h", "left_semi"), "hot-places")
+        now = materialize(_refined(spec, k, _only(texts, large.select("key").distinct()), large), "refined")
+        discard(large)
         finer = materialize(_once_each(now), "segments")
         more = _shared(finer)
         hot = more.where(F.col("m") > spec.hot).select("h")
@@ -399,6 +401,12 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() * KEY_BYTES <= FEW_BYTES else keys
 
 
+def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts without most of those that a join with keys (distinct) would shuffle in vain: where the
+    keys are few, other texts are dropped before it."""
+    return texts.join(F.broadcast(keys), "key", "left_semi") if keys.count() * KEY_BYTES <= FEW_BYTES else texts
+
+
 def _with_text(base: DataFrame, cand: DataFrame) -> DataFrame:
     """Candidates' texts. Where the keys are few, other texts are dropped before the shuffle."""
     docs = base.select("key", "text")

@@ -159,6 +159,22 @@ def test_words_odd(spark, hot):
     assert got == brute_words(ODD, 20)
 
 
+@pytest.mark.parametrize("few", [0, 32 << 20])
+def test_refining_moves_the_texts_of_hot_seeds_only(spark, monkeypatch, few):
+    """Texts without a hot seed are not joined again; where the keys are too many to be sent, all are."""
+    rng = np.random.default_rng(11)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    core, twice = line(30), [line(30) for _ in range(5)]
+    hot = [(i, f"{line(9)} {core} {line(7)}") for i in range(8)]
+    docs = hot + [(100 + i, f"{line(9)} {twice[i // 2]} {line(7)}") for i in range(10)]
+    moved, refined = [], repeats._refined
+    monkeypatch.setattr(repeats, "FEW_BYTES", few)
+    monkeypatch.setattr(repeats, "_refined", lambda spec, k, texts, places: moved.append({r.key for r in texts.select("key").collect()}) or refined(spec, k, texts, places))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.remove(odd(spark, docs), repeats.Spec("word", 20, 7, hot=3)).collect()}
+    assert got == brute_words(docs, 20)
+    assert moved and len(moved[0]) == (len(hot) if few else len(docs))
+
+
 def test_nothing_goes_without_the_engines(spark, documents, monkeypatch):
     """Candidate search removes nothing by itself: every removal is the automata's or the arrays'."""
     none = np.zeros(0, np.int64)
